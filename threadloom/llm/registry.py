@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import mixing, sharding
+from threadloom.llm import mixing, quality_rules, sharding, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_source_mixing": mixing.query,
+    "op5_quality_rules": quality_rules.query,
+    "op7_winnowing": winnowing.query,
     "op8_rendezvous_sharding": sharding.query,
 }
 SQL: dict[str, str] = {}
