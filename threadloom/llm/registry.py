@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import mixing, quality_rules, sharding, winnowing
+from threadloom.llm import mixing, packing, quality_rules, sharding, warc, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": warc.query,
+    "op2_best_fit_packing": packing.query,
     "op4_source_mixing": mixing.query,
     "op5_quality_rules": quality_rules.query,
     "op7_winnowing": winnowing.query,
     "op8_rendezvous_sharding": sharding.query,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_warc": warc.SQL}
