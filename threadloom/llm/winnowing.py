@@ -11,7 +11,7 @@ from pyspark.sql.window import Window, WindowSpec
 from threadloom.llm.common import table, words_of
 
 #: Words in a k-gram, and k-grams in a window: any run of K + WINDOW - 1 words that two texts share is found in both.
-K, WINDOW = 5, 8
+K, WINDOW = 5, 4
 #: A fingerprint packs 40 bits of hash above 24 bits of falling position, so the least of a window is its rightmost.
 POSITIONS = (1 << 24) - 1
 
