@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import mixing, packing, quality_rules, sharding, warc, winnowing
+from threadloom.llm import language_id, license_scan, line_crf, mixing, packing, quality_rules, sharding, warc, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.query,
     "op2_best_fit_packing": packing.query,
+    "op3_license_scan": license_scan.query,
     "op4_source_mixing": mixing.query,
     "op5_quality_rules": quality_rules.query,
     "op7_winnowing": winnowing.query,
     "op8_rendezvous_sharding": sharding.query,
+    "op9_line_crf": line_crf.query,
+    "op10_language_bitmask": language_id.query,
 }
 SQL: dict[str, str] = {"op1_warc": warc.SQL}
