@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import language_id, license_scan, line_crf, mixing, packing, quality_rules, sharding, warc, winnowing
+from threadloom.llm import language_id, license_scan, line_crf, mixing, near_pairs, packing, quality_rules, sharding, warc, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": license_scan.query,
     "op4_source_mixing": mixing.query,
     "op5_quality_rules": quality_rules.query,
+    "op6_jaccard_join": near_pairs.query,
     "op7_winnowing": winnowing.query,
     "op8_rendezvous_sharding": sharding.query,
     "op9_line_crf": line_crf.query,
