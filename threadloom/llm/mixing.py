@@ -97,7 +97,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     bucket = bucket.select("sid", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("sid", "b").orderBy("h", "doc_id", "size", "crc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = slim.join(bucket, ["sid", "b"]).withColumn("start", F.col("base") + F.sum("size").over(within) - F.col("size"))
-    laid = laid.withColumn("id", F.monotonically_increasing_id()).select("id", "doc_id", "source", "sid", "size", "start")
+    laid = laid.withColumn("id", F.monotonically_increasing_id()).select("id", "doc_id", "source", "sid", "size", "crc", "start")
     laid = materialize(laid, "laid")
     total = sources.agg(F.sum("source_size")).first()[0] or 0  # one number
     block = block_length(total)
@@ -113,10 +113,27 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     mixed = (
         laid.join(taken, "id", "left")
         .join(sources.select("sid", "source_size", "target"), "sid")
-        .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", "sid", "start")
+        .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", "sid", "crc", "start")
     )
     return mixed, slots, sources
 
 
+def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """The rows of `docs` (doc_id, text, source, any others) as the mix takes them, with their columns.
+
+    A source's stream is taken from its start, round after round, so that a row is taken whole or not at all but for
+    the one at each stream's end, which is rounded. A row taken twice comes twice; one not taken is left out."""
+    rows = mix(docs, weights, share, most)[0]
+    key = ["__id", "__sid", "__crc", "__k"]
+    nth = lambda names: Window.partitionBy(*names[:-1]).orderBy(names[-2])  # noqa: E731  equal rows are told apart by number
+    rows = rows.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("sid").alias("__sid"), F.col("crc").alias("__crc"), F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int").alias("__times"))
+    rows = rows.withColumn("__k", F.row_number().over(nth(key)))
+    source = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
+    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__sid": source, "__crc": F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))})
+    keyed = keyed.withColumn("__k", F.row_number().over(nth(key)))
+    taken = keyed.join(rows.where("__times > 0"), key).withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken")

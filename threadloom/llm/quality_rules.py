@@ -114,8 +114,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
     and are compared with all of them; without any reference only the base rule judges. Each row is judged by itself:
     repeated rows fare alike; an empty table gives no rows."""
     columns = docs.columns
-    refs = references(features(docs, histograms_only=True))
-    return judged(features(docs), refs).where("__kept").select(*[F.col(f"`{c}`") for c in columns])
+    featured = materialize(features(docs), "quality")  # features are costly: computed once, for the references and the verdicts
+    return judged(featured, references(featured)).where("__kept").select(*[F.col(f"`{c}`") for c in columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
