@@ -286,7 +286,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
     sized = materialize(sized.join(total, "root"), "cells")
     text = F.coalesce(F.col("text"), F.lit(""))
     source = docs.select(F.col("doc_id").alias("rep_id"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("rep_key"), text.alias("text"))
-    fetched = source.join(sized, source["rep_id"].eqNullSafe(sized["rep_id"]) & (source["rep_key"] == sized["rep_key"]))
+    # members grow with the corpus: one plan for every size, not a broadcast while they are few
+    fetched = source.join(sized.hint("merge"), source["rep_id"].eqNullSafe(sized["rep_id"]) & (source["rep_key"] == sized["rep_key"]))
     fetched = fetched.select("root", "v", "copies", "members", "shingles", "text")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
