@@ -152,7 +152,9 @@ def sampled_dictionary(pages: DataFrame) -> bytes:
     """A dictionary of a bounded sample of the records that `pages` will make, whole records in hash order of page_id."""
     html = F.coalesce(F.col("html"), F.lit(""))
     small = pages.select("page_id", "url", html.alias("html")).where(F.octet_length("html") < SAMPLE_RECORD_BYTES)
-    rows = small.orderBy(F.xxhash64("page_id"), "html").limit(SAMPLE_RECORDS).withColumn("digest", base32_sha1(F.col("html"))).collect()
+    chosen = small.where(F.col("page_id").isNotNull()).select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_RECORDS)
+    some = small.join(F.broadcast(chosen.distinct()), "page_id", "left_semi")  # bounded: SAMPLE_RECORDS ids
+    rows = some.withColumn("digest", base32_sha1(F.col("html"))).dropDuplicates(["page_id"]).orderBy("page_id").collect()
     return build_dictionary([record(r.page_id, r.url, data := r.html.encode(), r.digest, len(data), "response", None) for r in rows])
 
 
