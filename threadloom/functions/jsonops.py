@@ -102,5 +102,5 @@ def tolerant_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def read_object(x: Column) -> Column:
     """Well-formed objects as they are; only the others go through Python."""
-    well = F.from_json(x, "map<string,string>", {"mode": "PERMISSIVE"}).isNotNull() & F.trim(x).startswith("{") & F.json_object_keys(x).isNotNull()
+    well = F.from_json(x, "map<string,string>", {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}).isNotNull() & F.trim(x).startswith("{")
     return F.coalesce(F.when(well, x), tolerant_json(F.when(~F.coalesce(well, F.lit(False)), x)))

@@ -131,7 +131,7 @@ def persona_join(spark, d):
     return personas.with_personas(events.select("event_id", "user_id"), named).select("event_id", "user_id", "persona")
 
 
-@query("""SELECT 100.0 * count(*) AS usd, sum(turn)::BIGINT AS prompt_tokens, sum(length(text))::BIGINT AS completion_tokens,
+@query("""SELECT 100.0::DOUBLE * count(*) AS usd, sum(turn)::BIGINT AS prompt_tokens, sum(length(text))::BIGINT AS completion_tokens,
 sum(turn + length(text))::BIGINT AS total_tokens, count(*) AS calls FROM conversations""")
 def usage_totals(spark, d):
     rows = table(spark, d, "conversations").select(F.struct(F.lit(100.0).alias("usd"), F.col("turn").alias("prompt_tokens"), F.length("text").cast("long").alias("completion_tokens")).alias("usage"))
