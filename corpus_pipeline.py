@@ -22,8 +22,9 @@ def stage_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def stage_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line field, fitted on labelled documents of this stage's input, scores as good."""
-    model = line_crf.train(docs, table(spark, sf_dir, "labels"))
+    """Documents that the line field scores as good; it is fitted on labelled documents of the whole table, since few
+    of the bad ones are left after the rules."""
+    model = line_crf.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return line_crf.scored(docs, model).where(F.col("__score") >= LEAST_SCORE).drop("__score")
 
 
