@@ -32,7 +32,8 @@ def reply_examples(df: DataFrame, order: list[str], least: int = 2, shortest: in
     left out; they stay in later prompts."""
     own = Window.partitionBy(thread)
     by_time = own.orderBy(*order)
-    item = F.struct(F.col("user_id").alias("role"), F.col("body").alias("content"), F.lit("{}").alias("metadata"))
+    about = F.col("metadata") if "metadata" in df.columns else F.lit("{}")
+    item = F.struct(F.col("user_id").alias("role"), F.col("body").alias("content"), about.alias("metadata"))
     rows = df.withColumn("__n", F.count(F.lit(1)).over(own)).where(F.col("__n") >= least)
     rows = rows.withColumn("prompt", F.collect_list(item).over(by_time.rowsBetween(Window.unboundedPreceding, -1)))
     rows = rows.where((F.size("prompt") > 0) & (F.length(strip(F.col("body"))) >= shortest))

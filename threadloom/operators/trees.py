@@ -38,3 +38,20 @@ def tops_and_replies(comments: DataFrame) -> DataFrame:
 def edges_of(nodes: DataFrame, node: str = "id", children: str = "responses") -> DataFrame:
     """Child ids in arrays as (parent_id, node_id, ord)."""
     return nodes.select(F.col(node).alias("parent_id"), F.posexplode(children).alias("ord", "node_id"))
+
+
+def with_ancestors(nodes: DataFrame, keep: Column | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """flatten, with the items of a node's ancestors from its root down: node_id, depth, path, above.
+
+    `nodes` also has a column item of any type; a root's `above` is empty."""
+    spark = nodes.sparkSession
+    kept = nodes if keep is None else nodes.where(keep)
+    view = f"nodes_{uuid.uuid4().hex}"
+    kept.select(F.col("node_id").cast("string").alias("node_id"), F.col("parent_id").cast("string").alias("parent_id"), "item").createOrReplaceTempView(view)
+    return spark.sql(f"""
+        WITH RECURSIVE walk (node_id, depth, path, above, item) MAX RECURSION LEVEL {max_depth} AS (
+          SELECT node_id, 0, array(node_id), slice(array(item), 1, 0), item FROM {view} WHERE parent_id IS NULL
+          UNION ALL
+          SELECT n.node_id, w.depth + 1, concat(w.path, array(n.node_id)), concat(w.above, array(w.item)), n.item
+          FROM walk w JOIN {view} n ON n.parent_id = w.node_id WHERE NOT array_contains(w.path, n.node_id))
+        SELECT node_id, depth, path, above FROM walk""")
