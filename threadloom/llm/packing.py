@@ -3,25 +3,39 @@
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenizers import Tokenizer
+
 from threadloom.llm.common import bounded_batches, grouped_index, materialize, table
 
 #: Tokens a sequence holds, and the id that ends each document.
 CAPACITY, END = 4096, 1
-#: Chunks of text whose ids a worker keeps at most.
-MEMO = 250_000
+#: Chunks whose ids a worker keeps at most; the length up to which they outlast a clean-up.
+MEMO, FREQUENT = 300_000, 6
 
 #: str.split() takes these for white space; tokenizers do not.
 SEPARATORS, CONTROL = re.compile("[\x1c-\x1f]"), re.compile("[ \t\n\r\x0b\x0c]+")
 
+#: Marks that often end a chunk, all of them of one kind to the default tokenizer.
+MARKS = ".,;:!?#$%&*|()\"-"
+#: The default tokenizer's words, and the letters in which its model writes bytes that do not print.
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+#: Texts that normalization leaves alone, but for their case (of one letter, case is two letters).
+LATIN = re.compile("[\x00-\u012f\u0131-\u024f]*").fullmatch
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -31,28 +45,75 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class LatinChunks(dict):
+    """Ids of chunks of lower-case Latin text, and of the words in them, straight from the tokenizer's model.
+
+    Such text passes the normalizer unchanged. A word is a chunk of its own, so one memo serves both. A full memo
+    forgets long keys; short ones, the frequent ones, stay if they leave half of it free."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize = model.tokenize
+
+    def __missing__(self, chunk: str) -> bytes:
+        core = chunk.rstrip(MARKS)
+        if core is chunk and chunk.isalpha():
+            return self.word(chunk)
+        if core.isalpha():  # a run of marks is one word
+            tail = chunk[len(core) :]
+            ids = (self.get(core) or self.word(core)) + (self.get(tail) or self.word(tail))
+        else:
+            words = WORDS(chunk)
+            if words == [chunk]:
+                return self.word(chunk)
+            ids = b"".join([self.get(w) or self.word(w) for w in words])
+        self[chunk] = ids
+        return ids
+
+    def word(self, word: str) -> bytes:
+        seen = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(BYTES)
+        if len(self) >= MEMO:
+            short = {k: v for k, v in self.items() if len(k) <= FREQUENT}
+            self.clear()
+            if 2 * len(short) <= MEMO:
+                self.update(short)
+        ids = self[word] = array("I", [t.id for t in self.tokenize(seen)]).tobytes()
+        return ids
+
+
 class ChunkEncoder:
     """Encodes texts chunk by chunk (runs without white space), remembering chunks.
 
-    Exact for tokenizers that drop white space and never join across it, as the default one does."""
+    Exact for tokenizers that drop white space and never join across it, as the default one does. Texts of Latin
+    letters take a short way past the normalizer, which only lowers them; any others go through the tokenizer."""
 
     def __init__(self, path: str | None):
-        from tokenizers import Tokenizer
-
         self.tokenizer = Tokenizer.from_file(path or default_tokenizer())
-        self.memo: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The little-endian unsigned 32-bit ids of each text."""
-        split = [CONTROL.split(t) if SEPARATORS.search(t) else t.split() for t in texts]
-        memo = self.memo
-        new = list({c for chunks in split for c in chunks if c not in memo})
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list({c for chunks in split for c in chunks})
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            memo[c] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(memo.__getitem__, chunks)) for chunks in split]
+        self.latin = LatinChunks(self.tokenizer.model) if path is None or self._same_steps(path) else None
+
+    @staticmethod
+    def _same_steps(path: str) -> bool:
+        """Whether a tokenizer's steps are those of the default one."""
+        steps = []
+        for p in (path, default_tokenizer()):
+            with open(p, encoding="utf-8") as f:
+                spec = json.load(f)
+            steps.append((spec["normalizer"], spec["pre_tokenizer"], spec["model"]["end_of_word_suffix"]))
+        return steps[0] == steps[1]
+
+    def encode(self, text: str) -> bytes:
+        """The little-endian unsigned 32-bit ids of a text."""
+        if self.latin is None or "<|" in text:
+            return self.whole(text)
+        odd = SEPARATORS.search(text)
+        if text.isascii() or LATIN(text):
+            low = text.lower()
+            return b"".join(map(self.latin.__getitem__, CONTROL.split(low) if odd else low.split()))
+        chunks = CONTROL.split(text) if odd else text.split()
+        return b"".join([self.latin[c.lower()] if c.isascii() or LATIN(c) else self.whole(c) for c in chunks])
+
+    def whole(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
@@ -61,18 +122,16 @@ def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str |
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = ChunkEncoder(tokenizer), np.array([END], "<u4").tobytes()
+        encode, end = ChunkEncoder(tokenizer).encode, np.array([END], "<u4").tobytes()
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for at in range(0, len(texts), 32):
-                for doc_id, data in zip(ids[at : at + 32], encode(texts[at : at + 32]), strict=True):
-                    data += end
-                    n = len(data) // 4
-                    for piece, start in enumerate(range(0, n, capacity)):
-                        part = data[4 * start : 4 * (start + capacity)]
-                        for column, value in zip(out, (doc_id, piece, start, len(part) // 4, zlib.crc32(part)), strict=True):
-                            column.append(value)
+            for doc_id, text in zip(ids, texts, strict=True):
+                data = encode(text) + end
+                for piece, start in enumerate(range(0, len(data) // 4, capacity)):
+                    part = data[4 * start : 4 * (start + capacity)]
+                    for column, value in zip(out, (doc_id, piece, start, len(part) // 4, zlib.crc32(part)), strict=True):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(pieces, PIECES)
