@@ -5,8 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.functions import jsonops, mailparse, text, timeparse
-from threadloom.operators import activity, conversations, dedupe, history, joins, personas, splits, threads, trees
+from threadloom.functions import jsonops, mailparse, study, text, timeparse
+from threadloom.operators import activity, conversations, dedupe, history, incremental, joins, personas, splits, threads, trees
 from threadloom.plans.processor import Config, process
 from threadloom.schemas import INTERACTION
 from threadloom.sources import readers, writers
@@ -247,3 +247,19 @@ def test_streams_match_batches(spark, tmp_path):
     for n in (1, 2):
         stateful.append_if_new(stream(), str(tmp_path / "target"), ["k", "t"], str(tmp_path / f"c{n}")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "target")).count() == 4
+
+
+def test_study_and_incremental(spark, tmp_path):
+    one = lambda column: spark.range(1).select(column).first()[0]
+    assert one(study.fallback_persona(F.lit("30"), F.lit(""), F.lit("cook"))) == "A person: 30, cook." and one(study.fallback_persona(*[F.lit("")] * 3)) == "A person."
+    assert one(study.problems({"feedback": F.lit("too short")}, [F.lit(11)], [F.lit("1st x"), F.lit("1st y")])) == ["feedback", "score_0", "ranks"]
+    assert one(study.problems({"feedback": F.lit("w " * 10)}, [F.lit(10)], [F.lit("1st"), F.lit("2nd")])) == []
+    assert one(study.in_order(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2)), F.array(F.lit("b"), F.lit("a")))) == [2, 1]
+    assert one(study.has_comments(F.lit(None).cast("int"), F.array(F.lit(1)))) and not one(study.has_comments(F.lit(0), F.array(F.lit(1))))
+    built = []
+    for _ in range(2):
+        assert incremental.cached(spark, str(tmp_path / "stage"), lambda: built.append(1) or spark.range(3)).count() == 3
+    assert built == [1]
+    mails = spark.createDataFrame([(MAIL,), ("From: a@b.co\n\nx",)], "m string").select(mailparse.parsed_mail("m").alias("messages"))
+    assert tuple(incremental.parse_stats(mails).first()) == (2, 1, 0, 1)
+    assert jsonops.without_empty({"a": {"b": {}}, "c": [{}, 1], "d": 0}, frozenset("d")) == {"c": [1]}

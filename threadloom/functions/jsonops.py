@@ -104,3 +104,32 @@ def read_object(x: Column) -> Column:
     """Well-formed objects as they are; only the others go through Python."""
     well = F.from_json(x, "map<string,string>", {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}).isNotNull() & F.trim(x).startswith("{")
     return F.coalesce(F.when(well, x), tolerant_json(F.when(~F.coalesce(well, F.lit(False)), x)))
+
+
+def without_empty(value: object, drop: frozenset[str] = frozenset()) -> object:
+    """A JSON value without the keys `drop` and without objects that are empty or become so; None if nothing is left."""
+    if isinstance(value, dict):
+        kept = {k: w for k, v in value.items() if k not in drop and (w := without_empty(v, drop)) is not None}
+        return kept or None
+    if isinstance(value, list):
+        return [w for v in value if (w := without_empty(v, drop)) is not None]
+    return value
+
+
+def cleaned_json(x: Column, drop: list[str] | None = None) -> Column:
+    """without_empty over JSON strings of any shape, by Arrow batches; null for what is no JSON or is left empty."""
+    names = frozenset(drop or ())
+
+    @F.pandas_udf(T.StringType())
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(text):
+            try:
+                left = without_empty(json.loads(text), names) if isinstance(text, str) else None
+            except ValueError:
+                return None
+            return None if left is None else json.dumps(left, ensure_ascii=False)
+
+        for s in batches:
+            yield pd.Series([one(t) for t in s], dtype=object)
+
+    return clean(x)

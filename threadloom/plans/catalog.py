@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from threadloom.functions import jsonops, text, timeparse
-from threadloom.operators import activity, conversations, dedupe, history, joins, personas, splits, threads, trees
+from threadloom.functions import jsonops, study, text, timeparse
+from threadloom.operators import activity, conversations, dedupe, history, incremental, joins, personas, splits, threads, trees
 from threadloom.plans import processor
 from threadloom.sources import adapters, readers
 from threadloom.sources.adapters import EVENTS_SQL, LINE_KEY, LINE_KEY_SQL, PURCHASES_SQL, table
@@ -618,3 +618,58 @@ def session_sizes(spark, d):
     return threads.gap_sessions(adapters.events(spark, d), 86400, ["user_id"], "timestamp", ["event_id"]).groupBy("user_id", "thread_no").agg(F.count(F.lit(1)).alias("rows"))
 
 
+
+
+# ---------------------------------------------------------------- studies, listings, completeness
+
+_WORDS = "len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))"
+
+
+@query(f"""SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN {_WORDS} < 25 THEN 'user_response' END, CASE WHEN turn NOT BETWEEN 1 AND 10 THEN 'score_0' END,
+CASE WHEN role = 'user' THEN 'ranks' END], lambda x: x IS NOT NULL), ',') AS problems FROM conversations""")
+def submission_problems(spark, d):
+    df = table(spark, d, "conversations")
+    found = study.problems({"user_response": F.col("text")}, [F.col("turn")], [F.col("role"), F.lit("user")])
+    return df.select("conv_id", "turn", F.array_join(found, ",").alias("problems"))
+
+
+@query("""SELECT o_orderkey, array_to_string(list_transform(list_sort([{'r': substr(o_orderpriority, 1, 1), 'k': 'a'}, {'r': coalesce(CASE WHEN o_orderkey % 2 = 0 THEN '2' END, '9'), 'k': 'b'}, {'r': '3', 'k': 'c'}]), lambda x: x.k), '') AS ranked FROM orders""")
+def ranked_options(spark, d):
+    ranks = F.create_map(F.lit("a"), F.substring("o_orderpriority", 1, 1), F.lit("b"), F.when(F.col("o_orderkey") % 2 == 0, "2"), F.lit("c"), F.lit("3"))
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(study.by_rank(ranks), "").alias("ranked"))
+
+
+@query("""SELECT user_id, array_to_string(list_transform(list_sort(list_transform(['base', 'tuned', 'user'], lambda o: {'h': md5('5|' || user_id || '|' || o), 'o': o})), lambda x: x.o), ',') AS shown
+FROM (SELECT DISTINCT user_id FROM events)""")
+def shown_orders(spark, d):
+    return table(spark, d, "events").select("user_id").distinct().select("user_id", F.array_join(study.shown_order(["base", "tuned", "user"], F.col("user_id"), 5), ",").alias("shown"))
+
+
+@query(f"""WITH {EVENTS_SQL}, m AS (SELECT max(timestamp) AS now FROM e) SELECT event_id FROM e, m WHERE now - timestamp <= 30 * 86400 ORDER BY value DESC, timestamp DESC, event_id LIMIT 40""")
+def top_of_month(spark, d):
+    events = adapters.events(spark, d)
+    now = events.agg(F.max("timestamp")).first()[0] or 0
+    posts = events.select(F.col("event_id").alias("id"), F.col("timestamp").alias("created"), F.col("value").alias("score"), F.lit(0).alias("comments"))
+    return incremental.listing(posts, "top", "month", now, 40).select(F.col("id").alias("event_id"))
+
+
+@query("""WITH h AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_linenumber < 4 GROUP BY 1), x AS (SELECT o_orderkey AS key, 3 AS items FROM orders)
+SELECT key, items, coalesce(n, 0) AS have FROM x LEFT JOIN h ON key = l_orderkey WHERE coalesce(n, 0) < items""")
+def incomplete_orders(spark, d):
+    expected = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.lit(3).alias("items"))
+    return incremental.incomplete(expected, table(spark, d, "lineitem").where("l_linenumber < 4").select(F.col("l_orderkey").alias("key")), "key")
+
+
+@query("""SELECT conv_id, coalesce(nullif(string_agg(replace(text, chr(10), ' '), ' ' ORDER BY turn) FILTER (role = 'assistant'), ''), nullif(string_agg(replace(text, chr(10), ' '), ' ' ORDER BY turn) FILTER (role = 'user'), ''), 'Not available.') AS line
+FROM conversations GROUP BY conv_id""")
+def transcript_lines(spark, d):
+    lines = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    only = lambda role: F.filter("t", lambda x: x["role"] == role)
+    return lines.select("conv_id", study.transcript_text(only("assistant"), only("user")).alias("line"))
+
+
+@query("""SELECT event_id, CASE WHEN (props->>'$.k') IS NULL THEN NULL ELSE (props->>'$.k')::BIGINT END AS k, true AS empties_gone FROM events""")
+def cleaned_objects(spark, d):
+    nested = F.concat(F.lit('{"drop": 1, "a": {"b": {}}, "keep": '), "props", F.lit("}"))
+    clean = jsonops.cleaned_json(nested, ["drop"])
+    return table(spark, d, "events").select("event_id", F.get_json_object(clean, "$.keep.k").cast("long").alias("k"), (F.get_json_object(clean, "$.a").isNull() & F.get_json_object(clean, "$.drop").isNull()).alias("empties_gone"))
