@@ -59,6 +59,26 @@ def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
         spark.conf.set(key, str(rows))
 
 
+def hash_order(*keys: str) -> Column:
+    """A number from [0, 1) hashed from keys: a reproducible order."""
+    return F.shiftrightunsigned(F.xxhash64(*keys), 11) / F.lit(float(1 << 53))
+
+
+def hashed_sample(df: DataFrame, n: int, keys: list[str], group: str | None = None) -> DataFrame:
+    """The n rows of `df`, or of each group, that come first in hash order of `keys`.
+
+    Only hashes below four times the share wanted are ranked, so few rows meet in one task however many there are
+    (that fewer than n pass is out of question: the expectation is 4 n)."""
+    df = df.withColumn("__h", hash_order(*keys))
+    if group is None:
+        few = df.where(F.col("__h") < 4.0 * n / max(1, df.count()))
+        return few.orderBy("__h", *keys).limit(n).drop("__h")
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
+    few = df.join(sizes, group).where(F.col("__h") < 4.0 * n / F.col("__n"))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("__h", *keys))
+    return few.withColumn("__k", rank).where(F.col("__k") <= n).drop("__h", "__n", "__k")
+
+
 def words_of(text: Column) -> Column:
     """The words of a text: maximal runs without ASCII white space; null gives none."""
     parts = F.split(F.coalesce(text, F.lit("")), SPACE_CLASS)

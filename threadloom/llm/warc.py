@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import bounded_batches, materialize, scratch, table
+from threadloom.llm.common import bounded_batches, hashed_sample, materialize, scratch, table
 
 #: Magic number of the skippable frame that carries a dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -152,7 +152,7 @@ def sampled_dictionary(pages: DataFrame) -> bytes:
     """A dictionary of a bounded sample of the records that `pages` will make, whole records in hash order of page_id."""
     html = F.coalesce(F.col("html"), F.lit(""))
     small = pages.select("page_id", "url", html.alias("html")).where(F.octet_length("html") < SAMPLE_RECORD_BYTES)
-    chosen = small.where(F.col("page_id").isNotNull()).select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_RECORDS)
+    chosen = hashed_sample(small.where(F.col("page_id").isNotNull()).select("page_id"), SAMPLE_RECORDS, ["page_id"])
     some = small.join(F.broadcast(chosen.distinct()), "page_id", "left_semi")  # bounded: SAMPLE_RECORDS ids
     rows = some.withColumn("digest", base32_sha1(F.col("html"))).dropDuplicates(["page_id"]).orderBy("page_id").collect()
     return build_dictionary([record(r.page_id, r.url, data := r.html.encode(), r.digest, len(data), "response", None) for r in rows])
@@ -175,7 +175,7 @@ def write(planned_pages: DataFrame, folder: str, dictionary: bytes) -> DataFrame
         files.create_dir(base, recursive=True)
         while (head := next(left, None)) is not None:
             name = f"{uuid.uuid4().hex}.warc.zst"
-            with files.open_output_stream(f"{base}/{name}") as out:
+            with files.open_output_stream(f"{base}/{name}", compression=None) as out:
                 n, size = write_file(out, dictionary, (r for part in ([head], left) for r in part))
             yield pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "records": n, "bytes": size}])
 
@@ -191,7 +191,7 @@ def read(archives: DataFrame) -> DataFrame:
             for path in b.column("path").to_pylist():
                 files, at = store(path)
                 part, held = [], 0
-                with files.open_input_stream(at) as source:
+                with files.open_input_stream(at, compression=None) as source:
                     for data in read_file(source):
                         part.append(parse(data))
                         held += len(data)
