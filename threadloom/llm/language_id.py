@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.llm import textarrays as ta
-from threadloom.llm.common import bounded_batches, table
+from threadloom.llm.common import bounded_batches, hashed_sample, table
 from threadloom.llm.line_crf import held_out
 
 #: Labelled documents a language that the filters are built from, at most: those with the smallest hashes of doc_id.
@@ -87,9 +87,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, share: float = SHARE) -> Filter
     n-grams are counted on the executors; those that pass `share` reach the driver, at most a document's distinct
     n-grams over `share` for each language."""
     bounded_batches(docs.sparkSession)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    chosen = known.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).drop("k").distinct()
+    chosen = hashed_sample(known.select("doc_id", "lang"), sample, ["doc_id"], "lang").distinct()
     rows = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")  # bounded: `sample` rows a language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

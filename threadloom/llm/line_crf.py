@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import textarrays as ta
-from threadloom.llm.common import bounded_batches, table
+from threadloom.llm.common import bounded_batches, hashed_sample, table
 
 #: Labelled documents that the field is fitted on, at most: those with the smallest hashes of doc_id.
 SAMPLE = 4000
@@ -206,7 +206,7 @@ def held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """Fit on at most `sample` labelled, not held-out documents; only their line features reach the driver."""
     chosen = labels.where(~held_out() & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality")
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    chosen = hashed_sample(chosen, sample, ["doc_id", "quality"])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
