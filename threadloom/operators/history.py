@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.functions.text import word_truncate
 from threadloom.functions.timeparse import readable_time
+from threadloom.operators.ranking import global_index
 
 
-def ranked(df: DataFrame, order: list[str], user: str = "user_id", out: str = "rn") -> DataFrame:
+def ranked(df: DataFrame, order: list[str], user: str = "user_id", out: str = "rn", spread: Column | None = None) -> DataFrame:
+    """Row numbers (from 1) of each user's rows by `order`.
+
+    spread: a bucket that follows the order, such as the day; a user with a large part of all rows is then ranked
+    bucket by bucket in many tasks, at the price of a count beforehand."""
+    if spread is not None:
+        return global_index(df, spread, [F.col(c) for c in order], out, [user]).drop("n")
     return df.withColumn(out, F.row_number().over(Window.partitionBy(user).orderBy(*order)))
 
 
@@ -19,9 +26,9 @@ def first_rows(df: DataFrame, length: int, order: list[str], user: str = "user_i
     return ranked(df, order, user).where(F.col("rn") <= length)
 
 
-def later_rows(df: DataFrame, length: int, order: list[str], user: str = "user_id") -> DataFrame:
+def later_rows(df: DataFrame, length: int, order: list[str], user: str = "user_id", spread: Column | None = None) -> DataFrame:
     """All but the first `length` rows of each user; users with no more have none."""
-    return ranked(df, order, user).where(F.col("rn") > length)
+    return ranked(df, order, user, spread=spread).where(F.col("rn") > length)
 
 
 def history_text(df: DataFrame, length: int, order: list[str], text: str = "completion", words: int = 0, longest: int = 0, user: str = "user_id") -> DataFrame:

@@ -13,6 +13,7 @@ from threadloom.operators import activity, conversations, dedupe, history, incre
 from threadloom.plans import processor
 from threadloom.sources import adapters, readers
 from threadloom.sources.adapters import EVENTS_SQL, LINE_KEY, LINE_KEY_SQL, PURCHASES_SQL, table
+from threadloom.streaming import drain, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -673,3 +674,29 @@ def cleaned_objects(spark, d):
     nested = F.concat(F.lit('{"drop": 1, "a": {"b": {}}, "keep": '), "props", F.lit("}"))
     clean = jsonops.cleaned_json(nested, ["drop"])
     return table(spark, d, "events").select("event_id", F.get_json_object(clean, "$.keep.k").cast("long").alias("k"), (F.get_json_object(clean, "$.a").isNull() & F.get_json_object(clean, "$.drop").isNull()).alias("empties_gone"))
+
+
+# ---------------------------------------------------------------- streams, read to their end
+
+
+def _event_stream(spark, d):
+    path = f"{d}/event[s].parquet"  # a pattern: a stream reads folders and patterns, not single files
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    return stream.withColumn("ts", F.date_trunc("second", F.col("ts").cast("timestamp")))
+
+
+@query(f"WITH {_GAPS} SELECT user_id, count(*) AS rows, min(timestamp) AS first, max(timestamp) AS last FROM t GROUP BY user_id, thread_no")
+def streaming_sessions(spark, d):
+    out = drain.drained(stateful.sessions(_event_stream(spark, d), ["user_id"], "ts", "1 day", "10000 days"), "complete")
+    return out.select("user_id", "rows", F.unix_timestamp("first").alias("first"), F.unix_timestamp("last").alias("last"))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def streaming_new_only(spark, d):
+    return drain.drained(stateful.new_only(_event_stream(spark, d), ["user_id", "event_type"], "ts", "10000 days"), "append").select("user_id", "event_type")
+
+
+@query("SELECT floor(epoch(ts) / 3600)::BIGINT AS hour, count(*) AS rows FROM events GROUP BY 1")
+def streaming_hours(spark, d):
+    out = drain.drained(stateful.windowed_counts(_event_stream(spark, d), "ts", "1 hour", delay="10000 days"), "complete")
+    return out.select(F.floor(F.unix_timestamp("start") / 3600).alias("hour"), "rows")
