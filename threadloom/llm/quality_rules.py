@@ -40,37 +40,38 @@ def _repeated(words: Column, windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), 0).otherwise(held).cast("long")
 
 
-def features(docs: DataFrame, histograms_only: bool = False) -> DataFrame:
+def features(docs: DataFrame) -> DataFrame:
     """`docs` with a struct __q of counts: words, lines, symbols, repeats, and the two histograms."""
     df = docs.withColumn("__t", F.coalesce(F.col("text"), F.lit(""))).withColumn("__w", words_of(F.col("__t")))
     t, w = F.col("__t"), F.col("__w")
     df = df.withColumn("__hits", F.filter(F.transform(w, lambda x: F.btrim(F.lower(x), F.lit(PUNCTUATION))), lambda x: x.isin(BINS)))
-    chars, word_chars = F.length(t).cast("long"), _left(t, SPACE_CLASS)
+    # each replacement works on what the one before has left: few characters are neither spaces nor letters
+    df = df.withColumn("__solid", F.regexp_replace(t, SPACE_CLASS, "")).withColumn("__rest", F.regexp_replace("__solid", "[\\p{L}\\p{M}]+", ""))
+    solid, rest = F.col("__solid"), F.col("__rest")
     counts = {
-        "n_words": F.size(w).cast("long"), "word_chars": word_chars, "upper": _left(t, "[^\\p{Lu}]+"), "letters": _left(t, "[^\\p{L}\\p{M}]+"),
-        "digits": _left(t, "[^\\p{N}]+"), "marks": _left(t, "[^.,;:'\"?!()-]+"), "spaces": chars - word_chars, "chars": chars,
+        "n_words": F.size(w).cast("long"), "chars": F.length(t).cast("long"), "word_chars": F.length(solid).cast("long"), "upper": _left(solid, "[^\\p{Lu}]+"),
+        "rest": F.length(rest).cast("long"), "digits": _left(rest, "[^\\p{N}]+"), "marks": _left(rest, "[^.,;:'\"?!()-]+"), "symbols": _left(rest, "[^#*$%&|<>]+"),
     }
     hits = F.col("__hits")
     found = F.transform(F.array(*[F.lit(b) for b in BINS]), lambda b: (F.size(hits) - F.size(F.array_remove(hits, b))).cast("double"))
     df = df.withColumn("__c", F.struct(*[c.alias(k) for k, c in counts.items()])).withColumn("__found", found)
     c = F.col("__c")
-    kinds = [c["letters"] - c["upper"], c["upper"], c["digits"], c["spaces"], c["marks"], c["chars"] - c["letters"] - c["digits"] - c["spaces"] - c["marks"]]
+    kinds = [c["word_chars"] - c["rest"] - c["upper"], c["upper"], c["digits"], c["chars"] - c["word_chars"], c["marks"], c["rest"] - c["digits"] - c["marks"]]
     share = lambda bins, n: F.transform(bins, lambda x: x / F.greatest(n, F.lit(1)).cast("double"))
     q = {
         "n_words": c["n_words"], "word_chars": c["word_chars"],
         "kinds": share(F.array(*[k.cast("double") for k in kinds]), c["chars"]),
         "common": share(F.concat(F.col("__found"), F.array((c["n_words"] - F.size(hits)).cast("double"))), c["n_words"]),
     }
-    if not histograms_only:
-        lines = F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-        windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-        df = df.withColumn("__lines", lines).withColumn("__windows", F.when(F.size(w) >= 3, windows).otherwise(F.array().cast("array<bigint>")))
-        q |= {
-            "n_symbols": _left(t, "[^#*$%&|<>]+"),
-            "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-            "n_repeat_words": _repeated(w, F.col("__windows")),
-        }
-    return df.withColumn("__q", F.struct(*[x.alias(k) for k, x in q.items()])).drop("__t", "__w", "__hits", "__c", "__found", "__lines", "__windows")
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    df = df.withColumn("__lines", lines).withColumn("__windows", F.when(F.size(w) >= 3, windows).otherwise(F.array().cast("array<bigint>")))
+    q |= {
+        "n_symbols": c["symbols"],
+        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+        "n_repeat_words": _repeated(w, F.col("__windows")),
+    }
+    return df.withColumn("__q", F.struct(*[x.alias(k) for k, x in q.items()])).drop("__t", "__w", "__solid", "__rest", "__hits", "__c", "__found", "__lines", "__windows")
 
 
 def references(featured: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
