@@ -48,7 +48,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write to the shared folder and read back, so a lost executor costs nothing upstream."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
