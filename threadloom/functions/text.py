@@ -92,18 +92,18 @@ def escape(x: Column) -> Column:
 
 def collapse_quotes(x: Column) -> Column:
     """Each run of lines that begin with '>' becomes its first line and a mark, if a line without '>' follows it."""
-    lines = F.split(x, "\n")
     quoted = lambda line: F.coalesce(F.ltrim(line).startswith(">"), F.lit(False))
+    none = F.array().cast("array<string>")
 
-    def keep(line: Column, i: Column) -> Column:
-        first = ~quoted(F.coalesce(F.get(lines, i - 1), F.lit("")))
+    def keep(lines: Column, line: Column, i: Column) -> Column:
         # a run's first line stays; the mark follows where the run ends before another line
-        begins = F.when(first, F.array(F.trim(line))).otherwise(F.array().cast("array<string>"))
-        ends = quoted(line) & (F.size(lines) > i + 1) & ~quoted(F.coalesce(F.get(lines, i + 1), F.lit("")))
-        mark = F.when(ends, F.array(F.lit("[...quoted text...]"))).otherwise(F.array().cast("array<string>"))
-        return F.when(quoted(line), F.concat(begins, mark)).otherwise(F.array(line))
+        begins = F.when(~quoted(F.coalesce(F.get(lines, i - 1), F.lit(""))), F.array(F.trim(line))).otherwise(none)
+        ends = (F.size(lines) > i + 1) & ~quoted(F.coalesce(F.get(lines, i + 1), F.lit("")))
+        return F.when(quoted(line), F.concat(begins, F.when(ends, F.array(F.lit("[...quoted text...]"))).otherwise(none))).otherwise(F.array(line))
 
-    return F.array_join(F.flatten(F.transform(lines, keep)), "\n")
+    # the lines are bound to a lambda's variable, so that a text is split once and not for each of its lines
+    joined = lambda lines: F.array_join(F.flatten(F.transform(lines, lambda line, i: keep(lines, line, i))), "\n")
+    return F.element_at(F.transform(F.array(F.split(x, "\n")), joined), 1)
 
 
 def clean_text(x: Column) -> Column:
