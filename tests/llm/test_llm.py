@@ -234,6 +234,32 @@ def test_schedule_spreads_sources(spark):
         assert abs(order[:n].count("a") / n - 0.75) < 0.06
 
 
+def test_small_sources_reach_their_targets(spark, frame, monkeypatch):
+    sizes = {"a": 60, "b": 300, "c": 1_000, "d": 3_000, "e": 10_000, "f": 50_000, "g": 40_000_000, "h": 4096}
+    targets = spark.createDataFrame([(s, n, 2.0 * n if s != "g" else 1.3 * n) for s, n in sizes.items()], "sid string, source_size long, target double")
+    rows = mixing.schedule(targets, 4096).collect()
+    taken, slots = collections.Counter(), collections.defaultdict(list)
+    for r in rows:
+        taken[r.sid] += r.tokens
+        slots[r.sid].append((r.rank, r.slot))
+        assert 0 < r.tokens <= 4096 and r.block * 4096 + r.tokens <= sizes[r.sid]
+    assert taken == {s: 2 * n if s != "g" else 52_000_000 for s, n in sizes.items()}
+    assert sorted(r.slot for r in rows) == list(range(len(rows)))
+    for held in slots.values():
+        assert [rank for rank, _ in sorted(held)] == list(range(len(held)))
+        for rank, slot in held:
+            assert abs(rank / len(held) - slot / len(rows)) <= 1 / len(held) + len(sizes) / len(rows)
+    # from documents on, with blocks far longer than the small sources
+    monkeypatch.setattr(mixing, "LEAST_BLOCK", 4096)
+    rng = random.Random(11)
+    docs = [(i, prose(n, rng), None, s) for i, (n, s) in enumerate([(60, "x"), (150, "y"), (150, "y"), (700, None), *[(2000, "z")] * 30])]
+    total, target = collections.Counter(), {}
+    for r in mixing.mix(frame(docs))[0].collect():
+        total[r.source] += r.taken
+        target[r.source] = r.target
+    assert set(total) == {"x", "y", "z", None} and all(abs(total[s] - target[s]) <= 1 for s in total)
+
+
 # ---------------------------------------------------------------- 5 quality rules
 
 

@@ -14,7 +14,7 @@ WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 SLOTS, LEAST_BLOCK, MOST_BLOCK = 1 << 20, 16, 4096
 #: The golden-ratio sequence in integers: t * STEP mod MODULUS is equidistributed (STEP is odd and near MODULUS / phi).
 STEP, MODULUS = 1327217885, 1 << 31
-#: Buckets of the unit interval (source look-up) and of a source's shuffled documents; slots ranked in one task.
+#: Buckets of the slots laid end to end (source look-up) and of a source's shuffled documents; slots ranked in one task.
 CELLS, BUCKETS, CHUNK = 1024, 1024, 8192
 
 
@@ -49,30 +49,34 @@ def block_length(total: int) -> int:
 def schedule(targets: DataFrame, block: int) -> DataFrame:
     """The mix, slot by slot: (slot, sid, rank, block, tokens).
 
-    Slot t's golden-ratio point falls into one source's share of the targets; a source's rank-th slot takes its block
-    rank mod blocks. The last slot of a source is cut so that its tokens end at its target. `targets` has sid,
-    source_size, target."""
+    A source has as many slots as its own target takes, short blocks and small sources included; its rank-th slot takes
+    its block rank mod blocks, and its last is cut so that its tokens end at its target. A source's slots lie at equal
+    distances, from a golden-ratio point of its own on, so that every stretch of the mix holds each source by its share.
+    `targets` has sid, source_size, target."""
     spark = targets.sparkSession
-    words = F.round("target").cast("long")
-    order = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parts = targets.withColumn("words", words).withColumn("hi", F.sum("words").over(order)).withColumn("lo", F.col("hi") - F.col("words"))
+    size, blocks = F.col("source_size"), F.ceil(F.col("source_size") / F.lit(block))
+    order = Window.orderBy("sid")
+    # a round over a source's blocks yields source_size tokens, its last block being short
+    parts = (
+        targets.withColumn("words", F.round("target").cast("long")).where((F.col("words") > 0) & (size > 0))
+        .withColumn("rounds", F.floor(F.col("words") / size))
+        .withColumn("n", (F.col("rounds") * blocks + F.ceil((F.col("words") - F.col("rounds") * size) / F.lit(block))).cast("long"))
+        .withColumn("phase", F.pmod(F.row_number().over(order) * F.lit(STEP).cast("long"), F.lit(MODULUS)) / F.lit(float(MODULUS)))
+        .withColumn("hi", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("lo", F.col("hi") - F.col("n"))
+    )
+    parts = parts.select("sid", size, "words", "n", "phase", "lo", "hi")
     total = parts.agg(F.max("hi")).first()[0] or 0  # one number
     cell = lambda at: F.floor(at / F.lit(float(max(total, 1))) * CELLS)
-    spans = parts.where("words > 0").select("sid", "lo", "hi", "words", "source_size", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") - 1))).alias("cell"))
-    point = F.pmod(F.pmod(F.col("slot"), F.lit(MODULUS)) * F.lit(STEP), F.lit(MODULUS))
-    slots = (
-        spark.range(-(-total // block)).withColumnRenamed("id", "slot")
-        .withColumn("at", F.floor(point.cast("double") / F.lit(float(MODULUS)) * F.lit(float(total))))
-        .withColumn("cell", cell(F.col("at")))
-    )
-    placed = slots.join(spans, "cell").where("at >= lo AND at < hi").select("slot", "sid", "words", "source_size", F.floor(F.col("slot") / CHUNK).alias("chunk"))
-    ranked = grouped_index(materialize(placed, "slots"), ["sid"], "chunk", ["slot"], "rank")
-    blocks = F.ceil(F.col("source_size") / F.lit(block))
+    spans = parts.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") - 1))))
+    numbers = spark.range(total).withColumnRenamed("id", "at").withColumn("cell", cell(F.col("at")))
+    placed = numbers.join(spans, "cell").where("at >= lo AND at < hi").withColumn("rank", F.col("at") - F.col("lo"))
+    placed = placed.withColumn("place", (F.col("rank") + F.col("phase")) / F.col("n"))
+    placed = placed.select("sid", "words", "source_size", "rank", "place", F.floor(F.col("place") * F.lit(-(-total // CHUNK))).alias("chunk"))
+    ranked = grouped_index(materialize(placed, "slots"), [], "chunk", ["place", "sid"], "slot")
     ranked = ranked.withColumn("block", F.pmod("rank", blocks)).withColumn("blocks", blocks)
-    # a round over a source's blocks yields source_size tokens, its last block being short
-    start = F.floor(F.col("rank") / F.col("blocks")) * F.col("source_size") + F.col("block") * block
-    whole = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
-    return ranked.select("slot", "sid", "rank", "block", F.least(whole, F.col("words") - start).cast("long").alias("tokens")).where("tokens > 0")
+    start = F.floor(F.col("rank") / F.col("blocks")) * size + F.col("block") * block
+    whole = F.least(F.lit(block), size - F.col("block") * block)
+    return ranked.select("slot", "sid", "rank", "block", F.least(whole, F.col("words") - start).cast("long").alias("tokens"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> tuple[DataFrame, DataFrame, DataFrame]:
