@@ -292,6 +292,25 @@ def test_quality_base_and_verdict(frame, spark, tmp_path):
     assert quality_rules.keep_good(frame(docs).where("doc_id < 0")).count() == 0
 
 
+def test_quality_of_languages_without_a_list(frame, spark, tmp_path):
+    def clean(common, n, seed):
+        rng = random.Random(seed)
+        content = [a + b for a in "cam bor tel riv sol".split() for b in "ino eto ara ile ura".split()]
+        return " ".join(rng.choices(common, [1 / (k + 2) for k in range(len(common))])[0] if rng.random() < 0.45 else rng.choice(content) + rng.choice(["", "re", "ndo", "to"]) for _ in range(n)).capitalize() + "."
+
+    words = {"en": quality_rules.COMMON_WORDS["en"], "it": "il di che è per una sono non con si da come anche ma nel".split(), "pl": "i w nie na się z do że jak po ale od za przez".split(), "sw": "ya wa kwa katika ni hii hiyo".split()}
+    words[None] = words["it"]
+    docs = [(1000 * (k + 1) + i, clean(w, 120 + 10 * i, 1000 * k + i), lang, "s") for k, (lang, w) in enumerate(words.items()) for i in range(3 if lang in ("sw", None) else 30)]
+    docs += [(9000, " ".join(f"Qzx{i}vk" for i in range(300)), "it", "s"), (9001, "| # 77 " * 3 + " ".join(f"|{i}#{i * 7}" for i in range(300)), "sw", "s"), (9002, " ".join(f"|{i}#{i * 7}" for i in range(300)), None, "s"), *EDGE]
+    frame(docs).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in quality_rules.query(spark, str(tmp_path)).collect()}
+    assert [i for i in rows if i is not None and 9000 > i >= 1000 and not rows[i].kept] == []
+    assert not any(rows[i].kept for i in (9000, 9001, 9002))
+    assert rows[2000].word_distance is not None and rows[4000].word_distance is None and rows[5000].word_distance is None
+    good = quality_rules.keep_good(frame(docs))
+    assert good.columns == frame(docs).columns and {r.doc_id for r in good.collect()} == {i for i, r in rows.items() if r.kept}
+
+
 def test_distance(spark):
     from pyspark.sql import functions as F
 

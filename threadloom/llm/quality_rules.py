@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from threadloom.llm.common import SPACE_CLASS, materialize, table, words_of
 
-#: Common closed-class words of the languages that have a reference.
+#: Common closed-class words of the languages whose words are listed; any other language has its own most frequent words.
 COMMON_WORDS = {
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an er".split(),
     "en": "the of and to in a is that it for on was as with be by are this at from or an he you not".split(),
@@ -18,6 +19,8 @@ BINS = sorted({w for words in COMMON_WORDS.values() for w in words})
 #: The bins in one text, so that a word's place is found by a byte search, and their places in it.
 PLACES = f" {' '.join(BINS)} "
 PLACE_OF = [PLACES.index(f" {b} ") + 1 for b in BINS]
+#: Most frequent words of a language without a list, and documents of LEAST_WORDS words that it needs for a reference of its own.
+OWN_WORDS, LEAST_DOCUMENTS = 25, 20
 PUNCTUATION = ".,;:'\"-?!()"
 #: Base rule: fewer words, or a larger share (per cent) of words in repeated 3-word windows, fail.
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -43,11 +46,36 @@ def _repeated(words: Column, windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), 0).otherwise(held).cast("long")
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """`docs` with a struct __q of counts: words, lines, symbols, repeats, and the two histograms."""
+def _plain(words: Column) -> Column:
+    """Words in lower case and without punctuation at their ends."""
+    return F.transform(words, lambda x: F.btrim(F.lower(x), F.lit(PUNCTUATION)))
+
+
+def own_words(docs: DataFrame) -> DataFrame | None:
+    """The most frequent words (lang, __own) of each language without a list, over all its documents; None if there is no such language.
+
+    A word counts by its share of each document, in whole billionths, so that long documents weigh no more than short
+    ones and sums do not depend on order. Languages of fewer than LEAST_DOCUMENTS documents are left out."""
+    docs = docs.where(F.col("lang").isNotNull() & ~F.col("lang").isin(list(COMMON_WORDS)))
+    if docs.select("lang").isEmpty():
+        return None
+    words = docs.select("lang", words_of(F.col("text")).alias("w")).where(F.size("w") >= LEAST_WORDS)
+    enough = words.groupBy("lang").count().where(F.col("count") >= LEAST_DOCUMENTS).select("lang")
+    share = F.floor(F.lit(1_000_000_000) / F.size("w")).cast("long")
+    counted = words.select("lang", share.alias("n"), F.explode(_plain(F.col("w"))).alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))
+    top = counted.withColumn("k", rank).where(F.col("k") <= OWN_WORDS).join(enough, "lang")
+    return materialize(top.groupBy("lang").agg(F.sort_array(F.collect_list("word")).alias("__own")), "own-words")
+
+
+def features(docs: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """`docs` with a struct __q of counts: words, lines, symbols, repeats, and the histograms.
+
+    `own` (lang, __own) has at most OWN_WORDS words a language, so it is broadcast."""
+    docs = docs.withColumn("__own", F.lit(None).cast("array<string>")) if own is None else docs.join(F.broadcast(own), "lang", "left")
     df = docs.withColumn("__t", F.coalesce(F.col("text"), F.lit(""))).withColumn("__w", words_of(F.col("__t")))
     t, w = F.col("__t"), F.col("__w")
-    df = df.withColumn("__common", F.filter(F.transform(w, lambda x: F.btrim(F.lower(x), F.lit(PUNCTUATION))), lambda x: x.isin(BINS)))
+    df = df.withColumn("__common", F.filter(_plain(w), lambda x: x.isin(BINS)))
     # numbers compare faster than words, and each is compared with every bin
     df = df.withColumn("__hits", F.transform("__common", lambda x: F.call_function("instr", F.lit(PLACES), F.concat(F.lit(" "), x, F.lit(" ")))))
     # each replacement works on what the one before has left: few characters are neither spaces nor letters
@@ -60,6 +88,9 @@ def features(docs: DataFrame) -> DataFrame:
     hits = F.col("__hits")
     found = F.transform(F.array(*map(F.lit, PLACE_OF)), lambda b: (F.size(hits) - F.size(F.array_remove(hits, b))).cast("double"))
     df = df.withColumn("__c", F.struct(*[c.alias(k) for k, c in counts.items()])).withColumn("__found", found)
+    held = F.when(F.col("__own").isNotNull(), F.filter(_plain(w), lambda x: F.array_contains("__own", x)))
+    df = df.withColumn("__held", held)
+    own_found = F.transform("__own", lambda x: (F.size("__held") - F.size(F.array_remove("__held", x))).cast("double"))
     c = F.col("__c")
     kinds = [c["word_chars"] - c["rest"] - c["upper"], c["upper"], c["digits"], c["chars"] - c["word_chars"], c["marks"], c["rest"] - c["digits"] - c["marks"]]
     share = lambda bins, n: F.transform(bins, lambda x: x / F.greatest(n, F.lit(1)).cast("double"))
@@ -67,6 +98,7 @@ def features(docs: DataFrame) -> DataFrame:
         "n_words": c["n_words"], "word_chars": c["word_chars"],
         "kinds": share(F.array(*[k.cast("double") for k in kinds]), c["chars"]),
         "common": share(F.concat(F.col("__found"), F.array((c["n_words"] - F.size(hits)).cast("double"))), c["n_words"]),
+        "own": F.when(F.col("__own").isNotNull(), share(F.concat(own_found, F.array((c["n_words"] - F.size("__held")).cast("double"))), c["n_words"])),
     }
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
@@ -76,7 +108,7 @@ def features(docs: DataFrame) -> DataFrame:
         "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
         "n_repeat_words": _repeated(w, F.col("__windows")),
     }
-    return df.withColumn("__q", F.struct(*[x.alias(k) for k, x in q.items()])).drop("__t", "__w", "__solid", "__rest", "__common", "__hits", "__c", "__found", "__lines", "__windows")
+    return df.withColumn("__q", F.struct(*[x.alias(k) for k, x in q.items()])).drop("__t", "__w", "__solid", "__rest", "__common", "__hits", "__c", "__found", "__lines", "__windows", "__own", "__held")
 
 
 def references(featured: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
@@ -92,43 +124,65 @@ def references(featured: DataFrame) -> dict[str, tuple[list[float], list[float]]
     return {lang: ([m[i] for i in range(kinds)], [m[i] for i in range(kinds, kinds + len(BINS) + 1)]) for lang, m in sorted(found.items())}
 
 
-def distance(p: Column, reference: list[float]) -> Column:
+def own_references(featured: DataFrame) -> DataFrame:
+    """Mean histograms (lang, __own_kinds, __own_common) of each language that has words of its own, over all its documents."""
+    long_enough = featured.where(F.col("__q.own").isNotNull() & (F.col("__q.n_words") >= LEAST_WORDS))
+    means = long_enough.select("lang", F.posexplode(F.concat("__q.kinds", "__q.own"))).groupBy("lang", "pos").agg(F.avg("col").alias("mean"))
+    line = F.transform(F.sort_array(F.collect_list(F.struct("pos", "mean"))), lambda x: x["mean"])
+    means = means.groupBy("lang").agg(line.alias("m"))
+    return materialize(means.select("lang", F.slice("m", 1, 6).alias("__own_kinds"), F.slice("m", 7, OWN_WORDS + 1).alias("__own_common")), "own-references")
+
+
+def distance(p: Column, reference: list[float] | Column) -> Column:
     """Jensen-Shannon distance (base 2) of a histogram of shares to a reference."""
     part = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
-    terms = F.zip_with(p, F.array(*[F.lit(float(x)) for x in reference]), lambda a, b: part(a, b) + part(b, a))
+    reference = reference if isinstance(reference, Column) else F.array(*[F.lit(float(x)) for x in reference])
+    terms = F.zip_with(p, reference, lambda a, b: part(a, b) + part(b, a))
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x) / 2, F.lit(0.0)))
 
 
-def judged(featured: DataFrame, refs: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
-    """Add __base_failed, __class_distance, __word_distance (to the nearest reference; null if none or failed), __kept."""
+def judged(featured: DataFrame, refs: dict[str, tuple[list[float], list[float]]], own: DataFrame | None = None) -> DataFrame:
+    """Add __base_failed, __class_distance, __word_distance (to the nearest reference; null if none or failed), __kept.
+
+    Documents of a language with words of its own are compared with its reference besides the others. One whose
+    language has no words to compare with (null, or of few documents) is judged by its character classes alone: its
+    word distance is null."""
     n = F.col("__q.n_words")
     failed = (n < LEAST_WORDS) | (100 * F.col("__q.n_repeat_words") > MOST_REPEATED * n)
     df = featured.withColumn("__base_failed", failed)
-    for name, column, which in (("__class_distance", "__q.kinds", 0), ("__word_distance", "__q.common", 1)):
+    df = df if own is None else df.join(F.broadcast(own), "lang", "left")
+    worded = F.coalesce(F.col("lang").isin(list(COMMON_WORDS)), F.lit(False)) | F.col("__q.own").isNotNull()
+    for name, column, which, theirs, other, applies in (
+        ("__class_distance", "__q.kinds", 0, "__own_kinds", "__q.kinds", F.lit(True)), ("__word_distance", "__q.common", 1, "__own_common", "__q.own", worded),
+    ):
         nearest = [distance(F.col(column), ref[which]) for ref in refs.values()]
+        if own is not None:
+            nearest.append(F.when(F.col(theirs).isNotNull(), distance(F.col(other), F.col(theirs))))
         value = F.least(*nearest) if len(nearest) > 1 else nearest[0] if nearest else F.lit(None).cast("double")
-        df = df.withColumn(name, F.when(~F.col("__base_failed"), value))
+        df = df.withColumn(name, F.when(~F.col("__base_failed") & applies, value))
     limit = lambda x: x[0] + x[1] / F.sqrt(n.cast("double"))
-    far = (F.col("__class_distance") > limit(CLASS_LIMIT)) | (F.col("__word_distance") > limit(WORD_LIMIT))
-    return df.withColumn("__kept", ~F.col("__base_failed") & ~F.coalesce(far, F.lit(False)))
+    far = F.coalesce(F.col("__class_distance") > limit(CLASS_LIMIT), F.lit(False)) | F.coalesce(F.col("__word_distance") > limit(WORD_LIMIT), F.lit(False))
+    return df.withColumn("__kept", ~F.col("__base_failed") & ~far)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of `docs` (text, lang, any others) that the rules keep, with their columns.
 
-    Null and empty texts have no words and fail the base rule. Null or unlisted languages add nothing to a reference
-    and are compared with all of them; without any reference only the base rule judges. Each row is judged by itself:
+    Null and empty texts have no words and fail the base rule. Null languages add nothing to a reference and are
+    judged by character classes alone; without any reference only the base rule judges. Each row is judged by itself:
     repeated rows fare alike; an empty table gives no rows."""
     columns = docs.columns
-    featured = materialize(features(docs), "quality")  # features are costly: computed once, for the references and the verdicts
-    return judged(featured, references(featured)).where("__kept").select(*[F.col(f"`{c}`") for c in columns])
+    own = own_words(docs)
+    featured = materialize(features(docs, own), "quality")  # features are costly: computed once, for the references and the verdicts
+    return judged(featured, references(featured), None if own is None else own_references(featured)).where("__kept").select(*[F.col(f"`{c}`") for c in columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    featured = materialize(features(docs).drop("text"), "quality")
+    own = own_words(docs)
+    featured = materialize(features(docs, own).drop("text"), "quality")
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return judged(featured, references(featured)).select(
+    return judged(featured, references(featured), None if own is None else own_references(featured)).select(
         "doc_id", *[F.col(f"__q.{c}").alias(c) for c in counts], F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"),
         F.col("__class_distance").alias("class_distance"), F.col("__word_distance").alias("word_distance"),
     )
