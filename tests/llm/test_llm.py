@@ -171,6 +171,35 @@ def test_license_spans(frame):
     assert not any(found[i] for i in (4, 5, 6, 7)) and len(found[8]) == 2
 
 
+def test_edits_of_short_templates_against_full_alignment():
+    index, missed, held = license_scan.Index(license_scan.TEMPLATES), [], 0
+    for name, template in license_scan.TEMPLATES.items():
+        words = re.findall("[a-z0-9]+", template.lower())
+        n = len(index.words[index.names.index(name)])
+        if n > 16 or len(words) < n:
+            continue
+        parts = template.split()
+        for size in (1, 2, 3):
+            for at in itertools.combinations(range(len(parts)), size):
+                for other in ("xyzzy", ""):
+                    text = "some words before " + " ".join(other if i in at else w for i, w in enumerate(parts)) + " and some after"
+                    _, _, h = license_scan.hashed_words([text])
+                    own = index.words[index.names.index(name)]
+                    pairs = license_scan.align(own, h.tolist(), -len(own), len(h))
+                    if len(pairs) >= license_scan.LEAST_COVERAGE * len(own):
+                        held += 1
+                        if name not in {f[1] for f in license_scan.scan_texts([text], index)}:
+                            missed.append(text)
+    assert held > 400 and not missed
+    assert {f[1] for f in license_scan.scan_texts(["Released under the MIT Licence."], index)} == {"mit-line"}
+    tiny = license_scan.Index({"one": "Unlicensed", "two": "Public domain"})
+    assert [f[1] for f in license_scan.scan_texts(["x", "it is unlicensed", "", "public domain"], tiny)] == ["one", "two"]
+    for n in range(1, 300):  # every arrangement of need matched words has a run that holds a hit
+        k, window = license_scan.shape(n, 0.8)
+        need = math.ceil(0.8 * n - 1e-9)
+        assert 1 <= k <= n and (n - need + 1) * (k + window - 2) < need
+
+
 def test_alignment_against_full_dynamic_programming():
     for _ in range(200):
         a, b = [RNG.randrange(4) for _ in range(RNG.randrange(1, 9))], [RNG.randrange(4) for _ in range(RNG.randrange(1, 12))]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -13,7 +14,7 @@ from threadloom.llm import textarrays as ta
 from threadloom.llm.common import bounded_batches, table
 from threadloom.llm.license_texts import TEMPLATES
 
-#: Words of a gram and grams of a window: any run of K + WINDOW - 1 words shared with a template is a hit.
+#: Most words of a gram and most grams of a window; shape() has those of a template.
 K, WINDOW = 3, 4
 #: Diagonals beside those of the hits that the alignment may use; matched share of a template from which it is reported.
 BAND, LEAST_COVERAGE = 8, 0.8
@@ -32,37 +33,50 @@ def hashed_words(texts: list[str]) -> tuple[ta.Texts, np.ndarray, np.ndarray]:
     return t, at, h[at]
 
 
-def gram_hashes(h: np.ndarray) -> np.ndarray:
-    total = np.zeros(max(0, len(h) - K + 1), np.uint64)
+def shape(n: int, least: float) -> tuple[int, int]:
+    """Words of a gram and grams of a window for a template of n words: any run of k + window - 1 words shared with it is a hit.
+
+    At least `need` of the words are matched and the others part them into n - need + 1 runs at most, so the longest run
+    has need / (n - need + 1) words or more; gram and window are such that it holds a hit."""
+    need = max(1, math.ceil(least * n - 1e-9))
+    run = -(-need // (n - need + 1))
+    k = min(K, run)
+    return k, min(WINDOW, run - k + 1)
+
+
+def gram_hashes(h: np.ndarray, k: int = K) -> np.ndarray:
+    total = np.zeros(max(0, len(h) - k + 1), np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(K):
+        for j in range(k):
             total = total * ta.PRIME + h[j : j + len(total)]
     return ta.mix(total)
 
 
-def winnow(g: np.ndarray) -> list[int]:
+def winnow(g: np.ndarray, window: int = WINDOW) -> list[int]:
     """Positions of the least gram of each window, the rightmost of several."""
-    if len(g) <= WINDOW:
+    if len(g) <= window:
         return [len(g) - 1 - int(np.argmin(g[::-1]))] if len(g) else []
-    views = np.lib.stride_tricks.sliding_window_view(g, WINDOW)
-    return sorted(set((np.arange(len(views)) + WINDOW - 1 - np.argmin(views[:, ::-1], 1)).tolist()))
+    views = np.lib.stride_tricks.sliding_window_view(g, window)
+    return sorted(set((np.arange(len(views)) + window - 1 - np.argmin(views[:, ::-1], 1)).tolist()))
 
 
 class Index:
-    """Templates and the inverted index of their winnowed fingerprints: gram hash to (template, position)."""
+    """Templates and the inverted index of their winnowed fingerprints, by words of a gram: gram hash to (template, position)."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], least: float = LEAST_COVERAGE):
         self.names = list(templates)
         self.words: list[list[int]] = []
-        posting: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        posting: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for i, text in enumerate(templates.values()):
             _, _, h = hashed_words([text])
             self.words.append(h.tolist())
-            g = gram_hashes(h)
-            for p in winnow(g):
-                posting[int(g[p])].append((i, p))
-        self.keys = np.array(sorted(posting), np.uint64)
-        self.posting = dict(posting)
+            if not len(h):
+                continue
+            k, window = shape(len(h), least)
+            g = gram_hashes(h, k)
+            for p in winnow(g, window):
+                posting[k][int(g[p])].append((i, p))
+        self.posting = {k: (np.array(sorted(found), np.uint64), dict(found)) for k, found in sorted(posting.items())}
 
 
 def align(template: list[int], doc: list[int], low: int, high: int) -> list[tuple[int, int]]:
@@ -106,15 +120,15 @@ def align(template: list[int], doc: list[int], low: int, high: int) -> list[tupl
 def scan_texts(texts: list[str], index: Index, least: float = LEAST_COVERAGE) -> Iterator[tuple]:
     """(text, license, coverage, matched, template words, first word, last word, spans) of each find, in order of text."""
     t, at, h = hashed_words(texts)
-    if len(h) < K or not len(index.keys):
-        return
-    of, g = t.word_text[at], gram_hashes(h)
-    slot = np.minimum(np.searchsorted(index.keys, g), len(index.keys) - 1)
-    hits = np.flatnonzero((index.keys[slot] == g) & (of[: len(g)] == of[K - 1 :]))
+    of = t.word_text[at]
     regions: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-    for p in hits.tolist():
-        for template, q in index.posting[int(g[p])]:
-            regions[int(of[p]), template].append((p, q))
+    for k, (keys, posting) in index.posting.items():
+        g = gram_hashes(h, k)
+        slot = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
+        hits = np.flatnonzero((keys[slot] == g) & (of[: len(g)] == of[k - 1 :]))
+        for p in hits.tolist():
+            for template, q in posting[int(g[p])]:
+                regions[int(of[p]), template].append((p, q))
     first = np.searchsorted(of, np.arange(t.n + 1))
     for (text, template), found in sorted(regions.items()):
         words, base, end = index.words[template], int(first[text]), int(first[text + 1])
@@ -125,16 +139,22 @@ def scan_texts(texts: list[str], index: Index, least: float = LEAST_COVERAGE) ->
                 parts[-1].append((p, q))
             else:
                 parts.append([(p, q)])
+        finds: list[list[int]] = []  # the positions in h of each one's matched words
         for part in parts:
             low, high = min(p - q for p, q in part) - BAND, max(p - q for p, q in part) + BAND
             lo, hi = max(base, low), min(end, high + len(words) + 1)
             pairs = align(words, h[lo:hi].tolist(), low - lo, high - lo)
-            if len(pairs) < least * len(words):
-                continue
+            if len(pairs) >= least * len(words):
+                finds.append([lo + j for _, j in pairs])
+        kept: list[list[int]] = []
+        for find in sorted(finds, key=lambda x: (-len(x), x[0])):
+            # parts may meet at one place, which is found once
+            if all(find[-1] < other[0] or find[0] > other[-1] for other in kept):
+                kept.append(find)
+        for find in sorted(kept):
             spans: list[list[int]] = []
             last = None
-            for _, j in pairs:
-                w = int(at[lo + j])
+            for w in at[find].tolist():
                 begin, stop = int(t.word_starts[w] - t.starts[text]), int(t.word_ends[w] - t.starts[text])
                 if last is not None and w == last + 1:
                     spans[-1][1] = stop
@@ -142,7 +162,7 @@ def scan_texts(texts: list[str], index: Index, least: float = LEAST_COVERAGE) ->
                     spans.append([begin, stop])
                 last = w
             own = int(t.first_word[text])
-            yield text, index.names[template], len(pairs) / len(words), len(pairs), len(words), int(at[lo + pairs[0][1]]) - own, last - own, spans
+            yield text, index.names[template], len(find) / len(words), len(find), len(words), int(at[find[0]]) - own, last - own, spans
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST_COVERAGE) -> DataFrame:
@@ -151,12 +171,13 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
     coverage: matched share of the template's words; first_word, last_word: positions among the text's words; spans:
     character ranges of runs of matched words. Words compare in lower case by letters and digits alone, so comment
     marks and punctuation do not matter. Null and empty texts give no rows; repeated rows give each their own; rows
-    of one document are in order of template and place; templates of fewer than K words are never found; an empty
-    table gives no rows; other columns are ignored."""
+    of one document are in order of template and place; an empty table gives no rows; other columns are ignored. Words
+    of a template may be missing or replaced anywhere; further words in the document only while they leave a run of
+    the length of shape() whole."""
     bounded_batches(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(templates)
+        index = Index(templates, least)
         for b in batches:
             ids, texts = b.column(0).to_pylist(), [x or "" for x in b.column(1).to_pylist()]
             for lo, hi in ta.chunks(texts):
