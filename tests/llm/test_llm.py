@@ -5,6 +5,7 @@ import collections
 import hashlib
 import itertools
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -14,7 +15,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from threadloom.llm import language_id, license_scan, line_crf, mixing, near_pairs, packing, quality_rules, registry, sharding, textarrays, warc, winnowing
+from threadloom.llm import language_id, license_scan, line_crf, mixing, near_pairs, packing, quality_rules, quality_sql, registry, sharding, textarrays, warc, winnowing
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -58,12 +59,17 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(df.where("page_id > 99"), str(tmp_path / "v")).count() == 0
 
 
-def test_warc_matches_sql(spark):
+def agrees_with_sql(spark, query, sql, folder):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
-    want = con.sql(warc.SQL)
-    got = warc.query(spark, SF).select(*want.columns).collect()
-    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+    for path in pathlib.Path(folder).glob("*.parquet"):
+        con.sql(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path / '*.parquet' if path.is_dir() else path}'")
+    want = con.sql(sql)
+    key = lambda rows: sorted((tuple((x is None, x) for x in r) for r in rows), key=str)
+    assert key(map(tuple, query(spark, folder).select(*want.columns).collect())) == key(want.fetchall())
+
+
+def test_warc_matches_sql(spark):
+    agrees_with_sql(spark, warc.query, warc.SQL, SF)
 
 
 def test_warc_dictionary_and_limits(tmp_path):
@@ -321,23 +327,50 @@ def test_quality_base_and_verdict(frame, spark, tmp_path):
     assert quality_rules.keep_good(frame(docs).where("doc_id < 0")).count() == 0
 
 
-def test_quality_of_languages_without_a_list(frame, spark, tmp_path):
-    def clean(common, n, seed):
-        rng = random.Random(seed)
-        content = [a + b for a in "cam bor tel riv sol".split() for b in "ino eto ara ile ura".split()]
-        return " ".join(rng.choices(common, [1 / (k + 2) for k in range(len(common))])[0] if rng.random() < 0.45 else rng.choice(content) + rng.choice(["", "re", "ndo", "to"]) for _ in range(n)).capitalize() + "."
+COMMON = {
+    "en": "the of and to in a is that it for on was as with be by are this", "it": "il di che è per una sono non con si da come anche ma nel",
+    "pl": "i w nie na się z do że jak po ale od za przez", "pt": "de a o que e do da em um para com não uma os no se na por", "nl": "de en van ik te dat die in een hij het niet zijn is was op aan met",
+    "ru": "и в не на я он с что а по это она к но мы все как из за", "ja": "これ は それ が の に を と た し で も な い",
+}
+STEMS = {"ru": ("кам бор тел рив сол".split(), "ино ето ара иле ура".split(), ["", "ре", "ндо", "то"]), "ja": ("山川 空海 森林 石橋 花火".split(), "の下 の上 の中 と共 から".split(), ["", "まで", "より"])}
+
+
+def clean(lang, n, seed):
+    rng, common = random.Random(seed), COMMON[lang].split()
+    first, second, ends = STEMS.get(lang, ("cam bor tel riv sol".split(), "ino eto ara ile ura".split(), ["", "re", "ndo", "to"]))
+    words = [rng.choices(common, [1 / (k + 2) for k in range(len(common))])[0] if rng.random() < 0.45 else rng.choice(first) + rng.choice(second) + rng.choice(ends) for _ in range(n)]
+    return " ".join(w.capitalize() if i % 14 == 0 else w + "." * (i % 14 == 13) for i, w in enumerate(words))
+
 
-    words = {"en": quality_rules.COMMON_WORDS["en"], "it": "il di che è per una sono non con si da come anche ma nel".split(), "pl": "i w nie na się z do że jak po ale od za przez".split(), "sw": "ya wa kwa katika ni hii hiyo".split()}
-    words[None] = words["it"]
-    docs = [(1000 * (k + 1) + i, clean(w, 120 + 10 * i, 1000 * k + i), lang, "s") for k, (lang, w) in enumerate(words.items()) for i in range(3 if lang in ("sw", None) else 30)]
-    docs += [(9000, " ".join(f"Qzx{i}vk" for i in range(300)), "it", "s"), (9001, "| # 77 " * 3 + " ".join(f"|{i}#{i * 7}" for i in range(300)), "sw", "s"), (9002, " ".join(f"|{i}#{i * 7}" for i in range(300)), None, "s"), *EDGE]
+def test_quality_of_any_language(frame, spark, tmp_path):
+    sizes, docs = [60, 75, 90, 120, 400, 5000], []
+    for k, lang in enumerate(COMMON):  # a table with references, and the same languages without or with few rows
+        docs += [(1000 * (k + 1) + i, clean(lang, sizes[i % 6], 1000 * k + i), lang, "s") for i in range(30)]
+        docs += [(20_000 + 1000 * k + i, clean(lang, n, 7000 + 1000 * k + i), None, "s") for i, n in enumerate(sizes)]
+        docs += [(40_000 + 1000 * k + i, clean(lang, n, 9000 + 1000 * k + i), f"x-{lang}", "s") for i, n in enumerate(sizes)]
+    docs += [(60_000, " ".join(f"Qzx{i}vk" for i in range(300)), "it", "s"), (60_001, " ".join(f"|{i}#{i * 7}" for i in range(300)), "x", "s"), (60_002, " ".join(f"|{i}#{i * 7}" for i in range(300)), None, "s")]
+    docs += [(60_003, " ".join(f"word{chr(97 + i % 26)}" + "abcdefghij"[i % 10] for i in range(300)), "en", "s"), (60_004, clean("it", 300, 1), "en", "s"), *EDGE]
+    docs += [(61_000 + i, "the same junk " + " ".join(f"{j}%" for j in range(100)), "en", "s") for i in range(200)]  # copies are one text to a reference
     frame(docs).write.parquet(str(tmp_path / "documents.parquet"))
     rows = {r.doc_id: r for r in quality_rules.query(spark, str(tmp_path)).collect()}
-    assert [i for i in rows if i is not None and 9000 > i >= 1000 and not rows[i].kept] == []
-    assert not any(rows[i].kept for i in (9000, 9001, 9002))
-    assert rows[2000].word_distance is not None and rows[4000].word_distance is None and rows[5000].word_distance is None
+    assert [i for i in rows if i is not None and 60_000 > i >= 1000 and not rows[i].kept] == []
+    assert not any(rows[i].kept for i in (60_000, 60_001, 60_002, 60_003, 61_000, 61_199)) and rows[60_004].kept
+    assert rows[2000].word_distance is not None and rows[20_000].word_distance is None and rows[40_000].word_distance is None
+    assert rows[20_000 + 6000].class_distance is None and rows[7000].class_distance is not None  # letters without case
     good = quality_rules.keep_good(frame(docs))
     assert good.columns == frame(docs).columns and {r.doc_id for r in good.collect()} == {i for i, r in rows.items() if r.kept}
+    agrees_with_sql(spark, quality_rules.query, quality_sql.SQL, str(tmp_path))
+
+
+def test_quality_matches_sql(spark):
+    agrees_with_sql(spark, quality_rules.query, quality_sql.SQL, SF)
+
+
+def test_quality_repeats_of_all_kinds(frame, spark):
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choice("abcdefghijklmnop"[: 2 + i % 15]) for _ in range(rng.randrange(0, 400)))) for i in range(120)] + [(200, " ".join(f"{k} {k + 1} {k}" for k in list(range(80)) * 2))]
+    rows = {r.row.doc_id: r.q.n_repeat_words for r in quality_rules.counted(frame(docs), {}).collect()}
+    assert rows == {i: base(t)[4] for i, t in docs}
 
 
 def test_distance(spark):
@@ -346,7 +379,7 @@ def test_distance(spark):
     for p, q in (([0.5, 0.5, 0.0], [0.2, 0.3, 0.5]), ([1.0, 0.0, 0.0], [0.0, 1.0, 0.0]), ([0.2, 0.8, 0.0], [0.2, 0.8, 0.0])):
         m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
         kl = lambda a: sum(x * math.log2(x / y) for x, y in zip(a, m, strict=True) if x)  # noqa: E731, B023
-        got = spark.range(1).select(quality_rules.distance(F.array(*map(F.lit, p)), q)).first()[0]
+        got = spark.range(1).select(quality_rules.distance(F.array(*map(F.lit, p)), F.array(*map(F.lit, q)))).first()[0]
         assert got == pytest.approx(math.sqrt((kl(p) + kl(q)) / 2), abs=1e-9)
 
 
@@ -395,16 +428,23 @@ def test_near_pairs(frame, monkeypatch):
     heads = {c for _, c, _ in want}
     kept = near_pairs.one_of_each(frame(docs))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(heads) and kept.columns == frame(docs).columns
-    monkeypatch.setattr(near_pairs, "BLOCK", 2)  # groups of all sizes are cut into blocks
-    assert run() == want
+    for most in (4096, 3):  # groups of all sizes are cut into blocks, a few or many
+        monkeypatch.setattr(near_pairs, "BLOCK", 2)
+        monkeypatch.setattr(near_pairs, "MOST", most)
+        monkeypatch.setattr(near_pairs, "FEW", 4)
+        assert run() == want
     assert near_pairs.join(frame(docs).where("doc_id < 0")).count() == 0
 
 
+def test_near_pairs_match_sql(spark, frame, tmp_path):
+    agrees_with_sql(spark, near_pairs.query, near_pairs.SQL, SF)
+
+
 def test_pruning_table_and_estimates():
     need = near_pairs.least_matches()
     assert need[16] <= need[64] <= need[128] and 60 < need[128] < 95
-    # a pair at the threshold is not dropped
-    assert all(sum(math.comb(k, m) * 0.8**m * 0.2 ** (k - m) for m in range(need[k])) < 1e-4 for k in (16, 64, 128))
+    # a pair at the threshold is not dropped at any look
+    assert near_pairs.missed_share(need) < 1e-6
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 400).astype(np.uint64)
     b = np.concatenate((a[:300], rng.integers(0, 1 << 63, 100).astype(np.uint64)))
@@ -413,6 +453,27 @@ def test_pruning_table_and_estimates():
     got = near_pairs.intersections(sets)
     for i, j in itertools.combinations(range(20), 2):
         assert got[i, j] == len(np.intersect1d(sets[i], sets[j]))
+    for pairs in ([(0, np.array([3, 5])), (4, np.array([9]))], [(i, np.arange(i + 1, 20)) for i in range(19)]):
+        for i, js, both in near_pairs.overlaps(sets, pairs):
+            assert both.tolist() == [len(np.intersect1d(sets[i], sets[j])) for j in js]
+
+
+def test_each_pair_is_compared_once_and_only_survivors_are_verified():
+    rng = np.random.default_rng(2)
+    core = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate((core[: 300 - 12 * i], rng.integers(0, 1 << 63, 12 * i).astype(np.uint64)))) for i in range(12)]
+    values = np.stack([near_pairs.minhash(s) for s in sets])
+    keys, need, seen = near_pairs.band_keys(values), near_pairs.least_matches(), collections.Counter()
+    for band in range(near_pairs.BANDS):
+        for members in {tuple(np.flatnonzero(keys[:, band] == k)) for k in keys[:, band]}:
+            for i, later in near_pairs.survivors(values[list(members)], band, None, need):
+                seen.update((members[i], members[j]) for j in later)
+    jaccard = {(i, j): len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) for i, j in itertools.combinations(range(12), 2)}
+    assert set(seen.values()) == {1} and {p for p, x in jaccard.items() if x >= 0.8} <= set(seen)
+    assert len(seen) < len(jaccard)
+    pairs = [(i, np.array([j for a, j in seen if a == i])) for i in sorted({a for a, _ in seen})]
+    documents, linked, _ = near_pairs.links(sets, np.ones(12, np.int64), pairs)
+    assert linked.tolist() == documents.tolist() == [sum(x >= 0.8 for p, x in jaccard.items() if i in p) for i in range(12)]
 
 
 # ---------------------------------------------------------------- 7 winnowing

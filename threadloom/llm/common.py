@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +18,10 @@ from pyspark.sql.window import Window
 SPACE_CLASS = "[\\x20\\x09-\\x0D]+"
 WORD_CLASS = "[^\\x20\\x09-\\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
+#: A broadcast side has at most this many rows by count, or the join shuffles.
+BROADCAST_ROWS = 20_000
+
+_TEMPORARY: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("temporary", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,18 +29,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where the session names none."""
+    """The cluster's shared folder. Where the session names none, one of our own, and only if driver and executors are
+    one process: elsewhere a machine's own folder would be seen in part."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='threadloom-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
+    """A fresh path in the shared folder, removed at the end of the temporary() around it or of the driver."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    atexit.register(remove, spark, path)
+    held = _TEMPORARY.get()
+    if held is None:
+        atexit.register(remove, spark, path)
+    else:
+        held.append(path)
     return path
 
 
@@ -44,19 +59,49 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write to the shared folder and read back, so a lost executor costs nothing upstream."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made within are removed at the end, so results must have been written elsewhere before."""
+    held: list[str] = []
+    token = _TEMPORARY.set(held)
+    try:
+        yield
+    finally:
+        _TEMPORARY.reset(token)
+        for path in held:
+            remove(spark, path)
+
+
+def write_table(df: DataFrame, path: str) -> DataFrame:
+    """Cut lineage: write to a path of the shared folder and read back, so a lost executor costs nothing upstream."""
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """write_table to a fresh scratch path."""
+    return write_table(df, scratch(df.sparkSession, name))
+
+
+def small(df: DataFrame) -> DataFrame:
+    """`df` (cheap to read again) to be broadcast if it has at most BROADCAST_ROWS rows by count; else as it is."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def boxed(df: DataFrame) -> DataFrame:
+    """`df` with all its columns in one struct `row`, so that no other column's name can clash with them."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def unboxed(df: DataFrame) -> DataFrame:
+    return df.select("row.*")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Keep Arrow batches small enough that texts of any length fit a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) not in range(1, rows + 1):
-        spark.conf.set(key, str(rows))
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in views of at most `rows` rows: Spark bounds a batch's bytes, this bounds what becomes Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def hash_order(*keys: str) -> Column:
@@ -65,18 +110,20 @@ def hash_order(*keys: str) -> Column:
 
 
 def hashed_sample(df: DataFrame, n: int, keys: list[str], group: str | None = None) -> DataFrame:
-    """The n rows of `df`, or of each group, that come first in hash order of `keys`.
+    """The n rows of `df` (keys, group), or of each group, that come first in hash order of `keys`.
 
     Only hashes below four times the share wanted are ranked, so few rows meet in one task however many there are
-    (that fewer than n pass is out of question: the expectation is 4 n)."""
-    df = df.withColumn("__h", hash_order(*keys))
+    (that fewer than n pass is out of question: the expectation is 4 n). Group sizes are joined by broadcast if they
+    are few by count, so that no group is dealt to one task."""
+    h, size, rank = "sample hash", "sample size", "sample rank"
+    df = df.withColumn(h, hash_order(*keys))
     if group is None:
-        few = df.where(F.col("__h") < 4.0 * n / max(1, df.count()))
-        return few.orderBy("__h", *keys).limit(n).drop("__h")
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    few = df.join(sizes, group).where(F.col("__h") < 4.0 * n / F.col("__n"))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy("__h", *keys))
-    return few.withColumn("__k", rank).where(F.col("__k") <= n).drop("__h", "__n", "__k")
+        few = df.where(F.col(h) < 4.0 * n / max(1, df.count()))
+        return few.orderBy(h, *keys).limit(n).drop(h)
+    sizes = materialize(df.groupBy(group).agg(F.count(F.lit(1)).alias(size)), "sizes")
+    few = df.join(small(sizes), group).where(F.col(h) < 4.0 * n / F.col(size))
+    order = F.row_number().over(Window.partitionBy(group).orderBy(h, *keys))
+    return few.withColumn(rank, order).where(F.col(rank) <= n).drop(h, size, rank)
 
 
 def words_of(text: Column) -> Column:
@@ -101,18 +148,18 @@ def grouped_index(df: DataFrame, keys: list[str], bucket: str, order: list[str],
     No task ever holds a whole group: rows are counted by (keys, bucket), the counts are summed into offsets (one row
     a bucket), and rows are numbered within their bucket only. `keys` must hold no nulls; `df` should be cheap to read
     twice (a materialized table)."""
-    offset = f"__offset_{out}"
+    offset = f"offset of {out}"
     sums = (
         df.groupBy(*keys, bucket)
-        .agg(F.count(F.lit(1)).alias("__n"))
+        .agg(F.count(F.lit(1)).alias("n in bucket"))
         .withColumn(
             offset,
             F.coalesce(
-                F.sum("__n").over(Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)),
+                F.sum("n in bucket").over(Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)),
                 F.lit(0),
             ),
         )
-        .drop("__n")
+        .drop("n in bucket")
     )
     within = Window.partitionBy(*keys, bucket).orderBy(*order)
     return (

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.llm import textarrays as ta
-from threadloom.llm.common import bounded_batches, hashed_sample, table
+from threadloom.llm.common import sliced, hashed_sample, table
 from threadloom.llm.line_crf import held_out
 
 #: Labelled documents a language that the filters are built from, at most: those with the smallest hashes of doc_id.
@@ -86,7 +86,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, share: float = SHARE) -> Filter
 
     n-grams are counted on the executors; those that pass `share` reach the driver, at most a document's distinct
     n-grams over `share` for each language."""
-    bounded_batches(docs.sparkSession)
+
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     chosen = hashed_sample(known.select("doc_id", "lang"), sample, ["doc_id"], "lang").distinct()
     rows = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")  # bounded: `sample` rows a language
@@ -119,7 +119,7 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     `und` and 0 where a text is null or has no letter, or where there is no filter. Each row is judged by itself;
     repeated rows fare alike; an empty table gives no rows; other columns pass through."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+
     at = docs.columns.index("text")
     held = spark.sparkContext.broadcast(filters)  # SLOTS words of 8 bytes a 64 languages
 

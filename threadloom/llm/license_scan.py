@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.llm import textarrays as ta
-from threadloom.llm.common import bounded_batches, table
+from threadloom.llm.common import sliced, table
 from threadloom.llm.license_texts import TEMPLATES
 
 #: Most words of a gram and most grams of a window; shape() has those of a template.
@@ -174,7 +174,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
     of one document are in order of template and place; an empty table gives no rows; other columns are ignored. Words
     of a template may be missing or replaced anywhere; further words in the document only while they leave a run of
     the length of shape() whole."""
-    bounded_batches(docs.sparkSession)
+
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(templates, least)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import textarrays as ta
-from threadloom.llm.common import bounded_batches, hashed_sample, table
+from threadloom.llm.common import sliced, hashed_sample, table
 
 #: Labelled documents that the field is fitted on, at most: those with the smallest hashes of doc_id.
 SAMPLE = 4000
@@ -217,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
                 rows = [{"y": y[lo + int(text[s])], "sizes": size[s:e].tobytes(), "features": f[s:e].astype(np.float16).tobytes()} for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([("y", pa.int32()), ("sizes", pa.binary()), ("features", pa.binary())]))
 
-    bounded_batches(docs.sparkSession)
+
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality")  # bounded: `sample` rows
     rows = rows.mapInArrow(extract, "y int, sizes binary, features binary").collect()
     parts = [(np.frombuffer(r.sizes, np.int64), np.frombuffer(r.features, np.float16).reshape(-1, WIDTH).astype(np.float32), r.y) for r in sorted(rows, key=lambda r: (r.sizes, r.features, r.y))]
@@ -228,7 +228,7 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
     """`docs` with score (double) as a last column; null texts are empty, other columns pass through.
 
     Each row is scored by itself: repeated rows score alike; an empty table gives no rows."""
-    bounded_batches(docs.sparkSession)
+
     at = docs.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,10 +1,10 @@
 """N-gram Jaccard join: MinHash bands find candidates, Bayesian pruning drops them, exact set comparison decides.
 
 1. Each text becomes its set of word shingles; equal sets are one class (copies are never expanded into pairs).
-2. Classes that agree in a band of MinHash values meet in a bucket. Within it, values are compared a few at a time and
-   a pair is dropped once the posterior probability of reaching the threshold falls below the tolerance. What is left
-   is written as a spanning forest, not as pairs.
-3. Connected survivors form a cell. Its sets are fetched once, and all its pairs are compared exactly.
+2. Classes that agree in a band of MinHash values meet in a bucket. A pair is compared in the first band that it shares,
+   so once, a few values at a time; it is dropped once the posterior probability of reaching the threshold falls below
+   the tolerance. The pairs that survive are written as one row a class, with its partners.
+3. Survivors that are connected form a cell, whose sets are fetched once. Exactly the surviving pairs are compared.
 
 Buckets and cells of any size are dealt out as pairs of blocks, so no task holds a whole group."""
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +21,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import textarrays as ta
-from threadloom.llm.common import bounded_batches, materialize, table
+from threadloom.llm.common import boxed, materialize, remove, scratch, sliced, table, temporary, write_table
 
 K, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares no band with probability (1 - 0.8^4)^32 = 5e-8.
 BANDS, ROWS = 32, 4
-#: MinHash values compared before each look at the posterior, and its least value for a pair to go on.
-STEP, TOLERANCE = 16, 1e-6
-#: Classes, and shingles, that a block may hold.
-BLOCK, BLOCK_SHINGLES = 1024, 400_000
+#: MinHash values compared before each look at the posterior, and its least value for a pair to go on. A pair at the
+#: threshold is dropped within all looks with probability 2e-7 (missed_share()).
+STEP, TOLERANCE = 16, 3e-8
+#: Classes, and shingles, of a block: a group is cut into FEW blocks of BLOCK before blocks grow to MOST, so that tasks
+#: stay even while groups are small, and a row of a group of n is copied FEW or n / MOST times.
+BLOCK, FEW, MOST, BLOCK_SHINGLES = 512, 16, 4096, 400_000
+#: Bits of a MinHash value that are kept and compared.
+VALUE = np.uint16
 
 HASHES = BANDS * ROWS
 _RANDOM = np.random.default_rng(20240229)
@@ -58,22 +62,17 @@ def shingle_sets(texts: list[str]) -> Iterator[np.ndarray]:
 
 
 def minhash(shingles: np.ndarray) -> np.ndarray:
-    """HASHES MinHash values of a set, 32 bits each."""
+    """HASHES MinHash values of a set; the lower bits of the least of 32-bit hashes."""
     x, low = (shingles >> np.uint64(32)).astype(np.uint32), np.full(HASHES, 0xFFFFFFFF, np.uint32)
     with np.errstate(over="ignore"):
         for at in range(0, len(x), 2048):
             np.minimum(low, (x[at : at + 2048, None] * _A + _B).min(0), out=low)
-    return low
+    return low.astype(VALUE)
 
 
 def band_keys(values: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each band, the band's number included."""
-    parts = values.reshape(BANDS, ROWS).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        total = np.arange(1, BANDS + 1, dtype=np.uint64) * ta.GOLDEN
-        for r in range(ROWS):
-            total = ta.mix(total * ta.PRIME + parts[:, r])
-    return total.view(np.int64)
+    """The 64 bits of each band of a row's values, or of each row's: bands agree if and only if these do."""
+    return np.ascontiguousarray(values).view(np.int64)
 
 
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[int]:
@@ -91,6 +90,20 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
     return out
 
 
+def missed_share(need: list[int], threshold: float = THRESHOLD) -> float:
+    """The probability that a pair at the threshold is dropped at any of the looks."""
+    alive = {0: 1.0}
+    lost = 0.0
+    for k in range(STEP, HASHES + 1, STEP):
+        nxt: dict[int, float] = {}
+        for m, p in alive.items():
+            for x in range(STEP + 1):
+                nxt[m + x] = nxt.get(m + x, 0.0) + p * math.comb(STEP, x) * threshold**x * (1 - threshold) ** (STEP - x)
+        lost += sum(p for m, p in nxt.items() if m < need[k])
+        alive = {m: p for m, p in nxt.items() if m >= need[k]}
+    return lost
+
+
 class Forest:
     """Union-find over 0 .. n - 1."""
 
@@ -120,18 +133,14 @@ class Forest:
                 self.parent[s] = r
 
 
-def survivors(values: np.ndarray, side: np.ndarray | None, need: list[int]) -> Forest:
-    """Connect the rows of a bucket whose MinHash values could still reach the threshold.
+def survivors(values: np.ndarray, band: int, side: np.ndarray | None, need: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, later rows whose pair with i survives) of the rows of a bucket of `band`.
 
-    Pairs already connected need no comparison. side: block of each row where two blocks meet, so that only pairs
-    across are compared."""
-    n = len(values)
-    forest = Forest(n)
-    for i in range(n - 1):
-        roots = forest.roots()
-        alive = np.flatnonzero(roots[i + 1 :] != roots[i]) + i + 1
-        if side is not None:
-            alive = alive[side[alive] != side[i]]
+    A pair that shares an earlier band has met there and is passed over. side: block of each row where two blocks
+    meet, so that only pairs across are compared."""
+    keys = band_keys(values)
+    for i in range(len(values) - 1):
+        alive = np.arange(i + 1, len(values)) if side is None else np.flatnonzero(side[i + 1 :] != side[i]) + i + 1
         matches = np.zeros(len(alive), np.int64)
         for k in range(0, HASHES, STEP):
             if not len(alive):
@@ -139,8 +148,10 @@ def survivors(values: np.ndarray, side: np.ndarray | None, need: list[int]) -> F
             matches += (values[alive, k : k + STEP] == values[i, k : k + STEP]).sum(1)
             going = matches >= need[k + STEP]
             alive, matches = alive[going], matches[going]
-        forest.join(i, alive)
-    return forest
+        if band and len(alive):
+            alive = alive[~(keys[alive, :band] == keys[i, :band]).any(1)]
+        if len(alive):
+            yield i, alive
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -162,20 +173,34 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def links(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray | None, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, Forest]:
-    """(linked documents, linked classes) of each row of a cell, and the forest of its links; all pairs compared exactly."""
+def overlaps(sets: list[np.ndarray], pairs: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, partners, sizes of the intersections) of each row of pairs; by products if most pairs are asked for, else one by one."""
+    if sum(len(js) for _, js in pairs) > len(sets) ** 2 // 8:
+        both = intersections(sets)
+        for i, js in pairs:
+            yield i, js, both[i, js].astype(np.int64)
+        return
+    for i, js in pairs:
+        mine, theirs = sets[i], np.concatenate([sets[j] for j in js])
+        at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+        starts = np.concatenate(([0], np.cumsum([len(sets[j]) for j in js])))[:-1]
+        yield i, js, np.add.reduceat((mine[at] == theirs).astype(np.int64), starts)
+
+
+def links(sets: list[np.ndarray], copies: np.ndarray, pairs: list[tuple[int, np.ndarray]], threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, Forest]:
+    """(linked documents, linked classes) of each set, and the forest of its links; the given pairs compared exactly."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.float64)
-    both = intersections(sets).astype(np.float64)
-    # integers decide: |A n B| / |A u B| >= threshold
-    linked = both * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-9
-    np.fill_diagonal(linked, False)
-    if side is not None:
-        linked &= side[:, None] != side[None, :]
-    forest = Forest(n)
-    for i in range(n - 1):
-        forest.join(i, np.flatnonzero(linked[i, i + 1 :]) + i + 1)
-    return linked @ copies, linked.sum(1), forest
+    documents, classes, forest = np.zeros(n, np.int64), np.zeros(n, np.int64), Forest(n)
+    for i, js, both in overlaps(sets, pairs):
+        # integers decide: |A n B| / |A u B| >= threshold
+        js = js[both * (1 + threshold) >= threshold * (sizes[i] + sizes[js]) - 1e-9]
+        documents[i] += copies[js].sum()
+        classes[i] += len(js)
+        documents[js] += copies[i]
+        classes[js] += 1
+        forest.join(i, js)
+    return documents, classes, forest
 
 
 def streamed(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -186,140 +211,188 @@ def streamed(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tup
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, text_key (md5), set_key (of its shingle set), n (shingles), bands, values (MinHash)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("set_key", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("values", pa.binary())])
+    """One row a document: doc_id, text_key (md5), set_key (of its shingle set), n (shingles), values (MinHash)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("set_key", pa.binary()), ("n", pa.int64()), ("values", pa.binary())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts = [x or "" for x in b.column(1).to_pylist()]
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             for text, s in zip(texts, shingle_sets(texts), strict=True):
-                v = minhash(s)
-                for column, value in zip(out, (hashlib.md5(text.encode()).digest(), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), band_keys(v), v.astype(np.uint16).tobytes()), strict=True):
+                for column, value in zip(out, (hashlib.md5(text.encode()).digest(), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), minhash(s).tobytes()), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(out, list(schema)[1:], strict=True))], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, text_key binary, set_key binary, n long, bands array<long>, values binary")
+    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, text_key binary, set_key binary, n long, values binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, root): the least vertex of each vertex's component, for edges (a, b).
+    """(v, root): the least vertex of each vertex's component, for edges (a, b); vertices of no other edge than (a, a) are left out.
 
     Every vertex points at its least neighbour, pointers are followed, and the graph is contracted to the roots; each
-    round is written to the shared folder. A graph of n vertices takes about log n rounds."""
+    round is written to the shared folder, and what it replaces is removed. A graph of n vertices takes about log n rounds."""
+    spark = edges.sparkSession
+    held: dict[str, str] = {}
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        path = scratch(spark, name)
+        out = write_table(df, path)
+        if name in held:
+            remove(spark, held[name])
+        held[name] = path
+        return out
+
     both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    graph = materialize(both, "edges")
+    graph = keep(both, "edges")
     labels = graph.select(F.col("a").alias("v"), F.col("a").alias("root")).distinct()
     while True:
-        point = materialize(graph.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")), "point")
+        least = keep(graph.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")), "least")
+        point = least
         for _ in range(2):
             ahead = point.select(F.col("a").alias("p"), F.col("p").alias("pp"))
             point = point.join(ahead, "p").select("a", F.col("pp").alias("p"))
-        point = materialize(point, "point")
+        point = keep(point, "point")
         left, right = point.select("a", F.col("p").alias("pa")), point.select(F.col("a").alias("b"), F.col("p").alias("pb"))
-        graph = materialize(graph.join(left, "a").join(right, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "edges")
         renamed = point.select(F.col("a").alias("root"), "p")
-        labels = materialize(labels.join(renamed, "root", "left").select("v", F.coalesce("p", "root").alias("root")), "labels")
+        labels = keep(labels.join(renamed, "root", "left").select("v", F.coalesce("p", "root").alias("root")), "labels")
+        graph = keep(graph.join(left, "a").join(right, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "edges")
         if graph.isEmpty():
+            for name in ("edges", "least", "point"):
+                remove(spark, held[name])
             return labels
 
 
-def in_blocks(df: DataFrame, blocks: Column, key: str) -> DataFrame:
-    """Deal each group's rows to the pairs of its blocks: columns block, i, j with block in (i, j) and i <= j."""
-    df = df.withColumn("__n", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64(F.col(key), F.lit("block")), F.col("__n")).cast("int"))
-    df = df.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    return df.withColumn("i", F.least("block", "__o")).withColumn("j", F.greatest("block", "__o")).drop("__n", "__o")
+def n_blocks(members: Column, shingles: Column | None = None) -> Column:
+    """Blocks that a group of `members` is cut into."""
+    by_rows = F.greatest(F.least(F.ceil(members / F.lit(BLOCK)), F.lit(FEW)), F.ceil(members / F.lit(MOST)))
+    return (by_rows if shingles is None else F.greatest(F.ceil(members / F.lit(BLOCK)), F.ceil(shingles / F.lit(BLOCK_SHINGLES)))).cast("int")
 
 
-def _edges(fn: Callable[[list[tuple], np.ndarray | None], list[dict]], schema: pa.Schema):
-    """A mapInArrow function over rows sorted by (group, i, j, block, ...)."""
+def block_of(key: Column, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit("block")), blocks).cast("int")
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[dict] = []
-        for (_, i, j), group in streamed(batches, 3):
-            if len(group) > 1:
-                out += fn(group, None if i == j else np.array([r[3] for r in group]))
-            if len(out) >= 4096:
-                yield pa.RecordBatch.from_pylist(out, schema)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema)
 
-    return rows
+def in_blocks(df: DataFrame, key: str) -> DataFrame:
+    """Deal each group's rows (with column blocks) to the pairs of its blocks: columns block, i, j with block in (i, j) and i <= j."""
+    df = df.withColumn("block", block_of(F.col(key), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return df.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(documents, classes) of `docs` (doc_id, text).
+def candidates(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, root, partners): a class, the least connected with it in its pair of blocks, and the classes whose pairs with it survive.
 
-    documents: doc_id, text_key, set_key, one row a row of `docs`. classes: set_key, copies, rep_id and rep_key (the
-    least document and its text's md5), links (documents of other sets at or above the threshold), linked_sets, and
-    class_id, class_key: the least document of the connected class."""
-    bounded_batches(docs.sparkSession)
-    sketch = materialize(sketched(docs), "sketch")
-    sets = sketch.groupBy("set_key").agg(
-        F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.any_value("n").alias("n"),
-        F.any_value("bands").alias("bands"), F.any_value("values").alias("values"),
-    )
-    sets = materialize(sets.withColumn("cid", F.monotonically_increasing_id()), "sets")
-
-    # buckets of at least two sets; of buckets with the same members one is enough
-    dealt = sets.where("n > 0").select("cid", F.explode("bands").alias("key"))
+    `sets`: cid, n, values. A bucket is a band and its bits; of buckets with the same members the one of the least band
+    is enough, since a pair's first band cannot be later than it."""
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.substring("values", i * 2 * ROWS + 1, F.lit(2 * ROWS)).alias("bits")))
+    dealt = sets.where("n > 0").select("cid", F.explode(bands).alias("key"))
     sums = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y")).where("size > 1")
     buckets = materialize(sums.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size"), "buckets")
     met = dealt.join(buckets, "key").join(sets.select("cid", "values"), "cid")
-    met = in_blocks(met, F.ceil(F.col("size") / BLOCK), "cid").select("key", "i", "j", "block", "cid", "values")
+    met = in_blocks(met.withColumn("blocks", n_blocks(F.col("size"))), "cid").select("key.band", "key.bits", "i", "j", "block", "cid", "values")
     need = least_matches(threshold)
+    schema = pa.schema([("a", pa.int64()), ("root", pa.int64()), ("partners", pa.list_(pa.int64()))])
+
+    def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        for (band, _, i, j), group in streamed(batches, 4):
+            values = np.frombuffer(b"".join(r[6] for r in group), VALUE).reshape(len(group), HASHES)
+            ids, forest, found = np.array([r[5] for r in group]), Forest(len(group)), []
+            for at, later in survivors(values, band, None if i == j else np.array([r[4] for r in group]), need):
+                forest.join(at, later)
+                found.append((at, later))
+            roots, partners = forest.roots(), {at: ids[later] for at, later in found}
+            for at in np.flatnonzero(roots != np.arange(len(ids))).tolist() if found else ():
+                out.append({"a": ids[at], "root": ids[roots[at]], "partners": partners.pop(at, [])})
+                held += 1 + len(out[-1]["partners"])
+            for at, later in partners.items():
+                out.append({"a": ids[at], "root": ids[at], "partners": later})
+                held += len(later)
+            if held >= 1 << 17:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema)
 
-    def connect(group: list[tuple], side: np.ndarray | None) -> list[dict]:
-        values = np.frombuffer(b"".join(r[5] for r in group), np.uint16).reshape(len(group), HASHES)
-        roots = survivors(values, side, need).roots()
-        return [{"a": group[int(r)][4], "b": group[i][4]} for i, r in enumerate(roots) if r != i]
+    order = ["band", "bits", "i", "j", "block", "cid"]
+    return met.repartition("band", "bits", "i", "j").sortWithinPartitions(*order).mapInArrow(connect, "a long, root long, partners array<long>")
 
-    edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    order = ["key", "i", "j", "block", "cid"]
-    candidates = met.repartition("key", "i", "j").sortWithinPartitions(*order).mapInArrow(_edges(connect, edge), "a long, b long")
-    cells = components(candidates)
 
+def verified(docs: DataFrame, sets: DataFrame, found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, links, linked_sets) of the surviving pairs `found` (candidates) that reach the threshold: a class b, one
+    connected with it, and the documents and classes of its links, in parts to be summed."""
+    cells = components(found.select("a", F.col("root").alias("b")))
     # fetch the sets of cells' members once, by a document that has them
     sized = cells.join(sets.select(F.col("cid").alias("v"), "copies", "n", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key")), "v")
     total = sized.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
-    sized = materialize(sized.join(total, "root"), "cells")
+    sized = materialize(sized.join(total.select("root", n_blocks(F.col("members"), F.col("shingles")).alias("blocks")), "root"), "cells")
     text = F.coalesce(F.col("text"), F.lit(""))
     source = docs.select(F.col("doc_id").alias("rep_id"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("rep_key"), text.alias("text"))
     # members grow with the corpus: one plan for every size, not a broadcast while they are few
     fetched = source.join(sized.hint("merge"), source["rep_id"].eqNullSafe(sized["rep_id"]) & (source["rep_key"] == sized["rep_key"]))
-    fetched = fetched.select("root", "v", "copies", "members", "shingles", "text")
+    fetched = fetched.select("root", "v", "copies", "blocks", "text")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [s.tobytes() for s in shingle_sets(b.column(5).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(found, pa.binary())], names=[*b.schema.names[:5], "set"])
-
-    held = fetched.mapInArrow(to_sets, "root long, v long, copies long, members long, shingles long, set binary")
-    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES))
-    held = in_blocks(held, blocks, "v").select("root", "i", "j", "block", "v", "copies", "set")
-
-    def verify(group: list[tuple], side: np.ndarray | None) -> list[dict]:
-        group = list({r[4]: r for r in group}.values())  # repeated rows of one document bring its set again
-        if len(group) < 2:
-            return []
-        side = None if side is None else np.array([r[3] for r in group])
-        documents, linked, forest = links([np.frombuffer(r[6], np.uint64) for r in group], np.array([r[5] for r in group]), side, threshold)
-        roots = forest.roots()
-        return [{"a": group[int(roots[i])][4], "b": r[4], "links": int(documents[i]), "linked_sets": int(linked[i])} for i, r in enumerate(group) if linked[i]]
-
-    found = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64()), ("linked_sets", pa.int64())])
-    verified = held.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "block", "v").mapInArrow(_edges(verify, found), "a long, b long, links long, linked_sets long")
-    verified = materialize(verified, "links")
-    counted = verified.groupBy(F.col("b").alias("cid")).agg(F.sum("links").alias("links"), F.sum("linked_sets").alias("linked_sets"))
-    joined = components(verified.select("a", "b")).withColumnRenamed("v", "cid")
-    slim = sets.select("cid", "set_key", "copies", "rep").join(counted, "cid", "left").join(joined, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    head = slim.groupBy("root").agg(F.min("rep").alias("head"))
-    out = slim.join(head, "root").select(
-        "set_key", "copies", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"), F.coalesce("links", F.lit(0)).alias("links"),
-        F.coalesce("linked_sets", F.lit(0)).alias("linked_sets"), F.col("head.doc_id").alias("class_id"), F.col("head.text_key").alias("class_key"),
-    )
-    return sketch.select("doc_id", "text_key", "set_key"), materialize(out, "classes")
+        for b in sliced(batches):
+            sets_ = [s.tobytes() for s in shingle_sets(b.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sets_, pa.binary())], names=[*b.schema.names[:4], "set"])
+
+    held = fetched.mapInArrow(to_sets, "root long, v long, copies long, blocks int, set binary")
+    none = F.array().cast("array<bigint>")
+    held = in_blocks(held, "v").select("root", "i", "j", F.lit(0).alias("kind"), "v", "copies", "set", none.alias("partners"))
+    # a class's partners go where its block meets theirs
+    asked = found.where(F.size("partners") > 0).join(sized.select(F.col("v").alias("a"), F.col("root").alias("cell"), "blocks"), "a")
+    asked = asked.withColumn("mine", block_of(F.col("a"), F.col("blocks"))).withColumn("their", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    theirs = F.when(F.col("blocks") == 1, F.col("partners")).otherwise(F.filter("partners", lambda x: block_of(x, F.col("blocks")) == F.col("their")))
+    asked = asked.select(F.col("cell").alias("root"), F.least("mine", "their").alias("i"), F.greatest("mine", "their").alias("j"), F.lit(1).alias("kind"), F.col("a").alias("v"), F.lit(0).cast("long").alias("copies"), F.lit(None).cast("binary").alias("set"), theirs.alias("partners"))
+    together = held.unionByName(asked.where(F.size("partners") > 0))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64()), ("linked_sets", pa.int64())])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
+        for _, group in streamed(batches, 3):
+            # repeated rows of one document bring its set again; a class's pairs may come from several buckets
+            members = list({r[4]: r for r in group if r[3] == 0}.values())
+            at = {r[4]: k for k, r in enumerate(members)}
+            pairs = [(at[r[4]], np.array([at[x] for x in r[7]])) for r in group if r[3] == 1]
+            if not pairs:
+                continue
+            documents, linked, forest = links([np.frombuffer(r[6], np.uint64) for r in members], np.array([r[5] for r in members]), pairs, threshold)
+            roots = forest.roots()
+            out += [{"a": members[int(roots[k])][4], "b": r[4], "links": int(documents[k]), "linked_sets": int(linked[k])} for k, r in enumerate(members) if linked[k]]
+            if len(out) >= 4096:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    placed = together.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "kind", "v")
+    return placed.mapInArrow(verify, "a long, b long, links long, linked_sets long")
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(documents, classes) of `docs` (doc_id, text).
+
+    documents: doc_id, text_key, set_key, one row a row of `docs`. classes: set_key, copies, rep_id and rep_key (the
+    least document and its text's md5), links (documents of other sets at or above the threshold), linked_sets, and
+    class_id, class_key: the least document of the connected class."""
+    spark = docs.sparkSession
+    keys, result = scratch(spark, "keys"), scratch(spark, "classes")
+    with temporary(spark):
+        sketch = materialize(sketched(docs), "sketch")
+        sets = sketch.groupBy("set_key").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.any_value("n").alias("n"), F.any_value("values").alias("values"))
+        sets = materialize(sets.withColumn("cid", F.monotonically_increasing_id()), "sets")
+        documents = write_table(sketch.select("doc_id", "text_key", "set_key"), keys)
+        found = materialize(candidates(sets, threshold), "candidates")
+        linked = materialize(verified(docs, sets, found, threshold), "links")
+        counted = linked.groupBy(F.col("b").alias("cid")).agg(F.sum("links").alias("links"), F.sum("linked_sets").alias("linked_sets"))
+        joined = components(linked.select("a", "b")).withColumnRenamed("v", "cid")
+        slim = sets.select("cid", "set_key", "copies", "rep").join(counted, "cid", "left").join(joined, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        head = slim.groupBy("root").agg(F.min("rep").alias("head"))
+        out = slim.join(head, "root").select(
+            "set_key", "copies", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"), F.coalesce("links", F.lit(0)).alias("links"),
+            F.coalesce("linked_sets", F.lit(0)).alias("linked_sets"), F.col("head.doc_id").alias("class_id"), F.col("head.text_key").alias("class_key"),
+        )
+        return documents, write_table(out, result)
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -337,13 +410,40 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` (doc_id, text, any others) that are the least document of their class, with their columns."""
+    """The rows of `docs` (doc_id, text, any others) that are the least document of their class, with their columns.
+
+    Of repeated rows of one document one stays."""
     _, found = classes(docs, threshold)
-    heads = found.select(F.col("class_id").alias("__id"), F.col("class_key").alias("__key")).distinct()
-    keyed = docs.withColumn("__text_key", F.unhex(F.md5(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"))))
-    kept = keyed.join(heads, keyed["doc_id"].eqNullSafe(heads["__id"]) & (keyed["__text_key"] == heads["__key"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__text_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    heads = found.select(F.col("class_id").alias("id"), F.col("class_key").alias("key")).distinct()
+    keyed = boxed(docs).select("row", F.col("row.doc_id").alias("doc"), F.unhex(F.md5(F.encode(F.coalesce(F.col("row.text"), F.lit("")), "UTF-8"))).alias("text_key"))
+    kept = keyed.join(heads, keyed["doc"].eqNullSafe(heads["id"]) & (keyed["text_key"] == heads["key"]), "left_semi")
+    return kept.dropDuplicates(["doc", "text_key"]).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
+
+
+SQL = f"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+    SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= {K} THEN list_transform(range(1, len(w) - {K - 2}), lambda i: array_to_string(w[i:i + {K - 1}], ' '))
+                                                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS shingles FROM d
+), sets AS (
+    SELECT shingles, min(doc_id) AS rep, count(*) AS copies, len(shingles) AS n FROM s GROUP BY shingles
+), each AS (
+    SELECT rep, copies, n, unnest(shingles) AS x FROM sets
+), pairs AS (
+    SELECT a.rep AS a, b.rep AS b, b.copies AS copies FROM each a JOIN each b ON a.x = b.x AND a.rep <> b.rep
+    GROUP BY a.rep, b.rep, b.copies, a.n, b.n HAVING count(*) >= {THRESHOLD} * (a.n + b.n - count(*))
+), counts AS (
+    SELECT a AS rep, sum(copies) AS links, count(*) AS linked_sets FROM pairs GROUP BY a
+), reach AS (
+    SELECT rep AS a, rep AS b FROM sets UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a
+), heads AS (
+    SELECT a AS rep, min(b) AS class_id FROM reach GROUP BY a
+)
+SELECT doc_id, class_id, (coalesce(links, 0) + copies - 1)::BIGINT AS n_links, rep AS copy_id, copies AS n_copies, coalesce(linked_sets, 0)::BIGINT AS linked_sets
+FROM s JOIN sets USING (shingles) JOIN heads USING (rep) LEFT JOIN counts USING (rep)
+"""

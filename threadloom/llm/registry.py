@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import language_id, license_scan, line_crf, mixing, near_pairs, packing, quality_rules, sharding, warc, winnowing
+from threadloom.llm import language_id, license_scan, line_crf, mixing, near_pairs, packing, quality_rules, quality_sql, sharding, warc, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.query,
@@ -20,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_crf": line_crf.query,
     "op10_language_bitmask": language_id.query,
 }
-SQL: dict[str, str] = {"op1_warc": warc.SQL}
+SQL: dict[str, str] = {"op1_warc": warc.SQL, "op5_quality_rules": quality_sql.SQL, "op6_jaccard_join": near_pairs.SQL}

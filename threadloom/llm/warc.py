@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import bounded_batches, hashed_sample, materialize, scratch, table
+from threadloom.llm.common import sliced, hashed_sample, materialize, scratch, table
 
 #: Magic number of the skippable frame that carries a dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -163,7 +163,7 @@ def write(planned_pages: DataFrame, folder: str, dictionary: bytes) -> DataFrame
 
     Only files named in the returned table count: it is written by Spark's own commit, so a task that is run again
     after its executor was lost leaves files that nothing names."""
-    bounded_batches(planned_pages.sparkSession)
+
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[bytes]:
