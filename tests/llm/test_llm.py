@@ -571,32 +571,98 @@ def test_marginals_against_enumeration():
 def test_line_field(spark, frame):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     model = line_crf.train(docs, labels)
-    rows = line_crf.scored(docs, model).select("doc_id", line_crf.held_out().alias("out"), "__score").collect()
+    rows = line_crf.scored(docs, model).select("doc_id", line_crf.held_out().alias("out"), "score").collect()
     quality = {r.doc_id: r.quality for r in labels.collect()}
-    tested = [(quality[r.doc_id], r["__score"] >= 0.5) for r in rows if r.doc_id in quality and r.out]
+    tested = [(quality[r.doc_id], r.score >= 0.5) for r in rows if r.doc_id in quality and r.out]
     assert len(rows) == docs.count() and sum(bool(q) == p for q, p in tested) >= 0.9 * len(tested)
     assert all(r.out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
     edge = line_crf.scored(frame(EDGE), model)
-    assert edge.columns[:-1] == frame(EDGE).columns and all(0 <= r["__score"] <= 1 for r in edge.collect())
+    assert edge.columns == ["doc_id", "score"] and all(0 <= r.score <= 1 for r in edge.collect())
     assert line_crf.scored(frame(EDGE).where("doc_id < 0"), model).count() == 0
+    kept = line_crf.keep(docs, model)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows if r.score >= 0.5}
+    assert line_crf.keep(frame(EDGE), model, 0.0).exceptAll(frame(EDGE)).count() == 0
     alone = line_crf.train(docs, labels.where("quality = 1"))
     assert all(0.5 < s <= 1 for s in line_crf.scores(["text", ""], alone))
     assert line_crf.scores(["text"], line_crf.train(docs, labels.where("doc_id < 0")))[0] <= 0.5
 
 
+def test_line_field_against_enumeration_of_labels(spark):
+    """Document scores from the definition: every labelling of a text's lines, weighed."""
+    model = line_crf.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    texts = ["Is and the of it.", "Is and the of it.\n\nAA!! BB!! CC!!\n | x | y | z", "a\nb\na\nb\nlonger line of words, with marks.\n99 $$ 1", "###\n\tThe end."]
+    a, b = model["scale"]
+    for t, got in zip(texts, line_crf.scores(texts, model), strict=True):
+        _, sizes, f = line_crf.line_features([t])
+        score, weight, good = f @ model["weights"], 0.0, np.zeros(len(sizes))
+        for y in itertools.product((0, 1), repeat=len(sizes)):
+            w = math.exp(sum(s for s, k in zip(score, y, strict=True) if k) + sum(model["trans"][j, k] for j, k in itertools.pairwise(y)))
+            weight, good = weight + w, good + w * np.array(y)
+        z = np.clip((good / weight * sizes).sum() / sizes.sum(), 1e-4, 1 - 1e-4)
+        assert got == pytest.approx(1 / (1 + math.exp(-(a * math.log(z / (1 - z)) + b))), abs=1e-6)
+
+
+def test_line_field_fits_a_very_long_document(spark, frame, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
+    long = "\n".join(f"Line {i} of a long text, and so on." for i in range(300_000))
+    i = next(i for i in range(10**6, 10**6 + 9) if zlib.crc32(str(i).encode()) % 3 != 1)
+    more = docs.union(frame([(i, long)]).select("doc_id", "text")), labels.union(spark.createDataFrame([(i, 1)], labels.schema))
+    parts = line_crf.chains(*more)
+    sizes = [r["sum(n)"] for r in parts.groupBy("doc").sum("n").collect()]
+    assert max(sizes) == 300_000 and parts.agg({"n": "max"}).first()[0] == line_crf.PART
+    seen, fit = [], line_crf.fit
+    monkeypatch.setattr(line_crf, "fit", lambda parts: seen.append(sum(len(p[2]) for p in parts)) or fit(parts))
+    model = line_crf.train(*more, lines=20_000)
+    assert 10_000 < seen[0] < 30_000 and line_crf.scores(["Line 1 of a long text, and so on.\n" * 3], model)[0] > 0.5
+
+
 # ---------------------------------------------------------------- 10 languages
 
 
 def test_languages(spark, frame):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     filters = language_id.train(docs)
-    rows = language_id.predict(docs, filters).collect()
-    right = [r.lang == r["__lang"] for r in rows if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    rows = language_id.predict(docs, filters).join(docs.select("doc_id", docs.lang.alias("true")), "doc_id").collect()
+    right = [r.lang == r.true for r in rows if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
     assert sum(right) >= 0.9 * len(right) and len(rows) == docs.count()
-    edge = {str(r.text)[:9]: (r["__lang"], r["__share"]) for r in language_id.predict(frame([*EDGE, (9, "1234 !!", "en", "a")]), filters).collect()}
-    assert edge["None"] == edge[""] == edge["1234 !!"] == ("und", 0.0) and all(0 <= s <= 1 for _, s in edge.values())
+    edge = {r.doc_id: (r.lang, r.share) for r in language_id.predict(frame([*EDGE, (9, "1234 !!", "en", "a")]), filters).collect()}
+    assert edge[1] == edge[2] == edge[9] == ("und", 0.0) and all(0 <= s <= 1 for _, s in edge.values())
     nothing = language_id.train(docs.where("lang IS NULL"))
-    assert {r["__lang"] for r in language_id.predict(frame(EDGE), nothing).collect()} == {"und"}
+    assert {r.lang for r in language_id.predict(frame(EDGE), nothing).collect()} == {"und"}
+
+
+def test_languages_against_exact_sets(spark):
+    """Filters from the definition: sets of n-grams of the sampled documents, and shares counted one n-gram at a time."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang IS NOT NULL")
+    rows = docs.select("doc_id", "text", "lang").collect()
+
+    def grams(t):
+        letters = re.sub(r"[^\w]|[\d_]", " ", t.lower())
+        out = [f" {' '.join(letters.split())} "]
+        return [x[i : i + 3] for x in out for i in range(len(x) - 2) if x[i + 1] != " "] if letters.strip() else []
+
+    counts, n = collections.defaultdict(collections.Counter), collections.Counter()
+    for r in rows:  # fewer documents a language than SAMPLE: all of them that are not held out
+        if zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            counts[r.lang].update(set(grams(r.text or "")))
+            n[r.lang] += 1
+    sets = {lang: {g for g, k in c.items() if k >= math.ceil(n[lang] * language_id.SHARE)} for lang, c in counts.items()}
+    assert max(n.values()) <= language_id.SAMPLE
+    filters = language_id.train(docs)
+    code = lambda x: (ord(x[0]) << 42) | (ord(x[1]) << 21) | ord(x[2])
+    for k, lang in enumerate(filters.languages):
+        bits = (filters.masks(np.array([code(g) for g in sets[lang]], np.uint64))[k // 64] >> np.uint64(k % 64)) & np.uint64(1)
+        assert bits.all() and filters.false[k] < 0.001
+    found = {r.doc_id: r for r in language_id.predict(docs, filters).collect()}
+    for r in rows:
+        g = grams(r.text or "")
+        shares = {lang: sum(x in s for x in g) / len(g) for lang, s in sets.items()} if g else {}
+        if not shares:
+            assert found[r.doc_id].lang == "und"
+            continue
+        best = max(shares.values())
+        assert found[r.doc_id].share == pytest.approx(best, abs=0.02) and shares[found[r.doc_id].lang] >= best - 0.02
 
 
 def test_filters_hold_their_members_and_bound_false_ones():

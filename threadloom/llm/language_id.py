@@ -8,10 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from threadloom.llm import textarrays as ta
-from threadloom.llm.common import sliced, hashed_sample, table
+from threadloom.llm.common import hashed_sample, materialize, sliced, small, table
 from threadloom.llm.line_crf import held_out
 
 #: Labelled documents a language that the filters are built from, at most: those with the smallest hashes of doc_id.
@@ -85,15 +84,15 @@ def train(docs: DataFrame, sample: int = SAMPLE, share: float = SHARE) -> Filter
     """Build filters from `docs` (doc_id, text, lang): not held out, lang known, at most `sample` documents a language.
 
     n-grams are counted on the executors; those that pass `share` reach the driver, at most a document's distinct
-    n-grams over `share` for each language."""
-
+    n-grams over `share` for each language. No step deals a language to one task: samples are thinned by hash before
+    they are ranked, and counts go by language and n-gram."""
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     chosen = hashed_sample(known.select("doc_id", "lang"), sample, ["doc_id"], "lang").distinct()
     rows = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")  # bounded: `sample` rows a language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("lang", pa.string()), ("code", pa.int64()), ("n", pa.int64())])
-        for b in batches:
+        for b in sliced(batches):
             langs, texts = np.array(b.column(0).to_pylist(), object), [x or "" for x in b.column(1).to_pylist()]
             for lo, hi in ta.chunks(texts):
                 codes, text, _ = grams(texts[lo:hi])
@@ -108,25 +107,24 @@ def train(docs: DataFrame, sample: int = SAMPLE, share: float = SHARE) -> Filter
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(held) + 1)), pa.array(np.concatenate(([0], held.astype(np.int64)))), pa.array(np.concatenate(([int((of == lang).sum())], n)))], schema=schema)
 
     counts = rows.select("lang", "text").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    total = F.max(F.when(F.col("code") == 0, F.col("n"))).over(Window.partitionBy("lang"))
-    common = counts.withColumn("total", total).where((F.col("code") != 0) & (F.col("n") >= F.ceil(F.col("total") * share))).select("lang", "code").toPandas()
+    counts = materialize(counts, "grams")
+    total = counts.where("code = 0").select("lang", F.col("n").alias("total"))  # one row a language
+    common = counts.where("code <> 0").join(small(total), "lang").where(F.col("n") >= F.ceil(F.col("total") * share)).select("lang", "code").toPandas()
     return Filters(languages := sorted(common["lang"].unique()), [common["code"][common["lang"] == x].to_numpy().astype(np.uint64) for x in languages])
 
 
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
-    """`docs` with __lang and __share: the language with the largest corrected share of a text's n-grams, ties by name.
+    """(doc_id, lang, share) of `docs` (doc_id, text): the language with the largest corrected share of a text's n-grams, ties by name.
 
     `und` and 0 where a text is null or has no letter, or where there is no filter. Each row is judged by itself;
-    repeated rows fare alike; an empty table gives no rows; other columns pass through."""
-    spark = docs.sparkSession
-
-    at = docs.columns.index("text")
-    held = spark.sparkContext.broadcast(filters)  # SLOTS words of 8 bytes a 64 languages
+    repeated rows fare alike; an empty table gives no rows; other columns are ignored. The text itself does not come
+    back from Python."""
+    held = docs.sparkSession.sparkContext.broadcast(filters)  # SLOTS words of 8 bytes a 64 languages
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = held.value
-        for b in batches:
-            texts = [x or "" for x in b.column(at).to_pylist()]
+        for b in sliced(batches):
+            texts = [x or "" for x in b.column(1).to_pylist()]
             langs, score = ["und"] * len(texts), np.zeros(len(texts))
             for lo, hi in ta.chunks(texts):
                 if not f.languages:
@@ -135,13 +133,11 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
                 best = shares.argmax(1)
                 for i in np.flatnonzero(has):
                     langs[lo + i], score[lo + i] = f.languages[best[i]], shares[i, best[i]]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs), pa.array(score)], names=[*b.schema.names, "__lang", "__share"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs), pa.array(score)], names=["doc_id", "lang", "share"])
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(rows, f"{names}, __lang string, __share double")
+    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, share double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    found = predict(docs.select("doc_id", "text"), train(docs))
-    return found.select("doc_id", held_out().alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__share").alias("score"))
+    return predict(docs, train(docs)).select("doc_id", held_out().alias("held_out"), F.col("lang").alias("lang_pred"), F.col("share").alias("score"))

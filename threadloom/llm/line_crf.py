@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import textarrays as ta
-from threadloom.llm.common import sliced, hashed_sample, table
+from threadloom.llm.common import hashed_sample, materialize, sliced, table
 
-#: Labelled documents that the field is fitted on, at most: those with the smallest hashes of doc_id.
-SAMPLE = 4000
+#: Labelled documents that the field is fitted on, at most: those with the smallest hashes of doc_id. Their lines are
+#: cut into chains of PART lines; of more than LINES lines in all, the chains with the smallest hashes are taken.
+SAMPLE, LINES, PART = 4000, 200_000, 64
+#: Chains that are swept together.
+SWEPT = 2048
 ROUNDS, RATE, RIDGE = 150, 0.1, 1e-4
 
 OWN = 19
@@ -126,41 +129,48 @@ def _sweep(score: np.ndarray, there: np.ndarray, trans: np.ndarray) -> tuple[np.
     return good, pairs
 
 
-def fit(parts: list[tuple[np.ndarray, np.ndarray, int]]) -> dict:
-    """Fit weights, transitions and the calibration of a text's mean from (sizes, features, label) of texts.
+def fit(parts: list[tuple[int, int, np.ndarray, np.ndarray]]) -> dict:
+    """Fit weights, transitions and the calibration of a text's mean from chains of lines: (document, label, sizes, features).
 
-    Every line carries its text's label; the likelihood's gradient comes from forward-backward, its ascent is Adam's."""
-    parts = [p for p in parts if len(p[0])]
-    good = sum(p[2] for p in parts)
-    if not parts or good in (0, len(parts)):
+    Every line carries its text's label; the likelihood's gradient comes from forward-backward, its ascent is Adam's.
+    Chains of about one length are padded to the longest of their group, so that a long text costs what its lines do."""
+    parts = [p for p in parts if len(p[2])]
+    label, lines = {p[0]: p[1] for p in parts}, {}
+    for p in parts:
+        lines[p[0]] = lines.get(p[0], 0) + len(p[2])
+    good = sum(label.values())
+    if not parts or good in (0, len(label)):
         return {"weights": np.zeros(WIDTH), "trans": np.zeros((2, 2)), "scale": (0.0, 6.0 if good else 0.0), "empty": 0.99 if good else 0.5}
-    parts.sort(key=lambda p: len(p[0]))
+    order = sorted(range(len(parts)), key=lambda i: len(parts[i][2]))
     groups = []
-    for at in range(0, len(parts), 200):
-        some = parts[at : at + 200]
-        steps = len(some[-1][0])
+    for at in range(0, len(order), SWEPT):
+        some = [parts[i] for i in order[at : at + SWEPT]]
+        steps = len(some[-1][2])
         x, there = np.zeros((len(some), steps, WIDTH), np.float32), np.zeros((len(some), steps), bool)
-        for i, (sizes, f, _) in enumerate(some):
+        for i, (_, _, sizes, f) in enumerate(some):
             x[i, : len(sizes)], there[i, : len(sizes)] = f, True
-        y = np.array([p[2] for p in some])
-        # a text counts once, bad texts as much as good ones together
-        w = np.where(y == 1, 0.5 / good, 0.5 / (len(parts) - good))
+        y = np.array([p[1] for p in some])
+        # a text counts once, however many chains it has; bad texts as much as good ones together
+        w = np.where(y == 1, 0.5 / good, 0.5 / (len(label) - good)) / np.array([lines[p[0]] for p in some])
         groups.append((x, there, y, w))
     theta, m, v = np.zeros(WIDTH + 4), np.zeros(WIDTH + 4), np.zeros(WIDTH + 4)
     for step in range(1, ROUNDS + 1):
         grad = -RIDGE * theta
         for x, there, y, w in groups:
-            p, pairs = _sweep(x @ theta[:WIDTH], there, theta[WIDTH:].reshape(2, 2))
-            lines = np.maximum(there.sum(1), 1)
-            grad[:WIDTH] += np.einsum("ns,nsw->w", (w / lines)[:, None] * (y[:, None] - p) * there, x)
+            p, pairs = _sweep(x @ theta[:WIDTH].astype(np.float32), there, theta[WIDTH:].reshape(2, 2))
+            grad[:WIDTH] += np.einsum("ns,nsw->w", w[:, None] * (y[:, None] - p) * there, x)
             seen = np.zeros((len(y), 2, 2))
-            seen[np.arange(len(y)), y, y] = lines - 1
-            grad[WIDTH:] += np.einsum("n,nab->ab", w / lines, seen - pairs).ravel()
+            seen[np.arange(len(y)), y, y] = there.sum(1) - 1
+            grad[WIDTH:] += np.einsum("n,nab->ab", w, seen - pairs).ravel()
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta += RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    model = {"weights": theta[:WIDTH], "trans": theta[WIDTH:].reshape(2, 2), "scale": (1.0, 0.0), "empty": good / len(parts)}
-    raw = np.array([document_mean(p[0], p[1], model) for p in parts])
-    model["scale"] = calibrate(np.log(raw / (1 - raw)), np.array([p[2] for p in parts], float))
+    model = {"weights": theta[:WIDTH], "trans": theta[WIDTH:].reshape(2, 2), "scale": (1.0, 0.0), "empty": good / len(label)}
+    sums = {d: [0.0, 0.0] for d in label}
+    for d, _, sizes, f in parts:
+        sums[d][0] += document_mean(sizes, f, model) * sizes.sum()
+        sums[d][1] += sizes.sum()
+    raw = np.array([a / b for a, b in sums.values()])
+    model["scale"] = calibrate(np.log(raw / (1 - raw)), np.array([label[d] for d in sums], float))
     return model
 
 
@@ -203,45 +213,62 @@ def held_out(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.encode(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "UTF-8")), F.lit(3)) == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
-    """Fit on at most `sample` labelled, not held-out documents; only their line features reach the driver."""
+def chains(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc, part, n, h, y, sizes, features) of at most `sample` labelled, not held-out documents: their lines in chains."""
     chosen = labels.where(~held_out() & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality")
     chosen = hashed_sample(chosen, sample, ["doc_id", "quality"])
+    schema = pa.schema([("doc", pa.int64()), ("part", pa.int32()), ("n", pa.int32()), ("h", pa.float64()), ("y", pa.int32()), ("sizes", pa.binary()), ("features", pa.binary())])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, y = [x or "" for x in b.column(0).to_pylist()], b.column(1).to_pylist()
+        for b in sliced(batches):
+            ids, texts, y = b.column(0).to_pylist(), [x or "" for x in b.column(1).to_pylist()], b.column(2).to_pylist()
             for lo, hi in ta.chunks(texts):
                 text, size, f = line_features(texts[lo:hi])
                 cuts = np.flatnonzero(np.diff(text, prepend=-1, append=-1))
-                rows = [{"y": y[lo + int(text[s])], "sizes": size[s:e].tobytes(), "features": f[s:e].astype(np.float16).tobytes()} for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("y", pa.int32()), ("sizes", pa.binary()), ("features", pa.binary())]))
+                for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    i = lo + int(text[s])
+                    with np.errstate(over="ignore"):
+                        h = ta.mix(np.arange(-(-(e - s) // PART), dtype=np.uint64) * ta.PRIME + ta.mix(np.array([ids[i]], np.int64).view(np.uint64))).astype(np.float64) / 2.0**64
+                    rows = [{"doc": ids[i], "part": k, "n": min(e, at + PART) - at, "h": float(h[k]), "y": y[i], "sizes": size[at : min(e, at + PART)].tobytes(), "features": f[at : min(e, at + PART)].astype(np.float16).tobytes()} for k, at in enumerate(range(s, e, PART))]
+                    yield pa.RecordBatch.from_pylist(rows, schema)
 
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")  # bounded: `sample` rows
+    return rows.mapInArrow(extract, "doc long, part int, n int, h double, y int, sizes binary, features binary")
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality")  # bounded: `sample` rows
-    rows = rows.mapInArrow(extract, "y int, sizes binary, features binary").collect()
-    parts = [(np.frombuffer(r.sizes, np.int64), np.frombuffer(r.features, np.float16).reshape(-1, WIDTH).astype(np.float32), r.y) for r in sorted(rows, key=lambda r: (r.sizes, r.features, r.y))]
-    return fit(parts)
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = LINES) -> dict:
+    """Fit on chains(); only their features reach the driver, of about `lines` lines at most, however long the documents."""
+    held = materialize(chains(docs, labels, sample), "chains")
+    total = held.agg(F.sum("n")).first()[0] or 0  # one number
+    rows = (held if total <= lines else held.where(F.col("h") < lines / total)).collect()
+    rows.sort(key=lambda r: (r.doc, r.part, r.sizes, r.features))
+    return fit([(r.doc, r.y, np.frombuffer(r.sizes, np.int64), np.frombuffer(r.features, np.float16).reshape(-1, WIDTH).astype(np.float32)) for r in rows])
 
 
 def scored(docs: DataFrame, model: dict) -> DataFrame:
-    """`docs` with score (double) as a last column; null texts are empty, other columns pass through.
+    """(doc_id, score) of `docs` (doc_id, text); null texts are empty. The text itself does not come back from Python.
+
+    Each row is scored by itself: repeated rows score alike; an empty table gives no rows; other columns are ignored."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores([x or "" for x in b.column(1).to_pylist()], model), pa.float64())], names=["doc_id", "score"])
+
+    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
-    Each row is scored by itself: repeated rows score alike; an empty table gives no rows."""
 
+def keep(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
+    """The rows of `docs` (text, any others) that score `least` or more, with their columns, whatever their names."""
     at = docs.columns.index("text")
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = scores([x or "" for x in b.column(at).to_pylist()], model)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, "__score"])
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            yield b.filter(pa.array([s >= least for s in scores([x or "" for x in b.column(at).to_pylist()], model)], pa.bool_()))
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(score, f"{names}, __score double")
+    return docs.mapInArrow(good, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = train(docs, table(spark, sf_dir, "labels"))
-    out = scored(docs, model)
-    return out.select("doc_id", held_out().alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    out = scored(docs, train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tokenizers import Tokenizer
 
-from threadloom.llm.common import sliced, grouped_index, materialize, table
+from threadloom.llm.common import grouped_index, materialize, sliced, table
 
 #: Tokens a sequence holds, and the id that ends each document.
 CAPACITY, END = 4096, 1
@@ -118,12 +118,11 @@ class ChunkEncoder:
 
 def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """Cut the token ids of `docs` (doc_id, text) into pieces of at most `capacity`: doc_id, piece, start, length, ids_crc32."""
-
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = ChunkEncoder(tokenizer).encode, np.array([END], "<u4").tobytes()
-        for b in batches:
+        for b in sliced(batches):
             out: list[list] = [[], [], [], [], []]
             ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             for doc_id, text in zip(ids, texts, strict=True):

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import sliced, hashed_sample, materialize, scratch, table
+from threadloom.llm.common import hashed_sample, materialize, scratch, sliced, table
 
 #: Magic number of the skippable frame that carries a dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -167,7 +167,7 @@ def write(planned_pages: DataFrame, folder: str, dictionary: bytes) -> DataFrame
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[bytes]:
-            for b in batches:
+            for b in sliced(batches):
                 for p, u, h, d, n, k, r in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "payload_digest", "payload_bytes", "record_type", "refers_to")), strict=True):
                     yield record(p, u, h.encode(), d, n, k, r)
 
