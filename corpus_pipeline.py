@@ -8,10 +8,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from threadloom.llm import line_crf, mixing, near_pairs, packing, quality_rules
-from threadloom.llm.common import materialize, table
+from threadloom.llm.common import remove, scratch, table, temporary, write_table
 
 LEAST_SCORE = 0.5
 
@@ -25,7 +24,7 @@ def stage_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str)
     """Documents that the line field scores as good; it is fitted on labelled documents of the whole table, since few
     of the bad ones are left after the rules."""
     model = line_crf.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return line_crf.scored(docs, model).where(F.col("__score") >= LEAST_SCORE).drop("__score")
+    return line_crf.keep(docs, model, LEAST_SCORE)
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +56,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents, each written as Parquet to the shared folder and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply the stages to documents, each written as Parquet to the shared folder and read by the next.
+
+    A stage's own scratch tables go once it is written, and its input with them."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = scratch(spark, f"stage-{name}")
+        with temporary(spark):
+            docs = write_table(stage(spark, docs, sf_dir), path)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
