@@ -177,12 +177,57 @@ def test_license_spans(frame):
     assert not any(found[i] for i in (4, 5, 6, 7)) and len(found[8]) == 2
 
 
+def brute_places(text, index):
+    """Finds without fingerprints or bands: every template is aligned with the whole text, again and again."""
+    t, at, h = license_scan.hashed_words([text])
+    finds = []
+    for k, words in enumerate(index.words):
+        todo = [(0, len(h))]
+        while todo:
+            lo, hi = todo.pop()
+            pairs = license_scan.align(words, h[lo:hi], 1 - len(words), hi - lo - 1)[1] if hi > lo else []
+            if len(pairs) >= license_scan.LEAST_COVERAGE * len(words):
+                found = [lo + j for _, j in pairs]
+                finds.append((k, found))
+                todo += [(lo, found[0]), (found[-1] + 1, hi)]
+    return [(index.names[k], len(p), int(at[p[0]]), int(at[p[-1]]), [index.names[x] for x in sorted(also)]) for k, p, also in license_scan.settled(finds, [len(w) for w in index.words])]
+
+
+def test_license_scan_against_brute_force():
+    rng, index = random.Random(12), license_scan.Index(license_scan.TEMPLATES)
+    filler = lambda n: " ".join(rng.choice("alpha beta the of under license and public notice is to be".split()) for _ in range(n))
+    names, texts, alone = list(license_scan.TEMPLATES), [], {}
+    for name, t in license_scan.TEMPLATES.items():
+        alone[len(texts)] = [name]
+        texts.append(t)
+        alone[len(texts)] = [name] * 2
+        texts.append(f"{t} {t}")
+        texts += [f"{filler(20)} {t} {filler(30)} {t} {t}", f"{t} {t.split()[0]} {' '.join(t.split()[:4])} {t}"]
+        other = rng.choice(names)
+        texts.append(f"{filler(5)} {t} {license_scan.TEMPLATES[other]} {filler(5)}")
+        for _ in range(6):
+            words = t.split()
+            for _ in range(rng.randrange(1, max(2, len(words) // 6))):
+                at = rng.randrange(len(words))
+                words[at : at + 1] = rng.choice([[], ["xyzzy"], [words[at], "xyzzy"][: 1 + (len(words) > 60)]])
+                words = words or ["x"]
+            texts.append(f"{filler(10)} {' '.join(words)} {filler(10)}")
+    got = collections.defaultdict(list)
+    for i, name, _, m, _, f, e, _, also in license_scan.scan_texts(texts, index):
+        got[i].append((name, m, f, e, also))
+    for i, t in enumerate(texts):
+        assert got[i] == brute_places(t, index), t
+    for i, want in alone.items():
+        assert [x[0] for x in got[i]] == want
+    assert got[names.index("bsd-2-clause") * 11][0][4] == ["bsd-3-clause"]
+
+
 def test_edits_of_short_templates_against_full_alignment():
     index, missed, held = license_scan.Index(license_scan.TEMPLATES), [], 0
     for name, template in license_scan.TEMPLATES.items():
         words = re.findall("[a-z0-9]+", template.lower())
-        n = len(index.words[index.names.index(name)])
-        if n > 16 or len(words) < n:
+        own = index.words[index.names.index(name)]
+        if len(own) > 16 or len(words) < len(own):
             continue
         parts = template.split()
         for size in (1, 2, 3):
@@ -190,11 +235,10 @@ def test_edits_of_short_templates_against_full_alignment():
                 for other in ("xyzzy", ""):
                     text = "some words before " + " ".join(other if i in at else w for i, w in enumerate(parts)) + " and some after"
                     _, _, h = license_scan.hashed_words([text])
-                    own = index.words[index.names.index(name)]
-                    pairs = license_scan.align(own, h.tolist(), -len(own), len(h))
+                    pairs = license_scan.align(own, h, 1 - len(own), len(h) - 1)[1]
                     if len(pairs) >= license_scan.LEAST_COVERAGE * len(own):
                         held += 1
-                        if name not in {f[1] for f in license_scan.scan_texts([text], index)}:
+                        if name not in {x for f in license_scan.scan_texts([text], index) for x in (f[1], *f[8])}:
                             missed.append(text)
     assert held > 400 and not missed
     assert {f[1] for f in license_scan.scan_texts(["Released under the MIT Licence."], index)} == {"mit-line"}
@@ -203,22 +247,33 @@ def test_edits_of_short_templates_against_full_alignment():
     for n in range(1, 300):  # every arrangement of need matched words has a run that holds a hit
         k, window = license_scan.shape(n, 0.8)
         need = math.ceil(0.8 * n - 1e-9)
-        assert 1 <= k <= n and (n - need + 1) * (k + window - 2) < need
+        assert 1 <= k <= n and (n - need + 1) * (k + window - 2) < need and license_scan.least_hits(n, 0.8) >= 1
+
+
+def test_least_hits_of_edited_templates():
+    rng, index = random.Random(3), license_scan.Index(license_scan.TEMPLATES)
+    for k, words in enumerate(index.words):
+        n = len(words)
+        for _ in range(60):
+            kept = sorted(rng.sample(range(n), index.need[k]))
+            doc = np.array([words[i] if i in set(kept) else rng.randrange(1, 1 << 60) for i in range(n)], np.uint64) if rng.random() < 0.5 else words[kept]
+            gram, window = license_scan.shape(n, license_scan.LEAST_COVERAGE)
+            g = set(license_scan.gram_hashes(doc, gram).tolist())
+            own = license_scan.gram_hashes(words, gram)
+            assert sum(int(own[p]) in g for p in license_scan.winnow(own, window)) >= index.hits[k]
 
 
 def test_alignment_against_full_dynamic_programming():
-    for _ in range(200):
+    for _ in range(300):
         a, b = [RNG.randrange(4) for _ in range(RNG.randrange(1, 9))], [RNG.randrange(4) for _ in range(RNG.randrange(1, 12))]
-        best, h = 0, np.zeros((len(a) + 1, len(b) + 1), int)
+        h = np.zeros((len(a) + 1, len(b) + 1), int)
         for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
             h[i, j] = max(0, h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
-            best = max(best, h[i, j])
-        pairs = license_scan.align(a, b, -len(a), len(b))
+        score, pairs = license_scan.align(np.array(a), np.array(b), 1 - len(a), len(b) - 1)
+        assert score == h.max() and bool(pairs) == (score > 0)
         assert all(a[i] == b[j] for i, j in pairs) and all(p < q and r < s for (p, r), (q, s) in itertools.pairwise(pairs))
-        if pairs:
-            rows, columns = pairs[-1][0] - pairs[0][0] + 1, pairs[-1][1] - pairs[0][1] + 1
-            least = min(rows, columns) - len(pairs)
-            assert 2 * len(pairs) - (rows + columns - 2 * len(pairs)) <= best <= 2 * len(pairs) - least
+        # the pairs are worth the score: between two of them each word left over costs one, or one together
+        assert score == 2 * len(pairs) - sum(max(q - p, s - r) - 1 for (p, r), (q, s) in itertools.pairwise(pairs))
 
 
 # ---------------------------------------------------------------- 4 mixing
