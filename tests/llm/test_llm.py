@@ -14,6 +14,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from threadloom.llm import language_id, license_scan, line_crf, mixing, near_pairs, packing, quality_rules, quality_sql, registry, sharding, textarrays, warc, winnowing
 
@@ -308,7 +309,16 @@ def test_mixing(frame):
         assert r.source_size == sizes[r.source] and r.target == pytest.approx(target[r.source]) and 0 <= r.taken <= 2 * r["size"]
         taken[r.source] += r.taken
     for s in sizes:
-        assert abs(taken[s] - target[s]) <= 4 * mixing.LEAST_BLOCK
+        assert abs(taken[s] - target[s]) <= 1  # the target, rounded
+    # document by document: a source's stream, in order of md5, is taken round after round
+    for s in sizes:
+        stream = sorted(((hashlib.md5(f"mix|{'' if r.doc_id is None else r.doc_id}".encode()).hexdigest(), r["size"], r.taken) for r in rows if r.source == s), key=lambda x: x[:2])
+        left, want = round(target[s]), [0] * len(stream)
+        while left and sizes[s]:
+            for k, (_, n, _) in enumerate(stream):
+                want[k] += min(n, left)
+                left -= min(n, left)
+        assert [t for *_, t in stream] == want
     again = mixing.mix(df.repartition(7))[0].collect()
     key = lambda rs: sorted((str(r.doc_id), r["size"], r.taken) for r in rs)
     assert key(again) == key(rows)
@@ -317,6 +327,10 @@ def test_mixing(frame):
     assert mixing.mix(df.where("doc_id < 0"))[0].count() == 0
 
 
+def test_mixing_matches_sql(spark):
+    agrees_with_sql(spark, mixing.query, mixing.SQL, SF)
+
+
 def test_schedule_spreads_sources(spark):
     targets = spark.createDataFrame([("a", 4000, 6000.0), ("b", 3000, 2000.0)], "sid string, source_size long, target double")
     order = [r.sid for r in mixing.schedule(targets, 16).orderBy("slot").collect()]
@@ -324,7 +338,7 @@ def test_schedule_spreads_sources(spark):
         assert abs(order[:n].count("a") / n - 0.75) < 0.06
 
 
-def test_small_sources_reach_their_targets(spark, frame, monkeypatch):
+def test_small_sources_reach_their_targets(spark, frame):
     sizes = {"a": 60, "b": 300, "c": 1_000, "d": 3_000, "e": 10_000, "f": 50_000, "g": 40_000_000, "h": 4096}
     targets = spark.createDataFrame([(s, n, 2.0 * n if s != "g" else 1.3 * n) for s, n in sizes.items()], "sid string, source_size long, target double")
     rows = mixing.schedule(targets, 4096).collect()
@@ -340,11 +354,10 @@ def test_small_sources_reach_their_targets(spark, frame, monkeypatch):
         for rank, slot in held:
             assert abs(rank / len(held) - slot / len(rows)) <= 1 / len(held) + len(sizes) / len(rows)
     # from documents on, with blocks far longer than the small sources
-    monkeypatch.setattr(mixing, "LEAST_BLOCK", 4096)
     rng = random.Random(11)
     docs = [(i, prose(n, rng), None, s) for i, (n, s) in enumerate([(60, "x"), (150, "y"), (150, "y"), (700, None), *[(2000, "z")] * 30])]
     total, target = collections.Counter(), {}
-    for r in mixing.mix(frame(docs))[0].collect():
+    for r in mixing.mix(frame(docs), block=4096)[0].collect():
         total[r.source] += r.taken
         target[r.source] = r.target
     assert set(total) == {"x", "y", "z", None} and all(abs(total[s] - target[s]) <= 1 for s in total)
@@ -429,8 +442,6 @@ def test_quality_repeats_of_all_kinds(frame, spark):
 
 
 def test_distance(spark):
-    from pyspark.sql import functions as F
-
     for p, q in (([0.5, 0.5, 0.0], [0.2, 0.3, 0.5]), ([1.0, 0.0, 0.0], [0.0, 1.0, 0.0]), ([0.2, 0.8, 0.0], [0.2, 0.8, 0.0])):
         m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
         kl = lambda a: sum(x * math.log2(x / y) for x, y in zip(a, m, strict=True) if x)  # noqa: E731, B023
@@ -535,19 +546,18 @@ def test_each_pair_is_compared_once_and_only_survivors_are_verified():
 
 
 def winnow(t):
-    w = WORD.findall(t)
-    if not w:
+    u = [x for w in WORD.findall(t) for x in (list(w) if len(w) > winnowing.LONGEST else [w])]
+    if not u:
         return []
-    packed = lambda h, i: (h & ~winnowing.POSITIONS) | (winnowing.POSITIONS - i)
-
-    def chained(words):
-        h = 42
-        for x in words:
-            h = xxhash.xxh64_intdigest(x.encode(), h)
-        return h - (1 << 64) if h >= 1 << 63 else h
-
-    g = [packed(chained(w[i : i + winnowing.K]), i) for i in range(max(1, len(w) - winnowing.K + 1))]
-    out = []
+    prime, base, k = winnowing.PRIME, winnowing.BASE, min(winnowing.K, len(u))
+    d = [((xxhash.xxh64_intdigest(x.encode(), 42) + (1 << 63)) % (1 << 64) - (1 << 63)) % prime for x in u]
+    h, g = 0, []
+    for i, x in enumerate(d):  # rolling: the digit that leaves is taken off, the next is put on
+        h = ((h - (d[i - k] * pow(base, k - 1, prime) if i >= k else 0)) * base + x) % prime
+        if i >= k - 1:
+            g.append(h * pow(base, winnowing.K - k, prime) % prime)
+    packed = lambda h, i: ((h << 24) + (1 << 63)) % (1 << 64) - (1 << 63) | (winnowing.POSITIONS - i)
+    g, out = [packed(h, i) for i, h in enumerate(g)], []
     for i in range(max(1, len(g) - winnowing.WINDOW + 1)):
         x = min(g[i : i + winnowing.WINDOW])
         if x not in out:
@@ -555,8 +565,22 @@ def winnow(t):
     return out
 
 
+def test_winnowing_guarantee_with_and_without_blanks(spark, frame):
+    rng = random.Random(6)
+    letters = "的一是不了人我在有他这为之大来以个中上们到说国和地也子时道出而要于就下得可你年生"
+    for join, shared in ((" ", [f"w{rng.randrange(500)}" for _ in range(8)]), ("", [rng.choice(letters) for _ in range(8)])):
+        units = lambda n: [f"w{rng.randrange(500)}" if join else rng.choice(letters) for _ in range(n)]  # noqa: E731, B023
+        docs = [(i, join.join([*units(rng.randrange(40, 90)), *shared, *units(rng.randrange(40, 90))])) for i in range(40)]
+        rows = frame(docs).select(winnowing.hashes(winnowing.fingerprint(F.col("text"))).alias("h")).collect()
+        assert len(set.intersection(*(set(r.h) for r in rows))) >= 1
+    text = "".join(rng.choice(letters) for _ in range(900))
+    near = frame([(1, text), (2, text[:600] + "".join(rng.choice(letters) for _ in range(300)))])
+    one, two = (set(r.h) for r in near.orderBy("doc_id").select(winnowing.hashes(winnowing.fingerprint(F.col("text"))).alias("h")).collect())
+    assert 0.35 < len(one & two) / len(one | two) < 0.65
+
+
 def test_winnowing(frame, spark, tmp_path):
-    docs = [(i, t) for i, t, *_ in EDGE if i is not None and i != 4] + [(10 + i, prose(RNG.randrange(1, 90))) for i in range(60)] + [(200, "same words here"), (201, "same words here")]
+    docs = [(i, t) for i, t, *_ in EDGE if i is not None and i != 4] + [(80, prose(60).replace(" ", "")), (10 + 71, "中文" * 90 + " and words " + "x" * 32 + " " + "y" * 33)] + [(10 + i, prose(RNG.randrange(1, 90))) for i in range(60)] + [(200, "same words here"), (201, "same words here")]
     frame(docs).write.parquet(str(tmp_path / "documents.parquet"))
     rows = {r.doc_id: r for r in winnowing.query(spark, str(tmp_path)).collect()}
     text = {i: t or "" for i, t in docs}
@@ -595,7 +619,9 @@ def test_sharding(frame):
         assert (r["size"], r.text_crc32) == (len(data) + 16, zlib.crc32(data))
 
     def brute(key, weights):
-        draws = [-math.log(((xxhash.xxh64_intdigest(f"{i}|{'' if key is None else key}".encode(), 42) >> 11) + 0.5) / (1 << 53)) / w for i, w in enumerate(weights)]
+        n, p = int(hashlib.md5(("" if key is None else str(key)).encode()).hexdigest()[:15], 16), sharding.PRIME
+        mixed = [((((n >> 30) + i * sharding.FIRST) % p) ** 2 + n % (1 << 30)) % p for i in range(len(weights))]
+        draws = [-math.log(((y * y + i * sharding.SECOND) % p + 0.5) / p) / w for i, (y, w) in enumerate(zip(mixed, weights, strict=True))]
         return draws.index(min(draws))
 
     for r in rows[:300]:
@@ -606,6 +632,23 @@ def test_sharding(frame):
     assert sharding.shard(frame(docs).where("doc_id < 0"), [1.0]).count() == 0
 
 
+def test_sharding_is_even(spark):
+    keys = spark.range(200_000).select(sharding.key_digest(F.col("id")).alias("h"))
+    placed = keys.select(sharding.rendezvous(F.col("h"), [1.0] * 40).alias("a"), sharding.rendezvous(F.col("h"), [1.0] * 41).alias("b"))
+    counts = {(r.a, r.b): r["count"] for r in placed.groupBy("a", "b").count().collect()}
+    shares, moved = collections.Counter(), collections.Counter()
+    for (a, b), n in counts.items():
+        shares[a] += n
+        moved[b == 40] += n
+        assert b in (a, 40)
+    assert len(shares) == 40 and sum((n - 5000) ** 2 / 5000 for n in shares.values()) < 80  # chi-squared, 39 degrees
+    assert abs(moved[True] / 200_000 - 1 / 41) < 0.002
+
+
+def test_sharding_matches_sql(spark):
+    agrees_with_sql(spark, sharding.query, sharding.SQL, SF)
+
+
 # ---------------------------------------------------------------- 9 line field
 
 

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.llm.common import grouped_index, materialize, n_words_of, table
+from threadloom.llm.common import boxed, grouped_index, materialize, n_words_of, table
 
 #: Weights of the sources in code-point order, repeating; the mix takes SHARE of all sizes, a source at most MOST times its own.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-#: Slots of the schedule aimed at, and bounds of the block's length in tokens.
-SLOTS, LEAST_BLOCK, MOST_BLOCK = 1 << 20, 16, 4096
+#: Tokens of a block.
+BLOCK = 512
 #: The golden-ratio sequence in integers: t * STEP mod MODULUS is equidistributed (STEP is odd and near MODULUS / phi).
 STEP, MODULUS = 1327217885, 1 << 31
-#: Buckets of the slots laid end to end (source look-up) and of a source's shuffled documents; slots ranked in one task.
-CELLS, BUCKETS, CHUNK = 1024, 1024, 8192
+#: Cells of the slots laid end to end (source look-up), and slots ranked in one task. A source's shuffled documents
+#: are numbered in 4096 buckets, by the first three digits of their place.
+CELLS, CHUNK = 1024, 8192
 
 
 def with_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -42,8 +43,9 @@ def with_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     )
 
 
-def block_length(total: int) -> int:
-    return max(LEAST_BLOCK, min(MOST_BLOCK, total // SLOTS))
+def stream_order(doc_id: Column) -> Column:
+    """The place of a document in its source's shuffled stream, as text: the md5 of its id."""
+    return F.md5(F.encode(F.concat(F.lit("mix|"), F.coalesce(doc_id.cast("string"), F.lit(""))), "UTF-8"))
 
 
 def schedule(targets: DataFrame, block: int) -> DataFrame:
@@ -79,7 +81,7 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
     return ranked.select("slot", "sid", "rank", "block", F.least(whole, F.col("words") - start).cast("long").alias("tokens"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Mix `docs` (doc_id, text, source) to target weights: (documents, schedule, sources).
 
     documents: doc_id, size (words), source_size, target, taken, source, sid, start. A source's documents are shuffled
@@ -90,8 +92,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     source = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
     slim = docs.select(
         "doc_id", "source", source.alias("sid"), n_words_of(F.col("text")).alias("size"),
-        F.xxhash64(F.lit("mix"), F.col("doc_id")).alias("h"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("crc"),
-    ).withColumn("b", F.pmod(F.shiftrightunsigned("h", 40), F.lit(BUCKETS)).cast("int"))
+        stream_order(F.col("doc_id")).alias("h"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("crc"),
+    ).withColumn("b", F.substring("h", 1, 3))
     slim = materialize(slim, "mix")
     sources = with_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     sources = materialize(sources.withColumn("sid", source), "sources")
@@ -103,8 +105,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     laid = slim.join(bucket, ["sid", "b"]).withColumn("start", F.col("base") + F.sum("size").over(within) - F.col("size"))
     laid = laid.withColumn("id", F.monotonically_increasing_id()).select("id", "doc_id", "source", "sid", "size", "crc", "start")
     laid = materialize(laid, "laid")
-    total = sources.agg(F.sum("source_size")).first()[0] or 0  # one number
-    block = block_length(total)
     slots = materialize(schedule(sources.select("sid", "source_size", "target"), block), "schedule")
     used = slots.groupBy("sid", "block", "tokens").count()
     end = F.col("start") + F.col("size")
@@ -123,21 +123,44 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 
 def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """The rows of `docs` (doc_id, text, source, any others) as the mix takes them, with their columns.
+    """The rows of `docs` (doc_id, text, source, any others) as the mix takes them, with their columns, whatever their names.
 
     A source's stream is taken from its start, round after round, so that a row is taken whole or not at all but for
     the one at each stream's end, which is rounded. A row taken twice comes twice; one not taken is left out."""
     rows = mix(docs, weights, share, most)[0]
-    key = ["__id", "__sid", "__crc", "__k"]
-    nth = lambda names: Window.partitionBy(*names[:-1]).orderBy(names[-2])  # noqa: E731  equal rows are told apart by number
-    rows = rows.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("sid").alias("__sid"), F.col("crc").alias("__crc"), F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int").alias("__times"))
-    rows = rows.withColumn("__k", F.row_number().over(nth(key)))
-    source = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__sid": source, "__crc": F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))})
-    keyed = keyed.withColumn("__k", F.row_number().over(nth(key)))
-    taken = keyed.join(rows.where("__times > 0"), key).withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = ["id", "sid", "crc", "k"]
+    nth = F.row_number().over(Window.partitionBy("id", "sid", "crc").orderBy("crc"))  # equal rows are told apart by number
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    rows = rows.select(text(F.col("doc_id")).alias("id"), "sid", "crc", F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int").alias("times")).withColumn("k", nth)
+    source = F.when(F.col("row.source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("row.source")))
+    keyed = boxed(docs).select("row", text(F.col("row.doc_id")).alias("id"), source.alias("sid"), F.crc32(F.encode(text(F.col("row.text")), "UTF-8")).alias("crc")).withColumn("k", nth)
+    taken = keyed.join(rows.where("times > 0"), key).select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time"))
+    return taken.select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: A source's stream is taken round after round, so what a document gives follows from its place in the stream.
+SQL = f"""
+WITH d AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5('mix|' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), s AS (
+    SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), w AS (
+    SELECT *, {list(map(float, WEIGHTS))}[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1)::INT]::DOUBLE AS weight, source_size * {float(MOST)}::DOUBLE AS cap FROM s
+), l AS (
+    SELECT *, row_number() OVER r AS k, (sum(source_size) OVER () * {SHARE}::DOUBLE - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+    FROM w WINDOW r AS (ORDER BY cap / weight, source NULLS LAST), before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+    SELECT source, source_size, CASE WHEN cap <= weight * level OR line IS NULL THEN cap ELSE weight * line END AS target
+    FROM (SELECT *, (SELECT arg_min(level, k) FROM l WHERE NOT cap <= weight * level) AS line FROM l)
+), p AS (
+    SELECT doc_id, size, source_size, target, round(target)::BIGINT AS words, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+       CASE WHEN source_size = 0 THEN 0 ELSE words // source_size * size + greatest(0, least(start + size, words % source_size) - start) END::BIGINT AS taken
+FROM p
+"""

@@ -20,4 +20,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_crf": line_crf.query,
     "op10_language_bitmask": language_id.query,
 }
-SQL: dict[str, str] = {"op1_warc": warc.SQL, "op5_quality_rules": quality_sql.SQL, "op6_jaccard_join": near_pairs.SQL}
+SQL: dict[str, str] = {
+    "op1_warc": warc.SQL,
+    "op4_source_mixing": mixing.SQL,
+    "op5_quality_rules": quality_sql.SQL,
+    "op6_jaccard_join": near_pairs.SQL,
+    "op8_rendezvous_sharding": sharding.SQL,
+}

@@ -1,4 +1,7 @@
-"""Document fingerprints by winnowing hashes of word k-grams."""
+"""Document fingerprints by winnowing polynomial hashes of k-grams.
+
+The units are words; a run without blanks of more than LONGEST characters, as in scripts without spaces, counts as its
+characters, so that every text has grams."""
 
 from __future__ import annotations
 
@@ -10,31 +13,50 @@ from pyspark.sql.window import Window, WindowSpec
 
 from threadloom.llm.common import table, words_of
 
-#: Words in a k-gram, and k-grams in a window: any run of K + WINDOW - 1 words that two texts share is found in both.
+#: Units in a k-gram, and k-grams in a window: any run of K + WINDOW - 1 units that two texts share is found in both.
 K, WINDOW = 5, 4
+#: Longest run without blanks that is one unit.
+LONGEST = 32
+#: The rolling (Rabin-Karp) hash: a gram is the number in base BASE whose digits are its units' hashes, modulo the
+#: greatest prime below 2^40. Products stay below 2^63.
+PRIME, BASE = (1 << 40) - 87, 2654435
 #: A fingerprint packs 40 bits of hash above 24 bits of falling position, so the least of a window is its rightmost.
 POSITIONS = (1 << 24) - 1
 
 
+def units(text: Column) -> Column:
+    """The words of a text, in the place of each longer one than LONGEST its characters."""
+    words = words_of(text)
+    split = F.flatten(F.transform(words, lambda w: F.when(F.length(w) > LONGEST, F.split(w, "")).otherwise(F.array(w))))
+    return F.when(F.coalesce(text, F.lit("")).rlike(f"[^\\x20\\x09-\\x0D]{{{LONGEST + 1}}}"), split).otherwise(words)
+
+
 def fingerprint(text: Column) -> Column:
     """Selected (hash, position) pairs of a text, packed as bigints, in order of position.
 
-    Rolling k-grams of K words are hashed; each window of WINDOW grams selects its least hash, the rightmost if
-    several tie. A text of fewer than K words is one gram, one of fewer grams than a window is one window; a null text
-    is empty and has no pairs. Positions count modulo 2^24."""
+    Each unit is hashed once, and the grams of K units get their rolling hash from these (by Horner's rule, since an
+    array has no running fold); each window of WINDOW grams selects its least hash, the rightmost if several tie. A
+    text of fewer than K units is one gram, one of fewer grams than a window is one window; a null text is empty and
+    has no pairs. Positions count modulo 2^24."""
+
+    def grams(u: Column) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.size(u) - K, F.lit(0)))
+
+        def rolled(i: Column) -> Column:
+            h = F.get(u, i)
+            for j in range(1, K):
+                h = (h * F.lit(BASE).cast("long") + F.coalesce(F.get(u, i + j), F.lit(0).cast("long"))) % F.lit(PRIME)
+            return h
 
-    def grams(w: Column) -> Column:
-        at = F.sequence(F.lit(0), F.greatest(F.size(w) - K, F.lit(0)))
-        packed = lambda h, i: h.bitwiseAND(F.lit(~POSITIONS)).bitwiseOR(F.lit(POSITIONS) - F.pmod(i, F.lit(POSITIONS + 1)))
-        return F.transform(at, lambda i: packed(F.xxhash64(*[F.get(w, i + j) for j in range(K)]), i))
+        return F.transform(at, lambda i: F.shiftleft(rolled(i), 24).bitwiseOR(F.lit(POSITIONS) - F.pmod(i, F.lit(POSITIONS + 1))))
 
     def least(g: Column) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.size(g) - WINDOW, F.lit(0)))
         return F.array_distinct(F.transform(starts, lambda i: F.least(*[F.get(g, i + j) for j in range(WINDOW)])))
 
     none = F.array().cast("array<bigint>")
-    bound = F.element_at(F.transform(F.array(words_of(text)), lambda w: F.when(F.size(w) == 0, none).otherwise(F.element_at(F.transform(F.array(grams(w)), least), 1))), 1)
-    return bound
+    hashed = F.transform(units(text), lambda x: F.pmod(F.xxhash64(x), F.lit(PRIME)))
+    return F.element_at(F.transform(F.array(hashed), lambda u: F.when(F.size(u) == 0, none).otherwise(F.element_at(F.transform(F.array(grams(u)), least), 1))), 1)
 
 
 def hashes(pairs: Column) -> Column:
@@ -43,7 +65,7 @@ def hashes(pairs: Column) -> Column:
 
 
 def positions(pairs: Column) -> Column:
-    """The k-gram positions (first word, from 0) of a fingerprint's pairs."""
+    """The k-gram positions (first unit, from 0) of a fingerprint's pairs."""
     return F.transform(pairs, lambda x: F.lit(POSITIONS) - x.bitwiseAND(F.lit(POSITIONS)))
 
 
