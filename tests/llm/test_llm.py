@@ -496,6 +496,7 @@ def test_near_pairs(frame, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(heads) and kept.columns == frame(docs).columns
     for most in (4096, 3):  # groups of all sizes are cut into blocks, a few or many
         monkeypatch.setattr(near_pairs, "BLOCK", 2)
+        monkeypatch.setattr(near_pairs, "CELL_BLOCK", 3)
         monkeypatch.setattr(near_pairs, "MOST", most)
         monkeypatch.setattr(near_pairs, "FEW", 4)
         assert run() == want

@@ -45,7 +45,7 @@ def _covered(places: Column) -> Column:
 
 
 def with_repeats(df: DataFrame) -> DataFrame:
-    """`df` (w: words, windows: hashes of 3-word windows in order, ...) with n_repeat: words in windows found twice or more.
+    """`df` (windows: hashes of a text's 3-word windows in order, ...) with n_repeat: words in windows found twice or more.
 
     A text without repeats is seen by its distinct windows. One with few repeated windows is searched for them, one
     with many is sorted with its places."""
@@ -60,36 +60,38 @@ def with_repeats(df: DataFrame) -> DataFrame:
 
     placed = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     places = F.when(F.size("twice") <= FEW_REPEATS, found).when(F.size("twice") > FEW_REPEATS, _bound(placed, neighbours))
-    return df.withColumn("places", places).withColumn("n_repeat", F.coalesce(_covered(F.col("places")), F.lit(0)).cast("long")).drop("sorted", "twice", "places")
+    return df.withColumn("places", places).withColumn("n_repeat", F.coalesce(_covered(F.col("places")), F.lit(0)).cast("long")).drop("windows", "sorted", "twice", "places")
 
 
 def letter_words(text: Column) -> Column:
-    """The runs of letters in a text, in lower case."""
-    return F.array_remove(F.split(F.lower(text), NOT_LETTERS), "")
+    """The runs of letters in a text, in lower case, as 64-bit hashes: they are only ever compared."""
+    return F.transform(F.array_remove(F.split(F.lower(text), NOT_LETTERS), ""), lambda x: F.xxhash64(x))
 
 
-def frequent_words(docs: DataFrame) -> dict[str, list[str]]:
+def frequent_words(docs: DataFrame) -> dict[str, list[int]]:
     """The WORDS most frequent words of each language with enough documents, over all its documents of LEAST_WORDS runs of letters.
 
-    A word counts by its share of each document, so that long documents weigh no more than short ones; ties go by
-    word. Counts are combined before the shuffle and each task ranks before the next, so what reaches the driver is
+    A word counts by its share of each document, its first occurrence left out: long documents weigh no more than
+    short ones, and words that no document repeats, which are most of a vocabulary, are not counted at all. Ties go by
+    hash. Counts are combined before the shuffle and each task ranks before the next, so what reaches the driver is
     at most WORDS words of LEAST_SHARE languages."""
     known = docs.where(F.col("lang").isNotNull())
     least = max(LEAST_DOCUMENTS, -(-known.count() // LEAST_SHARE))
     langs = [r["lang"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("lang").collect()]
     if not langs:
         return {}
-    words = known.where(F.col("lang").isin(langs)).select("lang", letter_words(F.col("text")).alias("w")).where(F.size("w") >= LEAST_WORDS)
-    share = F.floor(F.lit(UNIT) / F.size("w")).cast("long")
-    counted = words.select("lang", share.alias("n"), F.explode("w").alias("word")).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = known.where(F.col("lang").isin(langs)).select("lang", F.sort_array(letter_words(F.col("text"))).alias("w")).where(F.size("w") >= LEAST_WORDS)
+    again = F.filter("w", lambda x, i: F.coalesce(F.get("w", i + 1) == x, F.lit(False)))
+    words = words.select("lang", F.floor(F.lit(UNIT) / F.size("w")).cast("long").alias("n"), again.alias("again"))
+    counted = words.select("lang", "n", F.explode("again").alias("word")).groupBy("lang", "word").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))
-    found: dict[str, list[str]] = {}
+    found: dict[str, list[int]] = {}
     for row in counted.withColumn("k", rank).where(F.col("k") <= WORDS).select("lang", "word").collect():
         found.setdefault(row["lang"], []).append(row["word"])
     return {lang: sorted(words) for lang, words in sorted(found.items())}
 
 
-def counted(docs: DataFrame, words: dict[str, list[str]]) -> DataFrame:
+def counted(docs: DataFrame, words: dict[str, list[int]]) -> DataFrame:
     """`docs` as (row, q): their columns, boxed, and a struct of counts.
 
     q: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; kinds (characters in lower case and other letters,
@@ -103,11 +105,8 @@ def counted(docs: DataFrame, words: dict[str, list[str]]) -> DataFrame:
     t, w, rest = (F.col(c) for c in ("t", "w", "rest"))
     spaces = (F.length("bare") - F.length(rest)).cast("long")
     bins = sorted({x for ws in words.values() for x in ws})
-    hits = F.sort_array(F.filter("l", lambda x: x.isin(bins))) if bins else F.array().cast("array<string>")
-    # a run of equal words ends where the next differs
-    runs = _bound(hits, lambda s: F.struct(s.alias("s"), F.filter(F.transform(s, lambda x, i: F.when(~F.coalesce(F.get(s, i + 1) == x, F.lit(False)), i + 1)), lambda x: x.isNotNull()).alias("ends")))
+    hits = F.sort_array(F.filter("l", lambda x: x.isin(bins))) if bins else F.array().cast("array<bigint>")
     windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-    df = with_repeats(df.withColumn("windows", F.when(F.size(w) >= 3, windows)))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     # such letters take two bytes or more
     solid = F.length(t) - spaces
@@ -115,17 +114,19 @@ def counted(docs: DataFrame, words: dict[str, list[str]]) -> DataFrame:
     counts = {
         "n_words": F.size(w).cast("long"), "chars": F.length(t).cast("long"), "spaces": spaces, "upper": _left(t, "[^\\p{Lu}]+"),
         "others": F.length(rest).cast("long"), "digits": _left(rest, "[^\\p{N}]+"), "marks": _left(rest, "[^.,;:'\"?!()-]+"), "n_symbols": _left(rest, "[^#*$%&|<>]+"),
-        "uncased": uncased, "letter_words": F.size("l").cast("long"), "runs": runs, "text_hash": F.xxhash64(t),
+        "uncased": uncased, "letter_words": F.size("l").cast("long"), "text_hash": F.xxhash64(t),
         "n_dup_lines": F.when(F.instr(t, "\n") > 0, _bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))).otherwise(0).cast("long"),
-        "n_repeat_words": F.col("n_repeat"),
     }
-    df = df.select("row", F.struct(*[c.alias(k) for k, c in counts.items()]).alias("c"))
+    # texts and words are dropped here: a plan's further steps would copy them along
+    df = df.select("row", F.struct(*[c.alias(k) for k, c in counts.items()]).alias("c"), hits.alias("hits"), F.when(F.size(w) >= 3, windows).alias("windows"))
+    # a run of equal words ends where the next differs
+    ends = F.filter(F.transform("hits", lambda x, i: F.when(~F.coalesce(F.get("hits", i + 1) == x, F.lit(False)), i + 1)), lambda x: x.isNotNull())
+    df = with_repeats(df.withColumn("ends", ends))
     c = F.col("c")
     kinds = [c["chars"] - c["spaces"] - c["others"] - c["upper"], c["upper"], c["digits"], c["spaces"], c["marks"], c["others"] - c["digits"] - c["marks"]]
-    ends = c["runs"]["ends"]
     q = {
-        "word_chars": c["chars"] - c["spaces"], **{k: c[k] for k in ("n_words", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "uncased", "letter_words", "text_hash")}, "kinds": F.array(*kinds),
-        "found": F.transform(ends, lambda e: F.get(c["runs"]["s"], e - 1)), "times": F.transform(ends, lambda e, i: (e - F.coalesce(F.get(ends, i - 1), F.lit(0))).cast("long")),
+        "word_chars": c["chars"] - c["spaces"], **{k: c[k] for k in ("n_words", "n_symbols", "n_dup_lines", "chars", "uncased", "letter_words", "text_hash")}, "n_repeat_words": F.col("n_repeat"), "kinds": F.array(*kinds),
+        "found": F.transform("ends", lambda e: F.get("hits", e - 1)), "times": F.transform("ends", lambda e, i: (e - F.coalesce(F.get("ends", i - 1), F.lit(0))).cast("long")),
     }
     return df.select("row", F.struct(*[x.alias(k) for k, x in q.items()]).alias("q"))
 
@@ -137,14 +138,14 @@ def histogram(words: Column) -> Column:
     return _bound(n, lambda x: F.concat(x, F.array(F.col("q.letter_words") - F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b))))
 
 
-def references(counts: DataFrame, words: dict[str, list[str]]) -> dict[str, dict]:
+def references(counts: DataFrame, words: dict[str, list[int]]) -> dict[str, dict]:
     """{lang: kinds, words, shares}: mean histograms over the distinct texts of LEAST_WORDS words of each language of `words`.
 
     Copies count once, so that a text that fills a third of the table is no reference by itself. What reaches the
     driver is one number a language and bin."""
     if not words:
         return {}
-    own = F.try_element_at(F.from_json(F.lit(json.dumps(words)), "map<string,array<string>>"), F.col("row.lang"))
+    own = F.try_element_at(F.from_json(F.lit(json.dumps(words)), "map<string,array<bigint>>"), F.col("row.lang"))
     known = counts.where(F.col("row.lang").isin(list(words)) & (F.col("q.n_words") >= LEAST_WORDS) & (F.col("q.letter_words") > 0))
     shares = lambda bins, n: F.transform(bins, lambda x: F.floor(x * F.lit(UNIT) / n).cast("long"))
     each = known.select(F.col("row.lang").alias("lang"), F.col("q.text_hash").alias("h"), F.concat(shares(F.col("q.kinds"), F.col("q.chars")), shares(histogram(own), F.col("q.letter_words"))).alias("x"))
@@ -178,7 +179,7 @@ def judged(counts: DataFrame, refs: dict[str, dict]) -> DataFrame:
     share = lambda bins, total: F.transform(bins, lambda x: x / F.greatest(total, F.lit(1)).cast("double"))
     nothing = F.lit(None).cast("double")
     if refs:
-        held = F.from_json(F.lit(json.dumps(refs)), "map<string,struct<kinds:array<double>,words:array<string>,shares:array<double>>>")
+        held = F.from_json(F.lit(json.dumps(refs)), "map<string,struct<kinds:array<double>,words:array<bigint>,shares:array<double>>>")
         own = F.try_element_at(held, F.col("row.lang"))
         kinds = share(F.col("q.kinds"), F.col("q.chars"))
         by_class = lambda r: distance(kinds, r["kinds"])

@@ -27,9 +27,11 @@ WITH d AS (
     SELECT lang FROM d WHERE lang IS NOT NULL GROUP BY lang
     HAVING count(*) >= greatest({q.LEAST_DOCUMENTS}, (SELECT ceil(count(lang) / {q.LEAST_SHARE}) FROM d))
 ), tokens AS (
-    SELECT lang, {q.UNIT} // len(l) AS n, unnest(l) AS word FROM s WHERE lang IN (FROM many) AND len(l) >= {q.LEAST_WORDS}
+    SELECT rid, lang, {q.UNIT} // len(l) AS n, unnest(l) AS word FROM s WHERE lang IN (FROM many) AND len(l) >= {q.LEAST_WORDS}
+), again AS (
+    SELECT lang, word, n * (count(*) - 1) AS n FROM tokens GROUP BY rid, lang, n, word HAVING count(*) > 1
 ), ranked AS (
-    SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, word) AS k FROM tokens GROUP BY lang, word
+    SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, word) AS k FROM again GROUP BY lang, word
 ), lists AS (
     SELECT lang, list(word ORDER BY word) AS words FROM ranked WHERE k <= {q.WORDS} GROUP BY lang
 ), spots AS (
