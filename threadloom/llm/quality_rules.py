@@ -80,10 +80,14 @@ def frequent_words(docs: DataFrame) -> dict[str, list[int]]:
     langs = [r["lang"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("lang").collect()]
     if not langs:
         return {}
-    words = known.where(F.col("lang").isin(langs)).select("lang", F.sort_array(letter_words(F.col("text"))).alias("w")).where(F.size("w") >= LEAST_WORDS)
-    again = F.filter("w", lambda x, i: F.coalesce(F.get("w", i + 1) == x, F.lit(False)))
-    words = words.select("lang", F.floor(F.lit(UNIT) / F.size("w")).cast("long").alias("n"), again.alias("again"))
-    counted = words.select("lang", "n", F.explode("again").alias("word")).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+    def repeated(w: Column) -> Column:
+        again = _bound(F.sort_array(w), lambda x: F.filter(x, lambda y, i: F.coalesce(F.get(x, i + 1) == y, F.lit(False))))
+        return F.when(F.size(w) >= LEAST_WORDS, F.struct(F.floor(F.lit(UNIT) / F.size(w)).cast("long").alias("n"), again.alias("again")))
+
+    # bound values: a filter on a column of words would have them split again, and a lambda over it for each word
+    words = known.where(F.col("lang").isin(langs)).select("lang", _bound(letter_words(F.col("text")), repeated).alias("r"))
+    counted = words.select("lang", "r.n", F.explode("r.again").alias("word")).groupBy("lang", "word").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))
     found: dict[str, list[int]] = {}
     for row in counted.withColumn("k", rank).where(F.col("k") <= WORDS).select("lang", "word").collect():

@@ -34,10 +34,16 @@ WITH d AS (
     SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, word) AS k FROM again GROUP BY lang, word
 ), lists AS (
     SELECT lang, list(word ORDER BY word) AS words FROM ranked WHERE k <= {q.WORDS} GROUP BY lang
+), bins AS (
+    SELECT lang AS ref, unnest(words) AS word FROM lists
+), spelled AS (
+    SELECT rid, word, count(*) AS n FROM (SELECT rid, unnest(l) AS word FROM s) WHERE word IN (SELECT word FROM bins) GROUP BY rid, word
+), found AS (
+    SELECT s.rid, ref, list(coalesce(n, 0) ORDER BY bins.word) AS found FROM s CROSS JOIN bins LEFT JOIN spelled ON spelled.rid = s.rid AND spelled.word = bins.word GROUP BY s.rid, ref
 ), spots AS (
-    SELECT rid, unnest(range(1, len(w) - 1)) AS i, w FROM s WHERE len(w) >= 3
+    SELECT rid, unnest(range(1, len(w) - 1)) AS i, unnest(list_zip(w[:len(w) - 2], w[2:len(w) - 1], w[3:])) AS g FROM s WHERE len(w) >= 3
 ), grams AS (
-    SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS n FROM spots
+    SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM spots
 ), covered AS (
     SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM grams WHERE n > 1) GROUP BY rid
 ), c AS (
@@ -54,8 +60,8 @@ WITH d AS (
     FROM c
 ), each_text AS (
     SELECT lang, t, any_value(list_transform(kinds, lambda x: x * {q.UNIT} // chars)) AS kinds,
-           any_value(list_transform(words, lambda x: len(list_filter(l, lambda y: y = x)))) AS found, any_value(len(l)) AS n
-    FROM k JOIN lists USING (lang) WHERE n_words >= {q.LEAST_WORDS} AND len(l) > 0 GROUP BY lang, t
+           any_value(found) AS found, any_value(len(l)) AS n
+    FROM k JOIN found ON found.rid = k.rid AND ref = lang WHERE n_words >= {q.LEAST_WORDS} AND len(l) > 0 GROUP BY lang, t
 ), spread AS (
     SELECT lang, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS v
     FROM (SELECT lang, list_concat(kinds, list_transform(list_append(found, n - list_sum(found)), lambda y: y * {q.UNIT} // n)) AS x FROM each_text)
@@ -65,9 +71,8 @@ WITH d AS (
     SELECT lang AS ref, words, list(m ORDER BY i) FILTER (i <= 6) AS ref_kinds, list(m ORDER BY i) FILTER (i > 6) AS ref_words
     FROM means JOIN lists USING (lang) GROUP BY lang, words
 ), p AS (
-    SELECT rid, lang, ref, n_words, len(l) AS n, list_transform(kinds, lambda x: x::DOUBLE / chars) AS kinds, ref_kinds, ref_words,
-           list_transform(words, lambda x: len(list_filter(l, lambda y: y = x))) AS found
-    FROM k, refs WHERE NOT base_failed
+    SELECT rid, lang, ref, n_words, len(l) AS n, list_transform(kinds, lambda x: x::DOUBLE / chars) AS kinds, ref_kinds, ref_words, found
+    FROM k JOIN found USING (rid) JOIN refs USING (ref) WHERE NOT base_failed
 ), r AS (
     SELECT *, list_transform(list_append(found, n - list_sum(found)), lambda x: x::DOUBLE / greatest(n, 1)) AS shares FROM p
 ), distances AS (
