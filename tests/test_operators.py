@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from threadloom import storage
 from threadloom.functions import jsonops, mailparse, study, text, timeparse
 from threadloom.operators import activity, conversations, dedupe, history, incremental, joins, personas, splits, threads, trees
 from threadloom.plans.processor import Config, process
@@ -159,7 +160,7 @@ def test_persona_checks(spark):
     assert jsonops.parse_tolerantly("say {'a': 1, 'b': true,} ok") == '{"a": 1, "b": true}'
     assert jsonops.parse_tolerantly('{"a": """x\ny"""}') == '{"a": "x\\ny"}' and jsonops.parse_tolerantly("nothing") is None
     near = spark.createDataFrame([('{"a": "1"}',), ("{'a': '2'}",), ("no",), (None,)], "x string").select(jsonops.read_object(F.col("x")).alias("y"))
-    assert [r.y for r in near.collect()] == ['{"a": "1"}', '{"a": "2"}', None, None]
+    assert [r.y for r in near.collect()] == ['{"a": 1}', '{"a": 2}', None, None]
 
 
 MAIL = """Message-ID: <1@x>
@@ -182,7 +183,7 @@ Shall we?
 def test_mail(spark):
     found = spark.createDataFrame([(MAIL,), ("From: a@b.co\nX-Y: 1\n\nplain",), (None,)], "m string").select(mailparse.parsed_mail("m").alias("p")).collect()
     first = found[0].p
-    assert [(m.headers["from"], m.body, m.is_reply, m.depth, m.email_index) for m in first] == [("ann@x.org", "Shall we?", False, 1, 0), ("bob@x.org", "Fine with me.", False, 0, 1)]
+    assert [(m.headers["from"], m.body, m.is_reply, m.depth, m.email_index) for m in first] == [("ann@x.org", "Shall we?", False, 1, 0), ("bob@x.org", "Fine with me.", True, 0, 1)]  # its subject is a reply's
     assert [m.body for m in found[1].p] == ["plain"] and found[2].p is None
     forward = mailparse.messages_of('From: a@b.co\n\nsee\n---------- Forwarded by A B\n"Cy" <c@d.co> on 3 Jan 2001 10:00:00\n\ninner')
     assert [(m["headers"].get("from"), m["body"], m["is_forwarded"]) for m in forward] == [("a@b.co", "see", False), ("c@d.co", "inner", True)]
@@ -261,5 +262,57 @@ def test_study_and_incremental(spark, tmp_path):
         assert incremental.cached(spark, str(tmp_path / "stage"), lambda: built.append(1) or spark.range(3)).count() == 3
     assert built == [1]
     mails = spark.createDataFrame([(MAIL,), ("From: a@b.co\n\nx",)], "m string").select(mailparse.parsed_mail("m").alias("messages"))
-    assert tuple(incremental.parse_stats(mails).first()) == (2, 1, 0, 1)
+    assert tuple(incremental.parse_stats(mails).first()) == (2, 1, 1, 1)
     assert jsonops.without_empty({"a": {"b": {}}, "c": [{}, 1], "d": 0}, frozenset("d")) == {"c": [1]}
+
+
+def test_trees_of_any_depth_and_width(spark):
+    chain = [(str(i), str(i - 1) if i else None) for i in range(1500)]
+    star = [(f"s{i}", "s0" if i else None) for i in range(20_000)]
+    cycle = [("a", None), ("b", "a"), ("b", "d"), ("c", "b"), ("d", "c"), ("x", "y"), ("y", "x"), ("o", "missing")]
+    df = spark.createDataFrame([*chain, *star, *cycle], "node_id string, parent_id string")
+    rows = {r.node_id: r for r in trees.flatten(df).where("node_id NOT LIKE 's%'").collect()}
+    assert rows["1499"].depth == 1499 and rows["1499"].path == [str(i) for i in range(1500)]
+    assert {k: rows[k].path for k in "abcd"} == {"a": ["a"], "b": ["a", "b"], "c": ["a", "b", "c"], "d": ["a", "b", "c", "d"]}
+    assert not {"x", "y", "o"} & set(rows) and trees.flatten(df).where("depth = 1 AND node_id LIKE 's%'").count() == 19_999
+    assert trees.flatten(df.where("node_id = 'q'")).count() == 0
+
+
+def test_mail_heads_and_dates():
+    head, used = mailparse.headers_of("Received: by x\n\tfor y\nReturn-Path: z\nFrom: Some One <a@b.co>\nfolded line\n> To: quoted\nTo: <d@e.fr>\nX-Any: 1\n\nbody".split("\n"))
+    assert head == {"received": "by x", "return-path": "z", "from": "a@b.co", "to": "d@e.fr", "x-any": "1"} and used == 9
+    assert mailparse.headers_of(["Dear all:", "From: x"]) == ({}, 0) and mailparse.headers_of(["only words"]) == ({}, 0)
+    assert mailparse.headers_of(["From: a@b.co", "Note: body begins"]) == ({"from": "a@b.co"}, 1)
+    assert mailparse.seconds_of("Monday, January 1, 2001 9:59 AM") == 978343140 and mailparse.seconds_of("01/02/2001 03:04 PM") == 978447840
+    assert mailparse.seconds_of("Mon, 14 May 2001 16:39:00 -0700 (PDT)") == 989883540 and mailparse.seconds_of("soon") is None
+    mails = [{"headers": {"date": "Mon, 14 May 2001 16:39:00 +0000"}, "is_original": True, "depth": 0, "body": "new"}, {"headers": {"sent": "02/16/2001 07:24:59 AM"}, "is_original": False, "depth": 1, "body": "old"}, {"headers": {}, "is_original": False, "depth": 2, "body": "undated"}]
+    assert [m["body"] for m in mailparse.oldest_first(mails)] == ["undated", "new", "old"]
+
+
+def test_nearly_json_of_many_kinds():
+    p = jsonops.parse_tolerantly
+    assert p('{"a": "5", "b": "x\ny", \'c\': \'it\\\'s\', "d": [1, 2,], "e": {"f": """q"q"""}, "g": TRUE, "h": "null", "i": "1e3"}') == json.dumps({"a": 5, "b": "x\ny", "c": "it's", "d": [1, 2], "e": {"f": 'q"q'}, "g": True, "h": None, "i": 1000.0})
+    assert [p(x) for x in ("{a: 1}", '{"a" 1}', '{"a": [}]}', '{"a": tru}', '{"a": 1, , }', "[1]", "")] == [None] * 7
+    assert p("{}") == "{}" and p('so {"a": []} it is') == '{"a": []}'
+
+
+def test_too_many_patterns_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(readers, "MOST_PATTERNS", 2)
+    names = spark.createDataFrame([("x",)], "name string")
+    assert readers.select_sources(names, spark.createDataFrame([("x",), ("y",)], "pattern string")).count() == 1
+    with pytest.raises(ValueError, match="patterns"):
+        readers.select_sources(names, spark.createDataFrame([("x",), ("y",), ("z",)], "pattern string"))
+
+
+def test_shared_folder_or_an_error():
+    class Context:
+        master, getCheckpointDir = "spark://host:7077", lambda self: None
+
+    class Conf:
+        get = lambda self, key, default=None: default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        storage.shared_folder(Session())

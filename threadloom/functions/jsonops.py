@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ast
 import json
 import re
 from collections.abc import Iterator
@@ -72,24 +71,84 @@ def persona_or_default(x: Column) -> Column:
     return F.coalesce(x, F.lit(NO_PERSONA))
 
 
-def parse_tolerantly(text: str | None) -> str | None:
-    """The object in a text that is JSON or nearly so, as JSON: single or triple quotes, trailing commas, literals of
-    any case and surrounding text are forgiven; null if there is none."""
-    if not text or "{" not in text or "}" not in text:
-        return None
-    body = text[text.index("{") : text.rindex("}") + 1]
-    for candidate in (body, re.sub(r",\s*([}\]])", r"\1", body)):
+#: Pieces of nearly-JSON: strings in three or one quotes (with line breaks in them), punctuation, words and numbers.
+_PIECE = re.compile(r"""\s*(?:(?P<long>\'{3}.*?\'{3}|"{3}.*?"{3})|(?P<text>"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')|(?P<mark>[][{}:,])|(?P<word>(?i:true|false|null|none))|(?P<number>[-+0-9.eE]+))""", re.DOTALL)
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
+_WORDS = {"true": True, "false": False, "null": None, "none": None}
+_OPEN = object()
+
+
+def scalar_of(text: str) -> object:
+    """What a quoted text stands for: a literal, a number, or itself."""
+    if text.lower() in ("true", "false", "null"):
+        return _WORDS[text.lower()]
+    for kind in (float,) if "." in text or "e" in text.lower() else (int,):
         try:
-            return json.dumps(json.loads(candidate), ensure_ascii=False)
+            return kind(text)
         except ValueError:
             pass
-    python = body
-    for word, literal in (("true", "True"), ("false", "False"), ("null", "None"), ("none", "None")):
-        python = re.sub(rf"(?<=[:\[,])(\s*){word}(?=\s*[,}}\]])", rf"\1{literal}", python, flags=re.IGNORECASE)
+    return text
+
+
+def _unquoted(text: str) -> str:
+    return re.sub(r"\\(.)", lambda m: _ESCAPES.get(m[1], m[1]), text[1:-1], flags=re.DOTALL)
+
+
+def _values(body: str) -> object:
+    """The value of nearly-JSON, built on a stack: a closing bracket folds all since the one that opened it."""
+    stack: list[object] = []
+    at = 0
+    while at < len(body) and body[at:].strip():
+        m = _PIECE.match(body, at)
+        if not m:
+            raise ValueError(f"unexpected text at {at}")
+        at, kind, piece = m.end(), m.lastgroup, m[m.lastgroup]
+        if kind == "mark" and piece in "{[":
+            stack.append((_OPEN, piece))
+        elif kind == "mark" and piece in "}]":
+            start = max((i for i, x in enumerate(stack) if isinstance(x, tuple) and x[0] is _OPEN), default=-1)
+            if start < 0 or stack[start][1] != ("{" if piece == "}" else "["):
+                raise ValueError("brackets do not match")
+            inner = stack[start + 1 :]
+            # members stand between commas; one may follow the last
+            groups: list[list] = [[]]
+            for x in inner:
+                if x == (None, ","):
+                    groups.append([])
+                else:
+                    groups[-1].append(x)
+            if not groups[-1]:
+                groups.pop()
+            if piece == "]":
+                if any(len(g) != 1 or isinstance(g[0], tuple) for g in groups):
+                    raise ValueError("a list's members must be parted by commas")
+                folded: object = [g[0] for g in groups]
+            else:
+                if any(len(g) != 3 or g[1] != (None, ":") for g in groups):
+                    raise ValueError("an object's members must be keys and values")
+                folded = {g[0]: g[2] for g in groups}
+            stack[start:] = [folded]
+        elif kind == "mark":
+            stack.append((None, piece))
+        elif kind == "number":
+            stack.append(float(piece) if re.search("[.eE]", piece) else int(piece))
+        else:
+            stack.append(scalar_of(piece[3:-3]) if kind == "long" else scalar_of(_unquoted(piece)) if kind == "text" else _WORDS[piece.lower()])
+    if len(stack) != 1:
+        raise ValueError("no single value")
+    return stack[0]
+
+
+def parse_tolerantly(text: str | None) -> str | None:
+    """The object in a text that is JSON or nearly so, as JSON: single or triple quotes, line breaks in strings, trailing
+    commas, literals of any case and surrounding text are forgiven, and quoted literals and numbers are what they say;
+    null if there is none."""
+    if not text or "{" not in text or "}" not in text:
+        return None
     try:
-        value = ast.literal_eval(python)
+        value = _values(text[text.index("{") : text.rindex("}") + 1])
         return json.dumps(value, ensure_ascii=False) if isinstance(value, dict) else None
-    except (ValueError, SyntaxError, MemoryError, RecursionError, TypeError):
+    except (ValueError, TypeError, OverflowError):
         return None
 
 
@@ -101,9 +160,10 @@ def tolerant_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def read_object(x: Column) -> Column:
-    """Well-formed objects as they are; only the others go through Python."""
+    """Well-formed objects as they are; only others, and those with quoted literals or numbers, go through Python."""
     well = F.from_json(x, "map<string,string>", {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}).isNotNull() & F.trim(x).startswith("{")
-    return F.coalesce(F.when(well, x), tolerant_json(F.when(~F.coalesce(well, F.lit(False)), x)))
+    well = F.coalesce(well & ~x.rlike('"\\s*(?i:true|false|null|[-+]?[0-9._]+(?:e[-+]?[0-9]+)?)\\s*"'), F.lit(False))
+    return F.coalesce(F.when(well, x), tolerant_json(F.when(~well, x)))
 
 
 def without_empty(value: object, drop: frozenset[str] = frozenset()) -> object:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from email.utils import parsedate_to_datetime
 
 import pandas as pd
@@ -14,12 +15,12 @@ from threadloom.schemas import EMAIL as EMAIL_SCHEMA
 
 #: Header names that a message's head may hold, besides x-*.
 HEADERS = frozenset(
-    "message-id date from to cc bcc subject mime-version content-type content-transfer-encoding reply-to in-reply-to references sender sent importance".split()
+    "message-id date from to cc bcc subject mime-version content-type content-transfer-encoding reply-to in-reply-to references sender sent "
+    "return-path received list-id list-unsubscribe".split()
 )
-ADDRESSED = ("from", "to", "cc", "bcc")
+ADDRESSED = ("from", "to", "cc")
 MAX_DEPTH, FORWARD_LINES = 10, 100
 _ADDRESS = re.compile(EMAIL)
-_HEADER = re.compile(r"^([A-Za-z][A-Za-z0-9\-]*):[ \t]*(.*)$")
 _FORWARDED = re.compile(r"^\s*-{2,}\s*Forwarded by .*|^\s*-{5,}\s*Forwarded message\s*-{5,}\s*$", re.IGNORECASE)
 _ORIGINAL = re.compile(r"^\s*-{3,}\s*Original Message\s*-{3,}\s*$", re.IGNORECASE)
 _QUOTED_HEAD = re.compile(r'^\s*"?([^"<]*)"?\s*<([^<>\s]+@[^<>\s]+)>\s+on\s+(.+?)\s*$')
@@ -31,28 +32,29 @@ def address_of(value: str) -> str:
 
 
 def headers_of(lines: list[str]) -> tuple[dict[str, str], int]:
-    """The head of a message and the number of lines that it takes; it ends at a blank or an unknown line."""
+    """The head of a message and the number of lines that it takes; it ends at a blank line or an unknown header.
+
+    Lines without a colon, such as folded ones, and quoted lines are passed over."""
     head: dict[str, str] = {}
     for i, line in enumerate(lines):
-        if not line.strip():
-            if head:
-                return head, i + 1
+        bare = line.strip()
+        if not bare and head:
+            return head, i + 1
+        name, colon, value = bare.partition(":")
+        if not colon or bare.startswith(">"):
             continue
-        m = _HEADER.match(line)
-        name = m[1].lower() if m else ""
-        if m and (name in HEADERS or name.startswith("x-")):
-            head[name] = address_of(m[2]) if name in ADDRESSED else m[2].strip()
-        elif not head:
-            return {}, 0
-        elif m or not line[0].isspace():
-            return head, i
-    return head, len(lines)
+        name, value = name.strip().lower(), value.strip()
+        if name in HEADERS or name.startswith("x-"):
+            head[name] = address_of(value) if name in ADDRESSED else value
+        else:
+            return (head, i) if head else ({}, 0)
+    return (head, len(lines)) if head else ({}, 0)
 
 
 def messages_of(text: str) -> list[dict]:
-    """The messages of a mail file, outermost first: headers, body, flags, depth."""
+    """The messages of a mail file, outermost first: headers, body, flags, depth. An original is one behind the mark of an original message."""
     found: list[dict] = []
-    lines, depth, forwarded, reply = text.split("\n"), 0, False, False
+    lines, depth, came = text.split("\n"), 0, ""
     while depth <= MAX_DEPTH:
         head, used = headers_of(lines)
         rest = lines[used:]
@@ -70,7 +72,7 @@ def messages_of(text: str) -> list[dict]:
                 cut, kind = i, "quote"
                 break
         body = "\n".join(rest[:cut]).strip()
-        found.append({"headers": head, "body": body, "is_forwarded": forwarded, "is_reply": reply, "is_original": not (forwarded or reply), "depth": depth})
+        found.append({"headers": head, "body": body, "is_forwarded": came == "forward", "is_reply": came in ("reply", "quote") or head.get("subject", "")[:3].lower() == "re:", "is_original": came == "reply", "depth": depth})
         if not kind:
             break
         lines = [re.sub(r"^\s*> ?", "", x) for x in rest[cut:]] if kind == "quote" else rest[cut + 1 :]
@@ -78,24 +80,44 @@ def messages_of(text: str) -> list[dict]:
             lines = lines[1:]
         if not lines:
             break
-        depth, forwarded, reply = depth + 1, kind == "forward", kind != "forward"
+        depth, came = depth + 1, kind
     return found
 
 
+#: Forms of dates in mails, in order of trial, as strptime writes them: fixed values.
+DATE_FORMS = (
+    "%a, %d %b %Y %H:%M:%S %z", "%a, %d %b %Y %H:%M:%S", "%m/%d/%Y %I:%M:%S %p", "%m/%d/%Y %I:%M %p", "%m/%d/%Y %H:%M:%S", "%A, %B %d, %Y %I:%M %p",
+    "%A, %B %d, %Y %I:%M:%S %p", "%B %d, %Y %I:%M %p", "%B %d, %Y %I:%M:%S %p", "%Y-%m-%d %H:%M:%S",
+)
+#: Seconds by which an original message counts as older, so that it comes before the mail that answers it.
+ORIGINAL_SHIFT = 100_000_000
+
+
 def seconds_of(date: str | None) -> float | None:
+    """Seconds of a mail's date in any of DATE_FORMS, without a zone in UTC; null if it has none of them."""
+    cut = re.sub(r"\s*\([A-Za-z]+\)\s*$", "", date or "").strip()
+    for form in DATE_FORMS:
+        try:
+            at = datetime.strptime(cut, form)
+        except ValueError:
+            continue
+        return (at if at.tzinfo else at.replace(tzinfo=UTC)).timestamp()
     try:
-        return parsedate_to_datetime(re.sub(r"\s*\([A-Za-z]+\)\s*$", "", date or "")).timestamp()
+        return parsedate_to_datetime(cut).timestamp()
     except (ValueError, TypeError, IndexError):
         return None
 
 
 def oldest_first(messages: list[dict]) -> list[dict]:
-    """Messages from the oldest on, undated ones before, deeper first; the oldest counts as no forward and no reply."""
+    """Messages from the oldest on, originals taken for ORIGINAL_SHIFT older, undated ones before dated ones, deeper
+    first; the oldest counts as no forward and no reply."""
 
     def key(item: tuple[int, dict]) -> tuple:
         i, m = item
         at = seconds_of(m["headers"].get("date") or m["headers"].get("sent"))
-        return (0, 0 if m["is_original"] else 1, -m["depth"], i) if at is None else (1, at, 0, i)
+        if at is None:
+            return (0 if m["is_original"] else 1, -m["depth"], i)
+        return (at - ORIGINAL_SHIFT if m["is_original"] else at, i)
 
     ordered = [m for _, m in sorted(enumerate(messages), key=key)]
     return [m | {"email_index": i} | ({"is_forwarded": False, "is_reply": False} if i == 0 else {}) for i, m in enumerate(ordered)]

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import html
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from threadloom.schemas import DEMOGRAPHICS, PERSONA_LISTS
 
 EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"
 #: Reply and forward marks of subjects, wherever they stand.
@@ -76,11 +83,20 @@ def strip_prefix_letters(x: Column, letters: str = "r/") -> Column:
     return F.ltrim(x, F.lit(letters))
 
 
+@F.pandas_udf(T.StringType())
+def _unescaped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in batches:
+        yield s.map(html.unescape, na_action="ignore")
+
+
 def unescape(x: Column) -> Column:
-    """The five basic HTML entities, ampersands last."""
+    """HTML entities as characters. The basic ones are replaced in place; a text that holds any other goes through Python once."""
+    plain = x
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(name), F.lit(char))
-    return x
+        plain = F.replace(plain, F.lit(name), F.lit(char))
+    # what is neither a basic entity nor a lone ampersand, or would become one
+    others = x.rlike("&(?!(?:lt|gt|quot|amp|#39|#x27);)[#A-Za-z]|&amp;[#A-Za-z]")
+    return F.when(others, _unescaped(F.when(others, x))).otherwise(plain)
 
 
 def escape(x: Column) -> Column:
@@ -92,12 +108,12 @@ def escape(x: Column) -> Column:
 
 def collapse_quotes(x: Column) -> Column:
     """Each run of lines that begin with '>' becomes its first line and a mark, if a line without '>' follows it."""
-    quoted = lambda line: F.coalesce(F.ltrim(line).startswith(">"), F.lit(False))
+    quoted = lambda line: F.coalesce(line.rlike("^\\s*>"), F.lit(False))
     none = F.array().cast("array<string>")
 
     def keep(lines: Column, line: Column, i: Column) -> Column:
         # a run's first line stays; the mark follows where the run ends before another line
-        begins = F.when(~quoted(F.coalesce(F.get(lines, i - 1), F.lit(""))), F.array(F.trim(line))).otherwise(none)
+        begins = F.when(~quoted(F.coalesce(F.get(lines, i - 1), F.lit(""))), F.array(strip(line))).otherwise(none)
         ends = (F.size(lines) > i + 1) & ~quoted(F.coalesce(F.get(lines, i + 1), F.lit("")))
         return F.when(quoted(line), F.concat(begins, F.when(ends, F.array(F.lit("[...quoted text...]"))).otherwise(none))).otherwise(F.array(line))
 
@@ -162,11 +178,30 @@ def md5_share(x: Column) -> Column:
 
 
 def dropped_fields(fields: list[str], persona_id: Column, seed: int, p: float, most: int) -> Column:
-    """The fields of a persona that are dropped: those whose draw is below p, the least md5s first, min(int(5 p), most) at most."""
-    if not fields:
+    """The fields of a persona that are dropped: min(int(5 p), most) of them, those with the greatest md5s of seed, persona and field."""
+    n = min(int(p * 5), most, len(fields))
+    if n <= 0:
         return F.array().cast("array<string>")
-    draws = F.array(*[F.struct(F.md5(F.concat_ws("_", F.lit(str(seed)), persona_id, F.lit(f))).alias("h"), md5_share(F.concat_ws("_", F.lit(str(seed)), persona_id, F.lit(f))).alias("u"), F.lit(f).alias("f")) for f in fields])
-    return F.transform(F.slice(F.array_sort(F.filter(draws, lambda x: x["u"] < p)), 1, min(int(p * 5), most)), lambda x: x["f"])
+    drawn = F.array(*[F.struct(F.md5(F.concat_ws("_", F.lit(str(seed)), persona_id, F.lit("field"), F.lit(f))).alias("h"), F.lit(f).alias("f")) for f in fields])
+    return F.transform(F.slice(F.array_sort(drawn), len(fields) - n + 1, n), lambda x: x["f"])
+
+
+def persona_text(persona: Column, persona_id: Column, field_p: float = 0.0, item_p: float = 0.0, seed: int = 42) -> Column:
+    """A persona (struct of demographics and lists) in lines, with fields and items dropped by md5; what is left out is 'Missing'.
+
+    Fields go by dropped_fields, of all five (four at most), or of the lists alone (three at most) where demographics
+    say nothing. An item goes if the draw of seed, persona and item is below `item_p`."""
+    gone = lambda key: md5_share(F.concat_ws("_", F.lit(str(seed)), persona_id, F.lit("item"), key)) < item_p if item_p else F.lit(False)
+    told = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), persona["demographics"][k].alias("v")) for k in DEMOGRAPHICS]), lambda x: (F.coalesce(x["v"], F.lit("")) != "") & (strip(x["v"]) != "NA"))
+    fields = ["demographics", *PERSONA_LISTS]
+    dropped = F.when(F.size(told) > 0, dropped_fields(fields, persona_id, seed, field_p, 4)).otherwise(dropped_fields(fields[1:], persona_id, seed, field_p, 3))
+    lines = F.transform(F.filter(told, lambda x: ~gone(F.concat(x["k"], F.lit(":"), x["v"]))), lambda x: F.concat(F.lit("  "), x["k"], F.lit(": "), x["v"]))
+    out = [F.when(~F.array_contains(dropped, "demographics") & (F.size(lines) > 0), F.concat(F.lit("Demographics:\n"), F.array_join(lines, "\n"))).otherwise(F.lit("Demographics: Missing"))]
+    for name in PERSONA_LISTS:
+        held = F.filter(F.coalesce(persona[name], F.array().cast("array<string>")), lambda x: ~gone(x))
+        shown = F.concat(F.lit(f"{name.capitalize()}: \n  "), F.array_join(held, "\n  "))
+        out.append(F.when(~F.array_contains(dropped, name) & (F.size(held) > 0), shown).otherwise(F.lit(f"{name.capitalize()}: Missing")))
+    return F.concat_ws("\n", *out)
 
 
 def id_suffix(x: Column) -> Column:

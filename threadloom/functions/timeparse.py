@@ -31,7 +31,7 @@ def article_epoch(text: Column) -> Column:
 
 #: Forms of mail dates, tried in order; a weekday before and a zone's name in brackets after are cut first.
 MAIL_FORMS = (
-    "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy hh:mm:ss a", "MM/dd/yyyy hh:mm a", "MMMM d, yyyy h:mm a", "MM/dd/yyyy HH:mm:ss",
+    "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy hh:mm:ss a", "MM/dd/yyyy hh:mm a", "MMMM d, yyyy h:mm a", "MMMM d, yyyy h:mm:ss a", "MM/dd/yyyy HH:mm:ss",
 )
 
 

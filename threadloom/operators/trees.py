@@ -1,31 +1,45 @@
-"""Comment trees and response graphs, flattened level by level."""
+"""Comment trees and response graphs, flattened by doubling the paths to the root."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 100
+from threadloom.storage import fresh_path, remove, stored
+
 
+def _walked(nodes: DataFrame, keep: Column | None) -> DataFrame:
+    """(node_id, path): every node that hangs from a root, with the steps (id, item) from the root down to it.
 
-def flatten(nodes: DataFrame, keep: Column | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+    Each node holds the steps below some ancestor, and that ancestor as `up`. A round puts the ancestor's own steps
+    before them, so paths double: a tree of depth d takes log2(d) joins, and depth and rows have no limit. Nodes whose
+    ancestor is missing fall out, and so do steps that would pass a node again. Each round is written to the shared
+    folder, and the one before is removed."""
+    spark = nodes.sparkSession
+    kept = nodes if keep is None else nodes.where(keep)
+    item = F.col("item") if "item" in nodes.columns else F.lit(None).cast("string")
+    step = F.struct(F.col("node_id").cast("string").alias("id"), item.alias("item"))
+    state = kept.select(F.col("node_id").cast("string").alias("node_id"), F.col("parent_id").cast("string").alias("up"), F.array(step).alias("path"))
+    path = fresh_path(spark, "tree")
+    state = stored(state, path)
+    ids = lambda steps: F.transform(steps, lambda x: x["id"])
+    while not state.where(F.col("up").isNotNull()).isEmpty():
+        above = state.select(F.col("node_id").alias("at"), F.col("up").alias("next"), F.col("path").alias("before"))
+        longer = state.where(F.col("up").isNotNull()).join(above, F.col("up") == F.col("at")).where(~F.arrays_overlap(ids(F.col("before")), ids(F.col("path"))))
+        grown = state.where(F.col("up").isNull()).unionByName(longer.select("node_id", F.col("next").alias("up"), F.concat("before", "path").alias("path")))
+        last, path = path, fresh_path(spark, "tree")
+        state = stored(grown, path)
+        remove(spark, last)
+    return state.select("node_id", "path")
+
+
+def flatten(nodes: DataFrame, keep: Column | None = None) -> DataFrame:
     """Every node that hangs from a root: node_id, depth (from 0), path (ids from the root).
 
     `nodes` has node_id, parent_id (null at a root). Nodes for which `keep` fails are pruned with all below them. A
     node that comes up again on its own path ends there, so cycles end."""
-    spark = nodes.sparkSession
-    kept = nodes if keep is None else nodes.where(keep)
-    view = f"nodes_{uuid.uuid4().hex}"
-    kept.select(F.col("node_id").cast("string").alias("node_id"), F.col("parent_id").cast("string").alias("parent_id")).createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE walk (node_id, depth, path) MAX RECURSION LEVEL {max_depth} AS (
-          SELECT node_id, 0, array(node_id) FROM {view} WHERE parent_id IS NULL
-          UNION ALL
-          SELECT n.node_id, w.depth + 1, concat(w.path, array(n.node_id)) FROM walk w JOIN {view} n ON n.parent_id = w.node_id
-          WHERE NOT array_contains(w.path, n.node_id))
-        SELECT node_id, depth, path FROM walk""")
+    walked = _walked(nodes.select(*[c for c in nodes.columns if c != "item"]), keep)
+    return walked.select("node_id", (F.size("path") - 1).alias("depth"), F.transform("path", lambda x: x["id"]).alias("path"))
 
 
 def tops_and_replies(comments: DataFrame) -> DataFrame:
@@ -40,18 +54,9 @@ def edges_of(nodes: DataFrame, node: str = "id", children: str = "responses") ->
     return nodes.select(F.col(node).alias("parent_id"), F.posexplode(children).alias("ord", "node_id"))
 
 
-def with_ancestors(nodes: DataFrame, keep: Column | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+def with_ancestors(nodes: DataFrame, keep: Column | None = None) -> DataFrame:
     """flatten, with the items of a node's ancestors from its root down: node_id, depth, path, above.
 
     `nodes` also has a column item of any type; a root's `above` is empty."""
-    spark = nodes.sparkSession
-    kept = nodes if keep is None else nodes.where(keep)
-    view = f"nodes_{uuid.uuid4().hex}"
-    kept.select(F.col("node_id").cast("string").alias("node_id"), F.col("parent_id").cast("string").alias("parent_id"), "item").createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE walk (node_id, depth, path, above, item) MAX RECURSION LEVEL {max_depth} AS (
-          SELECT node_id, 0, array(node_id), slice(array(item), 1, 0), item FROM {view} WHERE parent_id IS NULL
-          UNION ALL
-          SELECT n.node_id, w.depth + 1, concat(w.path, array(n.node_id)), concat(w.above, array(w.item)), n.item
-          FROM walk w JOIN {view} n ON n.parent_id = w.node_id WHERE NOT array_contains(w.path, n.node_id))
-        SELECT node_id, depth, path, above FROM walk""")
+    above = F.transform(F.slice("path", F.lit(1), F.size("path") - 1), lambda x: x["item"])
+    return _walked(nodes, keep).select("node_id", (F.size("path") - 1).alias("depth"), F.transform("path", lambda x: x["id"]).alias("path"), above.alias("above"))

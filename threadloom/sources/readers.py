@@ -11,6 +11,10 @@ from pyspark.sql import types as T
 from threadloom.schemas import INTERACTION
 
 
+#: Patterns that select_sources compares every source with.
+MOST_PATTERNS = 10_000
+
+
 def interactions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(INTERACTION).parquet(path)
 
@@ -28,8 +32,10 @@ def selected(names: list[str], patterns: list[str]) -> list[str]:
 
 
 def select_sources(catalog: DataFrame, patterns: DataFrame, name: str = "name", pattern: str = "pattern") -> DataFrame:
-    """`selected` over a catalog of sources; the list of patterns is the user's own and short."""
-    return catalog.join(F.broadcast(patterns.limit(1000)), F.expr(f"{name} rlike concat('^(?:', {pattern}, ')')"))
+    """`selected` over a catalog of sources; the list of patterns is the user's own, of at most MOST_PATTERNS."""
+    if patterns.limit(MOST_PATTERNS + 1).count() > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns")
+    return catalog.join(F.broadcast(patterns), F.expr(f"{name} rlike concat('^(?:', {pattern}, ')')"))
 
 
 def sliced(sources: list[DataFrame], most: int, splits: int, order: list[str]) -> DataFrame:

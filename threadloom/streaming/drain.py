@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below the cluster's shared one; a local one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='threadloom-')}"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+from threadloom.storage import fresh_path, remove
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """The stream's result once all present input is read: the last state ("complete") or all rows ("append")."""
-    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
+    spark, folder = stream.sparkSession, fresh_path(stream.sparkSession, "stream")
     kept = "overwrite" if mode == "complete" else "append"
 
     def write(batch: DataFrame, _: int) -> None:
@@ -25,4 +18,5 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/rows")
     run = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
+    remove(spark, f"{folder}/state")  # the stream is over
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
