@@ -499,6 +499,7 @@ def test_near_pairs(frame, monkeypatch):
         monkeypatch.setattr(near_pairs, "CELL_BLOCK", 3)
         monkeypatch.setattr(near_pairs, "MOST", most)
         monkeypatch.setattr(near_pairs, "FEW", 4)
+        monkeypatch.setattr(near_pairs, "CELL_FEW", 5)
         assert run() == want
     assert near_pairs.join(frame(docs).where("doc_id < 0")).count() == 0
 

@@ -29,10 +29,10 @@ BANDS, ROWS = 32, 4
 #: MinHash values compared before each look at the posterior, and its least value for a pair to go on. A pair at the
 #: threshold is dropped within all looks with probability 2e-7 (missed_share()).
 STEP, TOLERANCE = 16, 3e-8
-#: Classes of a block, in buckets (where a class is in many) and in cells (where it is in one): a group is cut into FEW
-#: blocks before blocks grow to MOST, so that tasks stay even while groups are small, and a row of a group of n is
-#: copied FEW or n / MOST times at most. Shingles of a cell's block.
-BLOCK, CELL_BLOCK, FEW, MOST, BLOCK_SHINGLES = 512, 128, 16, 4096, 400_000
+#: Classes of a block, and blocks of a group before they grow to MOST classes, in buckets (where a class is in many) and
+#: in cells (where it is in one): tasks stay even while groups are small, and a row of a group of n is copied FEW
+#: (CELL_FEW) or n / MOST times at most. Shingles of a cell's block.
+BLOCK, FEW, CELL_BLOCK, CELL_FEW, MOST, BLOCK_SHINGLES = 512, 16, 64, 32, 4096, 400_000
 #: Bits of a MinHash value that are kept and compared.
 VALUE = np.uint16
 
@@ -263,9 +263,9 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def n_blocks(members: Column, block: int) -> Column:
+def n_blocks(members: Column, block: int, few: int) -> Column:
     """Blocks that a group of `members` is cut into."""
-    return F.greatest(F.least(F.ceil(members / F.lit(block)), F.lit(FEW)), F.ceil(members / F.lit(MOST))).cast("int")
+    return F.greatest(F.least(F.ceil(members / F.lit(block)), F.lit(few)), F.ceil(members / F.lit(MOST))).cast("int")
 
 
 def block_of(key: Column, blocks: Column) -> Column:
@@ -288,7 +288,7 @@ def candidates(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sums = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y")).where("size > 1")
     buckets = materialize(sums.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size"), "buckets")
     met = dealt.join(buckets, "key").join(sets.select("cid", "values"), "cid")
-    met = in_blocks(met.withColumn("blocks", n_blocks(F.col("size"), BLOCK)), "cid").select("key.band", "key.bits", "i", "j", "block", "cid", "values")
+    met = in_blocks(met.withColumn("blocks", n_blocks(F.col("size"), BLOCK, FEW)), "cid").select("key.band", "key.bits", "i", "j", "block", "cid", "values")
     need = least_matches(threshold)
     schema = pa.schema([("a", pa.int64()), ("root", pa.int64()), ("partners", pa.list_(pa.int64()))])
 
@@ -324,7 +324,7 @@ def verified(docs: DataFrame, sets: DataFrame, found: DataFrame, threshold: floa
     # fetch the sets of cells' members once, by a document that has them
     sized = cells.join(sets.select(F.col("cid").alias("v"), "copies", "n", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key")), "v")
     total = sized.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(n_blocks(F.col("members"), CELL_BLOCK), F.ceil(F.col("shingles") / F.lit(BLOCK_SHINGLES)).cast("int"))
+    blocks = F.greatest(n_blocks(F.col("members"), CELL_BLOCK, CELL_FEW), F.ceil(F.col("shingles") / F.lit(BLOCK_SHINGLES)).cast("int"))
     sized = materialize(sized.join(total.select("root", blocks.alias("blocks")), "root"), "cells")
     text = F.coalesce(F.col("text"), F.lit(""))
     source = docs.select(F.col("doc_id").alias("rep_id"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("rep_key"), text.alias("text"))
@@ -340,13 +340,12 @@ def verified(docs: DataFrame, sets: DataFrame, found: DataFrame, threshold: floa
     held = fetched.mapInArrow(to_sets, "root long, v long, copies long, blocks int, set binary")
     none = F.array().cast("array<bigint>")
     held = in_blocks(held, "v").select("root", "i", "j", F.lit(0).alias("kind"), "v", "copies", "set", none.alias("partners"))
-    # a class's partners go where its block meets theirs
-    asked = found.where(F.size("partners") > 0).join(sized.select(F.col("v").alias("a"), F.col("root").alias("cell"), "blocks"), "a")
-    asked = asked.withColumn("mine", block_of(F.col("a"), F.col("blocks"))).withColumn("their", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # a class's partners, from all its buckets, go where its block meets theirs: one row a class and block of partners
+    asked = found.where(F.size("partners") > 0).groupBy("a").agg(F.flatten(F.collect_list("partners")).alias("partners"))
+    asked = asked.join(sized.select(F.col("v").alias("a"), F.col("root").alias("cell"), "blocks"), "a").withColumn("mine", block_of(F.col("a"), F.col("blocks")))
+    asked = asked.withColumn("their", F.explode(F.array_distinct(F.transform("partners", lambda x: block_of(x, F.col("blocks"))))))
     theirs = F.when(F.col("blocks") == 1, F.col("partners")).otherwise(F.filter("partners", lambda x: block_of(x, F.col("blocks")) == F.col("their")))
-    asked = asked.select(F.col("cell").alias("root"), F.least("mine", "their").alias("i"), F.greatest("mine", "their").alias("j"), F.col("a").alias("v"), theirs.alias("partners")).where(F.size("partners") > 0)
-    # one row a class and pair of blocks: at most a block's classes are its partners there
-    asked = asked.groupBy("root", "i", "j", "v").agg(F.flatten(F.collect_list("partners")).alias("partners"))
+    asked = asked.select(F.col("cell").alias("root"), F.least("mine", "their").alias("i"), F.greatest("mine", "their").alias("j"), F.col("a").alias("v"), theirs.alias("partners"))
     together = held.unionByName(asked.select("root", "i", "j", F.lit(1).alias("kind"), "v", F.lit(0).cast("long").alias("copies"), F.lit(None).cast("binary").alias("set"), "partners"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64()), ("linked_sets", pa.int64())])
 
