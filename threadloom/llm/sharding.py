@@ -62,7 +62,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), [1.0] * N_SHARDS, [1.0] * (N_SHARDS + 1))
 
 
-
 def _crc_table() -> list[int]:
     """The table of crc32's polynomial, a row a byte."""
     rows = list(range(256))
@@ -71,7 +70,8 @@ def _crc_table() -> list[int]:
     return rows
 
 
-_TABLE = _crc_table()
+#: For SQL twins.
+CRC_TABLE = _crc_table()
 
 
 def _placed(shards: int) -> str:
@@ -87,7 +87,7 @@ WITH d AS (
     SELECT doc_id, coalesce(text, '') AS t, md5(coalesce(doc_id::VARCHAR, '')) AS h, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS n FROM documents
 ), p AS (
     SELECT *, strlen(t) + 16 AS size, {_placed(N_SHARDS)} AS shard, {_placed(N_SHARDS + 1)} AS grown,
-           xor(list_reduce(list_transform(regexp_extract_all(hex(t), '..'), lambda x: ('0x' || x)::BIGINT), lambda c, x: xor(c >> 8, {_TABLE}[(xor(c, x) & 255) + 1]::BIGINT), 4294967295::BIGINT), 4294967295::BIGINT) AS crc
+           xor(list_reduce(list_transform(regexp_extract_all(hex(t), '..'), lambda x: ('0x' || x)::BIGINT), lambda c, x: xor(c >> 8, {CRC_TABLE}[(xor(c, x) & 255) + 1]::BIGINT), 4294967295::BIGINT), 4294967295::BIGINT) AS crc
     FROM d
 )
 SELECT doc_id, size::BIGINT AS size, CASE WHEN t = '' THEN 0 ELSE crc END::BIGINT AS text_crc32, 'key' AS law, shard::INT AS shard,
