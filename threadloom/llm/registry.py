@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import conversation_repair, language_id, license_scan, line_crf, mixing, near_pairs, packing, quality_rules, quality_sql, sharding, warc, winnowing
+from threadloom.llm import conversation_repair, language_id, license_scan, line_crf, mixing, near_pairs, packing, quality_rules, quality_sql, sharding, source_divergence, warc, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.query,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_crf": line_crf.query,
     "op10_language_bitmask": language_id.query,
     "op11_conversation_repair": conversation_repair.query,
+    "op12_source_divergence": source_divergence.query,
 }
 SQL: dict[str, str] = {
     "op1_warc": warc.SQL,
@@ -28,4 +29,5 @@ SQL: dict[str, str] = {
     "op6_jaccard_join": near_pairs.SQL,
     "op8_rendezvous_sharding": sharding.SQL,
     "op11_conversation_repair": conversation_repair.SQL,
+    "op12_source_divergence": source_divergence.SQL,
 }
