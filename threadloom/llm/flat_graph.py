@@ -143,6 +143,8 @@ def in_range(units: np.ndarray, adjacent: np.ndarray, start: int, least: float,
     places, near, seen = search(units, adjacent, start, queries, beam)
     q, col = np.nonzero((near >= least) & (places >= 0))
     to = places[q, col]
+    seen[:] = False  # what the beam had no room for is met again
+    seen[q, to] = True
     found = [q.astype(np.int64) * n + to]
     while len(q):
         more = []

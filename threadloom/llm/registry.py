@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import conversation_repair, language_id, license_scan, line_crf, mixing, near_pairs, packing, quality_rules, quality_sql, sharding, source_divergence, warc, winnowing
+from threadloom.llm import conversation_repair, language_id, license_scan, line_crf, mixing, near_pairs, near_vectors, packing, quality_rules, quality_sql, sharding, source_divergence, warc, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.query,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_bitmask": language_id.query,
     "op11_conversation_repair": conversation_repair.query,
     "op12_source_divergence": source_divergence.query,
+    "op13_embedding_graph": near_vectors.query,
 }
 SQL: dict[str, str] = {
     "op1_warc": warc.SQL,
@@ -30,4 +31,5 @@ SQL: dict[str, str] = {
     "op8_rendezvous_sharding": sharding.SQL,
     "op11_conversation_repair": conversation_repair.SQL,
     "op12_source_divergence": source_divergence.SQL,
+    "op13_embedding_graph": near_vectors.SQL,
 }
