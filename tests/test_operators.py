@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threadloom import storage
 from threadloom.functions import jsonops, mailparse, study, text, timeparse
 from threadloom.operators import activity, conversations, dedupe, history, incremental, joins, personas, splits, threads, trees
+from threadloom.plans import builders
 from threadloom.plans.processor import Config, process
 from threadloom.schemas import INTERACTION
 from threadloom.sources import readers, writers
@@ -186,7 +187,7 @@ def test_mail(spark):
     assert [(m.headers["from"], m.body, m.is_reply, m.depth, m.email_index) for m in first] == [("ann@x.org", "Shall we?", False, 1, 0), ("bob@x.org", "Fine with me.", True, 0, 1)]  # its subject is a reply's
     assert [m.body for m in found[1].p] == ["plain"] and found[2].p is None
     forward = mailparse.messages_of('From: a@b.co\n\nsee\n---------- Forwarded by A B\n"Cy" <c@d.co> on 3 Jan 2001 10:00:00\n\ninner')
-    assert [(m["headers"].get("from"), m["body"], m["is_forwarded"]) for m in forward] == [("a@b.co", "see", False), ("c@d.co", "inner", True)]
+    assert [(m["headers"].get("from"), m["body"], m["is_forwarded"]) for m in forward] == [("a@b.co", "see", True), ("c@d.co", "inner", False)]
 
 
 def test_sources_and_sinks(spark, tmp_path):
@@ -289,6 +290,35 @@ def test_mail_heads_and_dates():
     assert [m["body"] for m in mailparse.oldest_first(mails)] == ["undated", "new", "old"]
 
 
+def test_quoted_mails_without_a_mark():
+    said = mailparse.messages_of
+    bob = "From: Bob Smith [mailto:bob@x.org]\nSent: Monday, January 1, 2001 9:59 AM\nTo: a@b.co\nSubject: plan\n\nolder"
+    first, second = said(f"From: a@b.co\nSubject: Re: plan\n\nnewer\nwords\n\n{bob}")
+    assert (first["body"], first["is_reply"], first["is_original"]) == ("newer\nwords", True, False)
+    assert second["headers"] == {"from": "bob@x.org", "sent": "Monday, January 1, 2001 9:59 AM", "to": "a@b.co", "subject": "plan"} and (second["body"], second["is_original"]) == ("older", True)
+    # nested and repeated blocks, quoted ones too
+    deep = said(f"From: a@b.co\n\nthird\n{bob}\n\n> From: Cy <cy@x.org>\n> Date: Mon, 1 Jan 2001 08:00:00 +0000\n>\n> oldest\n> words")
+    assert [m["body"] for m in deep] == ["third", "older", "oldest\nwords"] and [m["headers"]["from"] for m in deep] == ["a@b.co", "bob@x.org", "cy@x.org"]
+    again = said("From: a@b.co\n\n0" + "".join(f"\n\nFrom: u{i}@x.org\nTo: v\n\n{i}" for i in range(1, 5)))
+    assert [m["body"] for m in again] == list("01234") and [m["depth"] for m in again] == list(range(5))
+    # folded lines of a head; prose that only begins like one
+    assert said("From: a@b.co\n\nx\nFrom: Bob\n <bob@x.org>\nTo: c@d.co;\n\te@f.gh\nbody")[1]["body"] == "body"
+    assert len(said("From: a@b.co\n\nFrom: the start of it all\nwe went on.")) == 1
+    # a quoted end without a head takes its reply's fields, turned round
+    quoted = said("From: a@b.co\nTo: d@e.fr\nSubject: RE: plan\n\nyes\n\n> shall we?\n>\n> today?")[1]
+    assert quoted["headers"] == {"from": "d@e.fr", "to": "a@b.co", "subject": "plan"} and quoted["body"] == "shall we?\n\ntoday?"
+    assert said("From: a@b.co\nSubject: Re: x\n\nno quote")[0]["is_reply"] is False and said("From: a@b.co\nSubject: Re: x\n\nsee > here")[0]["is_reply"] is True
+    # the lines below a sender's own line are its head
+    named = said('From: a@b.co\nSubject: FW: x\n\nsee\n----- Forwarded by A -----\n"Bob" <bob@y.org> on 01/02/2001 03:04:05 PM\nTo: c@d.co\ncc: Di <di@d.co>\nSubject: x\n\ninner')
+    assert named[1]["headers"] == {"from": "bob@y.org", "date": "01/02/2001 03:04:05 PM", "to": "c@d.co", "cc": "di@d.co", "subject": "x"} and named[1]["body"] == "inner" and named[0]["is_forwarded"]
+
+
+def test_mails_of_any_date_are_kept(spark):
+    files = spark.createDataFrame([("f", f"Message-ID: <{i}>\nFrom: u@x.org\nDate: {d}\n\nlong enough words {i}") for i, d in enumerate(["1 Jan 2001 00:00:00 GMT", "Mon, 01 Jan 01 00:00:01 EST", "2001-01-01 00:00:02", "no date"])], "file string, message string")
+    got = {r.message_id: r.timestamp for r in builders.flat_mail(files).collect()}
+    assert got == {"<0>": 978307200, "<1>": 978307201 + 5 * 3600, "<2>": 978307202, "<3>": None}
+
+
 def test_nearly_json_of_many_kinds():
     p = jsonops.parse_tolerantly
     assert p('{"a": "5", "b": "x\ny", \'c\': \'it\\\'s\', "d": [1, 2,], "e": {"f": """q"q"""}, "g": TRUE, "h": "null", "i": "1e3"}') == json.dumps({"a": 5, "b": "x\ny", "c": "it's", "d": [1, 2], "e": {"f": 'q"q'}, "g": True, "h": None, "i": 1000.0})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,15 +31,24 @@ def article_epoch(text: Column) -> Column:
     return F.coalesce(F.unix_timestamp(plain), F.unix_timestamp(F.try_to_timestamp(text)), F.lit(0)).cast("long")
 
 
-#: Forms of mail dates, tried in order; a weekday before and a zone's name in brackets after are cut first.
-MAIL_FORMS = (
-    "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy hh:mm:ss a", "MM/dd/yyyy hh:mm a", "MMMM d, yyyy h:mm a", "MMMM d, yyyy h:mm:ss a", "MM/dd/yyyy HH:mm:ss",
+#: Forms of dates in mails, in order of trial, as strptime writes them: fixed values.
+DATE_FORMS = (
+    "%a, %d %b %Y %H:%M:%S %z", "%a, %d %b %Y %H:%M:%S", "%m/%d/%Y %I:%M:%S %p", "%m/%d/%Y %I:%M %p", "%m/%d/%Y %H:%M:%S", "%A, %B %d, %Y %I:%M %p",
+    "%A, %B %d, %Y %I:%M:%S %p", "%B %d, %Y %I:%M %p", "%B %d, %Y %I:%M:%S %p", "%Y-%m-%d %H:%M:%S",
 )
+#: What Spark writes for a strptime field.
+_FIELDS = {"%d": "d", "%b": "MMM", "%B": "MMMM", "%Y": "yyyy", "%m": "M", "%H": "H", "%I": "h", "%M": "m", "%S": "s", "%p": "a", "%z": "Z"}
+
+
+def spark_form(form: str) -> str:
+    """A strptime form as Spark writes it, without a weekday before."""
+    return re.sub("%.", lambda m: _FIELDS[m[0]], re.sub("^%[aA], ", "", form))
 
 
 def mail_epoch(text: Column) -> Column:
+    """Seconds of a mail's date in any of DATE_FORMS; a weekday before and a zone's name in brackets after are cut first."""
     cut = F.trim(F.regexp_replace(F.regexp_replace(text, "^[A-Za-z]+,\\s*", ""), "\\s*\\([A-Za-z]+\\)\\s*$", ""))
-    return F.unix_timestamp(F.coalesce(*[F.try_to_timestamp(cut, F.lit(f)) for f in MAIL_FORMS]))
+    return F.unix_timestamp(F.coalesce(*[F.try_to_timestamp(cut, F.lit(f)) for f in dict.fromkeys(map(spark_form, DATE_FORMS))]))
 
 
 def months(text: Column) -> Column:

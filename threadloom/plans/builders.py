@@ -114,13 +114,12 @@ def flat_mail(files: DataFrame) -> DataFrame:
     """Mails of files (file, message): seq, file, message_id, user_id, subject, body, timestamp, metadata."""
     rows = files.withColumn("arrival", F.monotonically_increasing_id()).select("file", "arrival", F.posexplode(parsed_mail("message")).alias("at", "m"))
     head = lambda name: F.coalesce(F.element_at(F.col("m.headers"), name), F.lit(""))
-    date = F.coalesce(F.nullif(head("date"), F.lit("")), head("sent"))
     names = {"from": "from", "to": "to", "subject": "subject", "in_reply_to": "in-reply-to", "references": "references", "cc": "cc", "bcc": "bcc", "x_from": "x-from", "x_to": "x-to", "x_folder": "x-folder", "x_origin": "x-origin", "x_filename": "x-filename"}
     body = text.strip(F.col("m.body"))
     about = F.to_json(F.struct(F.trim(head("message-id")).alias("message_id"), *[head(h).alias(n) for n, h in names.items()], F.length(body).alias("body_length"), "file"))
     return rows.select(
         F.struct("arrival", "at").alias("seq"), "file", F.trim(head("message-id")).alias("message_id"), F.nullif(F.lower(head("from")), F.lit("")).alias("user_id"),
-        head("subject").alias("subject"), body.alias("body"), timeparse.mail_epoch(date).alias("timestamp"), about.alias("metadata"),
+        head("subject").alias("subject"), body.alias("body"), F.floor("m.seconds").alias("timestamp"), about.alias("metadata"),
     )
 
 

@@ -23,7 +23,7 @@ EMAIL = T.ArrayType(
     T.StructType(
         [
             T.StructField("headers", T.MapType(T.StringType(), T.StringType())), T.StructField("body", T.StringType()), T.StructField("is_forwarded", T.BooleanType()),
-            T.StructField("is_reply", T.BooleanType()), T.StructField("is_original", T.BooleanType()), T.StructField("depth", T.IntegerType()), T.StructField("email_index", T.IntegerType()),
+            T.StructField("is_reply", T.BooleanType()), T.StructField("is_original", T.BooleanType()), T.StructField("depth", T.IntegerType()), T.StructField("email_index", T.IntegerType()), T.StructField("seconds", T.DoubleType()),
         ]
     )
 )
