@@ -58,3 +58,8 @@ def months(text: Column) -> Column:
     listed = F.filter(F.transform(F.split(F.trim(text), "[,\\s]+"), lambda x: x.try_cast("int")), lambda x: x.between(1, 12))
     picked = F.when(lo.isNotNull() & hi.isNotNull() & (lo <= hi), F.filter(F.sequence(lo, F.greatest(lo, hi)), lambda x: x.between(1, 12))).otherwise(listed)
     return F.when(F.size(picked) > 0, picked).otherwise(F.array(F.lit(1)))
+
+
+def target_year(now: Column, back: int) -> Column:
+    """The year that lies so many years before a time in seconds."""
+    return F.year(F.timestamp_seconds(now)) - back

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadloom.operators.ranking import free_names
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__rn = 1").drop("__rn")
+    (rn,) = free_names(df, "rn")
+    return df.withColumn(rn, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rn) == 1).drop(rn)
 
 
 def last_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -17,9 +20,10 @@ def last_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def two_keys(df: DataFrame, first: Column, second: Column, order: list[str]) -> DataFrame:
     """First by one key where it is not empty, then by the other; a row dropped by the first does not count for the second."""
-    df = df.withColumn("__k1", F.coalesce(first, F.lit(""))).withColumn("__k2", second)
-    named = first_per_key(df.where("__k1 <> ''"), ["__k1"], [F.col(c) for c in order])
-    return first_per_key(named.unionByName(df.where("__k1 = ''")), ["__k2"], [F.col(c) for c in order]).drop("__k1", "__k2")
+    k1, k2 = free_names(df, "first key", "second key")
+    df = df.withColumn(k1, F.coalesce(first, F.lit(""))).withColumn(k2, second)
+    named = first_per_key(df.where(F.col(k1) != ""), [k1], [F.col(c) for c in order])
+    return first_per_key(named.unionByName(df.where(F.col(k1) == "")), [k2], [F.col(c) for c in order]).drop(k1, k2)
 
 
 def upsert_last(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from threadloom.functions.text import word_truncate
 from threadloom.functions.timeparse import readable_time
-from threadloom.operators.ranking import global_index
+from threadloom.operators.ranking import free_names, global_index
 
 
 def ranked(df: DataFrame, order: list[str], user: str = "user_id", out: str = "rn", spread: Column | None = None) -> DataFrame:
@@ -17,7 +17,8 @@ def ranked(df: DataFrame, order: list[str], user: str = "user_id", out: str = "r
     spread: a bucket that follows the order, such as the day; a user with a large part of all rows is then ranked
     bucket by bucket in many tasks, at the price of a count beforehand."""
     if spread is not None:
-        return global_index(df, spread, [F.col(c) for c in order], out, [user]).drop("n")
+        (total,) = free_names(df, "n")
+        return global_index(df, spread, [F.col(c) for c in order], out, [user], total).drop(total)
     return df.withColumn(out, F.row_number().over(Window.partitionBy(user).orderBy(*order)))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.storage import exists
+
 SORTS = {"new": ["created"], "top": ["score", "created"], "controversial": ["comments", "created"], "hot": ["heat", "created"], "rising": ["rate", "created"]}
 PERIODS = {"hour": 3600, "day": 86400, "week": 7 * 86400, "month": 30 * 86400, "year": 365 * 86400, "all": None}
 
@@ -27,12 +29,31 @@ def incomplete(expected: DataFrame, have: DataFrame, key: str, count: str = "ite
 
 def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A stage read from its folder, built and written there first if it is missing."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+    if not exists(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def reply_chains(mails: DataFrame) -> DataFrame:
+    """Files (messages array) of which any message is a reply."""
+    return mails.where(F.exists("messages", lambda m: m["is_reply"]))
+
+
+def named_lists(lists: DataFrame, names: list[str] | None, title: str = "title") -> DataFrame:
+    """Playlists with one of the names; all of them without a list of names."""
+    return lists if names is None else lists.where(F.col(title).isin(names))
+
+
+def known_categories(rows: DataFrame, category: str = "category") -> DataFrame:
+    """Without the category `Unknown`, whose data are not whole."""
+    return rows.where(~F.col(category).eqNullSafe("Unknown"))
+
+
+def top_level(comments: DataFrame, only: bool, parent: str = "parent_id") -> DataFrame:
+    """With `only`, comments that answer no other."""
+    return comments.where(F.coalesce(F.col(parent), F.lit("")) == "") if only else comments
+
+
 def parse_stats(mails: DataFrame) -> DataFrame:
     """Totals of parsed files (messages array): files, with nested messages, with a reply, most nested."""
     n = F.size("messages") - 1

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.operators.ranking import global_index, hash_index
+from threadloom.operators.ranking import free_names, hash_index, hash_labelled, labelled
+from threadloom.storage import fresh_path, stored
 
 
 def half_even(x: Column) -> Column:
@@ -15,7 +16,8 @@ def half_even(x: Column) -> Column:
 
 def sample_rows(df: DataFrame, fraction: float, seed: int, keys: list[str]) -> DataFrame:
     """Exactly floor(n * fraction) rows, those with the smallest seeded hashes of `keys`."""
-    return hash_index(df, seed, keys).where(F.col("rn") <= F.floor(F.col("n") * F.lit(float(fraction)))).drop("rn", "n")
+    (kept,) = free_names(df, "kept")
+    return hash_labelled(df, seed, keys, lambda rank, n: rank <= F.floor(n * F.lit(float(fraction))), kept).where(kept).drop(kept)
 
 
 def sample_users(df: DataFrame, fraction: float, seed: int, user: str = "user_id") -> DataFrame:
@@ -28,25 +30,32 @@ def split_by_user(df: DataFrame, unseen: float, seen: float, val: float, seed: i
     round(users * unseen) users, in seeded order, are unseen_test; of each other user the last round(n * seen) rows by
     time are seen_test; the rest, in seeded order of `key`, is train but for the last round(N * val) rows. All rounding
     is half-even."""
-    users = hash_index(df.select(user).distinct(), seed, [user]).select(user, (F.col("rn") <= half_even(F.col("n") * F.lit(float(unseen)))).alias("__held"))
+    held, rn, n, part = free_names(df, "held", "rn", "n", "part")
+    users = hash_labelled(df.select(user).distinct(), seed, [user], lambda rank, all_: rank <= half_even(all_ * F.lit(float(unseen))), held)
     own = Window.partitionBy(user)
-    rows = df.join(users, user).withColumn("__rn", F.row_number().over(own.orderBy(*order))).withColumn("__n", F.count(F.lit(1)).over(own))
-    tail = F.col("__rn") > F.col("__n") - half_even(F.col("__n") * F.lit(float(seen)))
-    rows = rows.withColumn("split", F.when(F.col("__held"), "unseen_test").when(tail, "seen_test")).drop("__held", "__rn", "__n")
-    pool = hash_index(rows.where("split IS NULL").drop("split"), seed, key)
-    train = F.col("rn") <= half_even(F.col("n") * F.lit(1.0 - val))
-    pool = pool.withColumn("split", F.when(train, "train").otherwise("val")).drop("rn", "n")
-    return rows.where("split IS NOT NULL").unionByName(pool)
+    rows = df.join(users, user).withColumn(rn, F.row_number().over(own.orderBy(*order))).withColumn(n, F.count(F.lit(1)).over(own))
+    tail = F.col(rn) > F.col(n) - half_even(F.col(n) * F.lit(float(seen)))
+    rows = rows.withColumn(part, F.when(F.col(held), "unseen_test").when(tail, "seen_test")).drop(held, rn, n)
+    rows = stored(rows, fresh_path(df.sparkSession, "split"))  # read for counts, for ranks and for the result
+    train = lambda rank, all_: F.when(rank <= half_even(all_ * F.lit(1.0 - val)), "train").otherwise("val")
+    pool = hash_labelled(rows.where(F.col(part).isNull()).drop(part), seed, key, train, "split")
+    return rows.where(F.col(part).isNotNull()).withColumnRenamed(part, "split").unionByName(pool)
 
 
 def split_by_post_time(df: DataFrame, unseen: float, val: float, post: str = "post_id", time: str = "timestamp") -> DataFrame:
     """Whole posts in order of their first row's time: train, then val, then test, of rounded sizes."""
-    posts = df.groupBy(post).agg(F.min(time).alias("start"))
-    posts = global_index(posts, F.floor(F.col("start") / 86400), [F.col("start"), F.col(post)])
-    n_test, n_val = half_even(F.col("n") * F.lit(float(unseen))), half_even(F.col("n") * F.lit(float(val)))
-    n_train = F.col("n") - n_test - n_val
-    named = posts.select(post, F.when(F.col("rn") <= n_train, "train").when(F.col("rn") <= n_train + n_val, "val").otherwise("test").alias("split"))
-    return df.join(named, post)
+    def named(rank: Column, n: Column) -> Column:
+        n_test, n_val = half_even(n * F.lit(float(unseen))), half_even(n * F.lit(float(val)))
+        return F.when(rank <= n - n_test - n_val, "train").when(rank <= n - n_test, "val").otherwise("test")
+
+    starts = post_starts(df, post, time)
+    levels = [F.floor(F.col("start") / 86400), F.col("start")]
+    return df.join(labelled(starts, levels, [F.col(post)], named, "split").select(post, "split"), post)
+
+
+def post_starts(df: DataFrame, post: str = "post_id", time: str = "timestamp") -> DataFrame:
+    """Each post and the time of its first row, `start`."""
+    return df.groupBy(post).agg(F.min(time).alias("start"))
 
 
 def train_users_only(df: DataFrame, user: str = "user_id") -> DataFrame:
@@ -81,13 +90,15 @@ def time_ranges(df: DataFrame, time: str = "timestamp") -> DataFrame:
 
 def chunks(df: DataFrame, parts: int, bucket: Column, order: list[Column]) -> DataFrame:
     """Contiguous chunks of floor(n / parts) rows, the remainder in the last: column chunk, from 0."""
-    indexed = global_index(df, bucket, order)
-    size = F.greatest(F.floor(F.col("n") / parts), F.lit(1))
-    return indexed.withColumn("chunk", F.least(F.floor((F.col("rn") - 1) / size), F.lit(parts - 1)).cast("int")).drop("rn", "n")
+    def chunk(rank: Column, n: Column) -> Column:
+        return F.least(F.floor((rank - 1) / F.greatest(F.floor(n / parts), F.lit(1))), F.lit(parts - 1)).cast("int")
+
+    return labelled(df, [bucket], order, chunk, "chunk")
 
 
 def assigned_bucket(df: DataFrame, k: int, seed: int, keys: list[str]) -> DataFrame:
     """Round robin over k buckets in seeded order."""
-    return hash_index(df, seed, keys).withColumn("bucket", F.pmod(F.col("rn") - 1, F.lit(k)).cast("int")).drop("rn", "n")
+    rn, n = free_names(df, "rn", "n")
+    return hash_index(df, seed, keys, rn, n).withColumn("bucket", F.pmod(F.col(rn) - 1, F.lit(k)).cast("int")).drop(rn, n)
 
 

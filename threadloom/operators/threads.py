@@ -2,27 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.functions.text import strip
+from threadloom.operators.ranking import free_names, joined
+from threadloom.storage import fresh_path, remove, stored
 
 WEEK = 7 * 86400
 
 
-def gap_sessions(df: DataFrame, gap: int, keys: list[str], time: str, order: list[str]) -> DataFrame:
-    """Add thread_no (from 1): a new thread begins where the time since the row before exceeds `gap` seconds."""
-    own = Window.partitionBy(*keys).orderBy(time, *order)
-    fresh = F.when(F.col(time) - F.lag(time).over(own) > gap, 1).otherwise(0)
-    return df.withColumn("__fresh", fresh).withColumn("thread_no", F.sum("__fresh").over(own.rowsBetween(Window.unboundedPreceding, 0)) + 1).drop("__fresh")
+def gap_sessions(df: DataFrame, gap: int, keys: list[str], time: str, order: list[str], spread: Column | None = None) -> DataFrame:
+    """Add thread_no (from 1): a new thread begins where the time since the row before exceeds `gap` seconds.
+
+    spread: a bucket that follows the time, such as its day. Rows are then scanned bucket by bucket: each bucket's first
+    and last time and number of breaks are summed along a key's buckets and added to what its own rows count, so that
+    no task holds more than a bucket of a key, however many rows it has."""
+    fresh, b, first, last, breaks, before = free_names(df, "fresh", "bucket", "first", "last", "breaks", "before")
+    df = df if spread is None else df.withColumn(b, spread)
+    parts = keys if spread is None else [*keys, b]
+    own = Window.partitionBy(*parts).orderBy(time, *order)
+    broken = F.when(F.col(time) - F.lag(time).over(own) > gap, 1).otherwise(0)
+    rows = df.withColumn(fresh, broken)
+    running = F.sum(fresh).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    if spread is None:
+        return rows.withColumn("thread_no", running + 1).drop(fresh)
+    along = Window.partitionBy(*keys).orderBy(b)
+    summary = rows.groupBy(*parts).agg(F.min(time).alias(first), F.max(time).alias(last), F.sum(fresh).alias(breaks))
+    edge = F.when(F.col(first) - F.max(last).over(along.rowsBetween(Window.unboundedPreceding, -1)) > gap, 1).otherwise(0)
+    summary = summary.withColumn(fresh, edge)
+    carried = F.sum(F.col(fresh)).over(along.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum(breaks).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    summary = summary.select(*parts, carried.alias(before))
+    return joined(rows.withColumn("thread_no", running), summary, parts).withColumn("thread_no", F.col("thread_no") + F.col(before) + 1).drop(fresh, before, b)
 
 
 def thread_ids(df: DataFrame, keys: list[str], time: str, order: list[str], parts: list[str], prefix: str = "thread_") -> DataFrame:
     """Add thread_id: an md5 of the thread's key and its first row, 16 digits. `df` has thread_no."""
     own = Window.partitionBy(*keys, "thread_no").orderBy(time, *order)
-    head = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], *[F.first(F.col(p).cast("string")).over(own) for p in parts])
-    return df.withColumn("thread_id", F.concat(F.lit(prefix), F.substring(F.md5(head), 1, 16)))
+    return df.withColumn("thread_id", F.concat(F.lit(prefix), F.substring(F.md5(_head(keys, parts, own)), 1, 16)))
+
+
+def _head(keys: list[str], parts: list[str], own) -> Column:
+    return F.concat_ws("|", *[F.col(k).cast("string") for k in keys], *[F.first(F.col(p).cast("string")).over(own) for p in parts])
+
+
+def unique_thread_ids(df: DataFrame, keys: list[str], time: str, order: list[str], parts: list[str], prefix: str = "thread_", digits: int = 16) -> DataFrame:
+    """thread_ids with one id a thread: where two heads have one md5, all but the first are hashed again with `|alt` behind them.
+
+    Rounds go on until no id has two heads: of an id's heads the least hashed, then the least, keeps it. Only heads are
+    compared, one row a thread. A thread whose rows differ in nothing of its key and first row has the id of its equal."""
+    own = Window.partitionBy(*keys, "thread_no").orderBy(time, *order)
+    head, rounds, seed, rank = free_names(df, "head", "rounds", "seed", "rank")
+    rows = df.withColumn(head, _head(keys, parts, own))
+    spark = df.sparkSession
+    hashed = F.substring(F.md5(F.col(seed)), 1, digits)
+    path = fresh_path(spark, "heads")
+    heads = stored(rows.select(head).distinct().select(head, F.col(head).alias(seed), F.lit(0).alias(rounds), F.substring(F.md5(head), 1, digits).alias("thread_id")), path)
+    while True:
+        twice = heads.groupBy("thread_id").agg(F.count(F.lit(1)).alias(rank)).where(F.col(rank) > 1).select("thread_id")
+        if twice.isEmpty():
+            break
+        place = F.row_number().over(Window.partitionBy("thread_id").orderBy(rounds, head))
+        met = heads.join(twice, "thread_id", "left_semi").withColumn(rank, place)
+        again = met.where(F.col(rank) > 1).select(head, F.concat(F.col(seed), F.lit("|alt")).alias(seed), (F.col(rounds) + 1).alias(rounds)).withColumn("thread_id", hashed)
+        kept = heads.join(twice, "thread_id", "left_anti").unionByName(met.where(F.col(rank) == 1).drop(rank))
+        last, path = path, fresh_path(spark, "heads")
+        heads = stored(kept.unionByName(again), path)
+        remove(spark, last)
+    return rows.join(heads.select(head, F.concat(F.lit(prefix), "thread_id").alias("thread_id")), head).drop(head)
 
 
 def reply_examples(df: DataFrame, order: list[str], least: int = 2, shortest: int = 10, thread: str = "thread_id") -> DataFrame:
@@ -34,7 +82,8 @@ def reply_examples(df: DataFrame, order: list[str], least: int = 2, shortest: in
     by_time = own.orderBy(*order)
     about = F.col("metadata") if "metadata" in df.columns else F.lit("{}")
     item = F.struct(F.col("user_id").alias("role"), F.col("body").alias("content"), about.alias("metadata"))
-    rows = df.withColumn("__n", F.count(F.lit(1)).over(own)).where(F.col("__n") >= least)
+    (n,) = free_names(df, "n")
+    rows = df.withColumn(n, F.count(F.lit(1)).over(own)).where(F.col(n) >= least)
     rows = rows.withColumn("prompt", F.collect_list(item).over(by_time.rowsBetween(Window.unboundedPreceding, -1)))
     rows = rows.where((F.size("prompt") > 0) & (F.length(strip(F.col("body"))) >= shortest))
-    return rows.where(strip(F.element_at("prompt", -1)["content"]) != strip(F.col("body"))).withColumnRenamed("body", "completion").drop("__n")
+    return rows.where(strip(F.element_at("prompt", -1)["content"]) != strip(F.col("body"))).withColumnRenamed("body", "completion").drop(n)
