@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -75,80 +76,90 @@ def persona_or_default(x: Column) -> Column:
 _PIECE = re.compile(r"""\s*(?:(?P<long>\'{3}.*?\'{3}|"{3}.*?"{3})|(?P<text>"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')|(?P<mark>[][{}:,])|(?P<word>(?i:true|false|null|none))|(?P<number>[-+0-9.eE]+))""", re.DOTALL)
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 _WORDS = {"true": True, "false": False, "null": None, "none": None}
-_OPEN = object()
+_CLOSES = {"}": "{", "]": "["}
 
 
 def scalar_of(text: str) -> object:
-    """What a quoted text stands for: a literal, a number, or itself."""
+    """What a quoted text stands for: a literal, a finite number, or itself."""
     if text.lower() in ("true", "false", "null"):
         return _WORDS[text.lower()]
     for kind in (float,) if "." in text or "e" in text.lower() else (int,):
         try:
-            return kind(text)
+            number = kind(text)
         except ValueError:
-            pass
+            continue
+        if math.isfinite(number):
+            return number
     return text
 
 
+def _number(text: str) -> float | int:
+    number = float(text) if re.search("[.eE]", text) else int(text)
+    if not math.isfinite(number):
+        raise ValueError("JSON has no infinite numbers")
+    return number
+
+
 def _unquoted(text: str) -> str:
     return re.sub(r"\\(.)", lambda m: _ESCAPES.get(m[1], m[1]), text[1:-1], flags=re.DOTALL)
 
 
+def _folded(kind: str, pieces: list[tuple[str, object]]) -> object:
+    """The list or object of the pieces between its brackets: members stand between commas, one of which may follow the last."""
+    members: list[list[tuple[str, object]]] = [[]]
+    for piece in pieces:
+        if piece == ("mark", ","):
+            members.append([])
+        else:
+            members[-1].append(piece)
+    if not members[-1]:
+        members.pop()
+    if kind == "[":
+        if any(len(m) != 1 or m[0][0] == "mark" for m in members):
+            raise ValueError("a list's members must be parted by commas")
+        return [m[0][1] for m in members]
+    if any(len(m) != 3 or m[1] != ("mark", ":") or "mark" in (m[0][0], m[2][0]) for m in members):
+        raise ValueError("an object's members must be keys and values")
+    return {m[0][1]: m[2][1] for m in members}
+
+
 def _values(body: str) -> object:
-    """The value of nearly-JSON, built on a stack: a closing bracket folds all since the one that opened it."""
-    stack: list[object] = []
-    at = 0
-    while at < len(body) and body[at:].strip():
+    """The value of nearly-JSON: pieces gather in the innermost open bracket, and a closing one folds what it holds. Linear in the text."""
+    open_: list[tuple[str, list[tuple[str, object]]]] = [("", [])]
+    at, end = 0, len(body.rstrip())
+    while at < end:
         m = _PIECE.match(body, at)
         if not m:
             raise ValueError(f"unexpected text at {at}")
         at, kind, piece = m.end(), m.lastgroup, m[m.lastgroup]
         if kind == "mark" and piece in "{[":
-            stack.append((_OPEN, piece))
+            open_.append((piece, []))
         elif kind == "mark" and piece in "}]":
-            start = max((i for i, x in enumerate(stack) if isinstance(x, tuple) and x[0] is _OPEN), default=-1)
-            if start < 0 or stack[start][1] != ("{" if piece == "}" else "["):
+            opened, pieces = open_.pop()
+            if opened != _CLOSES[piece]:
                 raise ValueError("brackets do not match")
-            inner = stack[start + 1 :]
-            # members stand between commas; one may follow the last
-            groups: list[list] = [[]]
-            for x in inner:
-                if x == (None, ","):
-                    groups.append([])
-                else:
-                    groups[-1].append(x)
-            if not groups[-1]:
-                groups.pop()
-            if piece == "]":
-                if any(len(g) != 1 or isinstance(g[0], tuple) for g in groups):
-                    raise ValueError("a list's members must be parted by commas")
-                folded: object = [g[0] for g in groups]
-            else:
-                if any(len(g) != 3 or g[1] != (None, ":") for g in groups):
-                    raise ValueError("an object's members must be keys and values")
-                folded = {g[0]: g[2] for g in groups}
-            stack[start:] = [folded]
+            open_[-1][1].append(("value", _folded(opened, pieces)))
         elif kind == "mark":
-            stack.append((None, piece))
+            open_[-1][1].append(("mark", piece))
         elif kind == "number":
-            stack.append(float(piece) if re.search("[.eE]", piece) else int(piece))
+            open_[-1][1].append(("value", _number(piece)))
         else:
-            stack.append(scalar_of(piece[3:-3]) if kind == "long" else scalar_of(_unquoted(piece)) if kind == "text" else _WORDS[piece.lower()])
-    if len(stack) != 1:
+            open_[-1][1].append(("value", scalar_of(piece[3:-3]) if kind == "long" else scalar_of(_unquoted(piece)) if kind == "text" else _WORDS[piece.lower()]))
+    if len(open_) != 1 or len(open_[0][1]) != 1 or open_[0][1][0][0] == "mark":
         raise ValueError("no single value")
-    return stack[0]
+    return open_[0][1][0][1]
 
 
 def parse_tolerantly(text: str | None) -> str | None:
     """The object in a text that is JSON or nearly so, as JSON: single or triple quotes, line breaks in strings, trailing
     commas, literals of any case and surrounding text are forgiven, and quoted literals and numbers are what they say;
-    null if there is none."""
+    null if there is none, or if it is nested too deep to be written."""
     if not text or "{" not in text or "}" not in text:
         return None
     try:
         value = _values(text[text.index("{") : text.rindex("}") + 1])
-        return json.dumps(value, ensure_ascii=False) if isinstance(value, dict) else None
-    except (ValueError, TypeError, OverflowError):
+        return json.dumps(value, ensure_ascii=False, allow_nan=False) if isinstance(value, dict) else None
+    except (ValueError, TypeError, OverflowError, RecursionError):
         return None
 
 
@@ -176,18 +187,30 @@ def without_empty(value: object, drop: frozenset[str] = frozenset()) -> object:
     return value
 
 
-def cleaned_json(x: Column, drop: list[str] | None = None) -> Column:
-    """without_empty over JSON strings of any shape, by Arrow batches; null for what is no JSON or is left empty."""
+def nulled_empty(value: object, drop: frozenset[str] = frozenset()) -> object:
+    """A JSON value without the keys `drop`, with null for an object that is a key's value and empty, or becomes so."""
+    if isinstance(value, dict):
+        return {k: (nulled_empty(v, drop) or None) if isinstance(v, dict) else nulled_empty(v, drop) for k, v in value.items() if k not in drop}
+    if isinstance(value, list):
+        return [nulled_empty(v, drop) for v in value]
+    return value
+
+
+def cleaned_json(x: Column, drop: list[str] | None = None, empty: str = "drop") -> Column:
+    """JSON strings of any shape without the keys `drop` and without empty objects, by Arrow batches; null for what is no JSON.
+
+    empty: `drop` leaves empty objects out (without_empty; null if nothing is left), `null` puts a null in their place."""
     names = frozenset(drop or ())
+    change = {"drop": without_empty, "null": nulled_empty}[empty]
 
     @F.pandas_udf(T.StringType())
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def one(text):
             try:
-                left = without_empty(json.loads(text), names) if isinstance(text, str) else None
-            except ValueError:
+                left = change(json.loads(text), names) if isinstance(text, str) else None
+                return None if left is None else json.dumps(left, ensure_ascii=False)
+            except (ValueError, RecursionError):
                 return None
-            return None if left is None else json.dumps(left, ensure_ascii=False)
 
         for s in batches:
             yield pd.Series([one(t) for t in s], dtype=object)

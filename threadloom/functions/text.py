@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import html
-from collections.abc import Iterator
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from threadloom.schemas import DEMOGRAPHICS, PERSONA_LISTS
 
@@ -83,20 +81,39 @@ def strip_prefix_letters(x: Column, letters: str = "r/") -> Column:
     return F.ltrim(x, F.lit(letters))
 
 
-@F.pandas_udf(T.StringType())
-def _unescaped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield s.map(html.unescape, na_action="ignore")
+def _code_point(number: Column) -> Column:
+    """The character of a number, as HTML reads it: what it cannot be is U+FFFD, what no text holds is nothing."""
+    known = F.map_from_arrays(F.lit(list(html._invalid_charrefs)), F.lit(list(html._invalid_charrefs.values())))
+    never = number.isin(sorted(html._invalid_codepoints))
+    beyond = number.isNull() | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(F.coalesce(number, F.lit(0))), 8, "0")), "UTF-32")
+    return F.coalesce(F.try_element_at(known, number.cast("int")), F.when(beyond, "\ufffd").when(never, "").otherwise(char))
+
+
+def _entity(rest: Column) -> Column:
+    """What follows an ampersand, with the entity that it begins with as its character; the ampersand and all if there is none.
+
+    A name with its semicolon is looked up as a whole; else the longest name that needs none counts."""
+    names = {k: v for k, v in html5.items() if k.endswith(";")}
+    bare = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+    whole = F.regexp_extract(rest, "^([A-Za-z][A-Za-z0-9]*;)", 1)
+    short = F.regexp_extract(rest, f"^({'|'.join(bare)})", 1)
+    decimal, hexa = F.regexp_extract(rest, "^#([0-9]+;?)", 1), F.regexp_extract(rest, "^#[xX]([0-9a-fA-F]+;?)", 1)
+    look = lambda table, key: F.try_element_at(F.map_from_arrays(F.lit(list(table)), F.lit(list(table.values()))), key)
+    # numbers of more digits than any character's are beyond all of them
+    number = lambda digits, base, most: F.when(F.length(F.ltrim(F.rtrim(digits, F.lit(";")), F.lit("0"))) <= most, F.conv(F.rtrim(digits, F.lit(";")), base, 10).cast("long"))
+    after = lambda n: F.substring(rest, n + 1, F.length(rest))
+    numbered = F.when(decimal != "", F.concat(_code_point(number(decimal, 10, 10)), after(F.length(decimal) + 1))).when(hexa != "", F.concat(_code_point(number(hexa, 16, 8)), after(F.length(hexa) + 2)))
+    named = F.when(whole != "", F.concat(look(names, whole), after(F.length(whole))))
+    loose = F.when(short != "", F.concat(look({k: html5[k] for k in bare}, short), after(F.length(short))))
+    return F.coalesce(numbered, named, loose, F.concat(F.lit("&"), rest))
 
 
 def unescape(x: Column) -> Column:
-    """HTML entities as characters. The basic ones are replaced in place; a text that holds any other goes through Python once."""
-    plain = x
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(name), F.lit(char))
-    # what is neither a basic entity nor a lone ampersand, or would become one
-    others = x.rlike("&(?!(?:lt|gt|quot|amp|#39|#x27);)[#A-Za-z]|&amp;[#A-Za-z]")
-    return F.when(others, _unescaped(F.when(others, x))).otherwise(plain)
+    """HTML entities as characters, named and numbered, as HTML reads them; a text without an ampersand is left as it is."""
+    parts = F.split(x, "&")
+    rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), _entity)
+    return F.when(F.contains(x, F.lit("&")), F.concat(parts[0], F.array_join(rest, ""))).otherwise(x)
 
 
 def escape(x: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.storage import exists
@@ -18,7 +18,12 @@ def listing(posts: DataFrame, sort: str, period: str, now: int, n: int, key: str
     age = F.greatest(F.lit(now) - F.col("created"), F.lit(1))
     rows = posts.where(F.col("created") <= now) if PERIODS[period] is None else posts.where(age <= PERIODS[period])
     rows = rows.withColumn("heat", F.signum("score") * F.log10(F.greatest(F.abs("score"), F.lit(1))) + F.col("created") / 45000).withColumn("rate", F.col("score") / age)
-    return rows.orderBy(*[F.col(c).desc() for c in SORTS[sort]], key).limit(n).drop("heat", "rate")
+    return top_rows(rows, [*[F.col(c).desc() for c in SORTS[sort]], F.col(key)], n).drop("heat", "rate")
+
+
+def top_rows(rows: DataFrame, order: list[Column | str], n: int) -> DataFrame:
+    """The first n rows of an order; each task keeps n at most, so nothing is sorted as a whole."""
+    return rows.orderBy(*order).limit(n)
 
 
 def incomplete(expected: DataFrame, have: DataFrame, key: str, count: str = "items") -> DataFrame:

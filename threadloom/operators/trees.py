@@ -9,28 +9,34 @@ from threadloom.storage import fresh_path, remove, stored
 
 
 def _walked(nodes: DataFrame, keep: Column | None) -> DataFrame:
-    """(node_id, path): every node that hangs from a root, with the steps (id, item) from the root down to it.
+    """(node_id, path): every node that hangs from a root, with the ids from the root down to it.
 
-    Each node holds the steps below some ancestor, and that ancestor as `up`. A round puts the ancestor's own steps
-    before them, so paths double: a tree of depth d takes log2(d) joins, and depth and rows have no limit. Nodes whose
-    ancestor is missing fall out, and so do steps that would pass a node again. Each round is written to the shared
-    folder, and the one before is removed."""
+    Each open node holds the ids below some ancestor, and that ancestor as `up`. A round puts the ancestor's own ids
+    before them, so paths double: a tree of depth d takes log2(d) joins, and depth and rows have no limit. A node whose
+    path has reached its root is finished: it is written once and read by later rounds, never again rewritten. Nodes
+    whose ancestor is missing fall out, and so do steps that would pass a node again."""
     spark = nodes.sparkSession
     kept = nodes if keep is None else nodes.where(keep)
-    item = F.col("item") if "item" in nodes.columns else F.lit(None).cast("string")
-    step = F.struct(F.col("node_id").cast("string").alias("id"), item.alias("item"))
-    state = kept.select(F.col("node_id").cast("string").alias("node_id"), F.col("parent_id").cast("string").alias("up"), F.array(step).alias("path"))
+    state = kept.select(F.col("node_id").cast("string").alias("node_id"), F.col("parent_id").cast("string").alias("up"), F.array(F.col("node_id").cast("string")).alias("path"))
     path = fresh_path(spark, "tree")
     state = stored(state, path)
-    ids = lambda steps: F.transform(steps, lambda x: x["id"])
-    while not state.where(F.col("up").isNotNull()).isEmpty():
-        above = state.select(F.col("node_id").alias("at"), F.col("up").alias("next"), F.col("path").alias("before"))
-        longer = state.where(F.col("up").isNotNull()).join(above, F.col("up") == F.col("at")).where(~F.arrays_overlap(ids(F.col("before")), ids(F.col("path"))))
-        grown = state.where(F.col("up").isNull()).unionByName(longer.select("node_id", F.col("next").alias("up"), F.concat("before", "path").alias("path")))
+    finished = [stored(state.where(F.col("up").isNull()).drop("up"), fresh_path(spark, "tree"))]
+    open_ = state.where(F.col("up").isNotNull())
+    while not open_.isEmpty():
+        above = open_.select(F.col("node_id").alias("at"), F.col("up").alias("next"), F.col("path").alias("before"))
+        for part in finished:
+            above = above.unionByName(part.select(F.col("node_id").alias("at"), F.lit(None).cast("string").alias("next"), F.col("path").alias("before")))
+        longer = open_.join(above, F.col("up") == F.col("at")).where(~F.arrays_overlap("before", "path"))
         last, path = path, fresh_path(spark, "tree")
-        state = stored(grown, path)
+        state = stored(longer.select("node_id", F.col("next").alias("up"), F.concat("before", "path").alias("path")), path)
         remove(spark, last)
-    return state.select("node_id", "path")
+        finished.append(stored(state.where(F.col("up").isNull()).drop("up"), fresh_path(spark, "tree")))
+        open_ = state.where(F.col("up").isNotNull())
+    remove(spark, path)
+    out = finished[0]
+    for part in finished[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def flatten(nodes: DataFrame, keep: Column | None = None) -> DataFrame:
@@ -38,8 +44,7 @@ def flatten(nodes: DataFrame, keep: Column | None = None) -> DataFrame:
 
     `nodes` has node_id, parent_id (null at a root). Nodes for which `keep` fails are pruned with all below them. A
     node that comes up again on its own path ends there, so cycles end."""
-    walked = _walked(nodes.select(*[c for c in nodes.columns if c != "item"]), keep)
-    return walked.select("node_id", (F.size("path") - 1).alias("depth"), F.transform("path", lambda x: x["id"]).alias("path"))
+    return _walked(nodes, keep).select("node_id", (F.size("path") - 1).alias("depth"), "path")
 
 
 def tops_and_replies(comments: DataFrame) -> DataFrame:
@@ -57,6 +62,11 @@ def edges_of(nodes: DataFrame, node: str = "id", children: str = "responses") ->
 def with_ancestors(nodes: DataFrame, keep: Column | None = None) -> DataFrame:
     """flatten, with the items of a node's ancestors from its root down: node_id, depth, path, above.
 
-    `nodes` also has a column item of any type; a root's `above` is empty."""
-    above = F.transform(F.slice("path", F.lit(1), F.size("path") - 1), lambda x: x["item"])
-    return _walked(nodes, keep).select("node_id", (F.size("path") - 1).alias("depth"), F.transform("path", lambda x: x["id"]).alias("path"), above.alias("above"))
+    `nodes` also has a column item of any type; a root's `above` is empty. Paths are of ids; items are joined to them at
+    the end, once."""
+    flat = stored(flatten(nodes, keep), fresh_path(nodes.sparkSession, "paths"))
+    steps = flat.select("node_id", F.posexplode(F.slice("path", F.lit(1), F.col("depth"))).alias("at", "id"))
+    items = nodes.select(F.col("node_id").cast("string").alias("id"), "item")
+    listed = steps.join(items, "id").groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]).alias("above"))
+    kind = f"array<{nodes.schema['item'].dataType.simpleString()}>"
+    return flat.join(listed, "node_id", "left").withColumn("above", F.coalesce("above", F.array().cast(kind)))

@@ -225,7 +225,7 @@ def round_robin_buckets(spark, d):
 
 @query(f"WITH {PURCHASES_SQL} SELECT {LINE_KEY_SQL}, l_quantity FROM l ORDER BY l_extendedprice DESC, {LINE_KEY_SQL} LIMIT 100")
 def sorted_topk(spark, d):
-    return adapters.purchases(spark, d).select(*LINE_KEY, "l_quantity").orderBy(F.col("l_extendedprice").desc(), *LINE_KEY).limit(100)
+    return incremental.top_rows(adapters.purchases(spark, d).select(*LINE_KEY, "l_quantity"), [F.col("l_extendedprice").desc(), *LINE_KEY], 100)
 
 
 @query(f"WITH {EVENTS_SQL} SELECT post_id, event_id FROM e QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY timestamp, event_id) <= 3")
@@ -235,21 +235,23 @@ def rows_per_post_cap(spark, d):
 
 @query(f"WITH {EVENTS_SQL} SELECT post_id, min(timestamp) AS start FROM e GROUP BY post_id")
 def post_start_times(spark, d):
-    return adapters.events(spark, d).groupBy("post_id").agg(F.min("timestamp").alias("start"))
+    return splits.post_starts(adapters.events(spark, d))
 
 
-@query(f"""WITH {EVENTS_SQL}, a AS (SELECT user_id, count(*) AS n FROM e GROUP BY user_id HAVING count(*) BETWEEN 55 AND 80), r AS (SELECT e.* FROM e JOIN a USING (user_id)),
+@query(f"""WITH {EVENTS_SQL}, a AS (SELECT user_id, count(*) AS n FROM e GROUP BY user_id HAVING count(*) BETWEEN 55 AND 80),
+r AS (SELECT e.*, event_type || CASE WHEN event_id % 3 = 0 THEN ' and more' ELSE '' END AS completion FROM e JOIN a USING (user_id)),
 u AS (SELECT user_id, row_number() OVER (ORDER BY {_hash_sql(42, "user_id")}, user_id) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM r)),
-h AS (SELECT r.*, u.rn <= round_even(u.n * 0.1::DOUBLE, 0) AS held, row_number() OVER (PARTITION BY r.user_id ORDER BY timestamp, post_id) AS k, count(*) OVER (PARTITION BY r.user_id) AS m FROM r JOIN u USING (user_id))
-SELECT event_id, CASE WHEN held THEN 'unseen_test' WHEN k > m - round_even(m * 0.1::DOUBLE, 0) THEN 'seen_test' ELSE 'train or val' END AS split,
-  '{{"statistics":["entries: ' || 5 || '"' AS persona_start FROM h""")
+h AS (SELECT r.*, u.rn <= round_even(u.n * 0.1::DOUBLE, 0) AS held, row_number() OVER (PARTITION BY r.user_id ORDER BY timestamp, post_id) AS k, count(*) OVER (PARTITION BY r.user_id) AS m FROM r JOIN u USING (user_id)),
+s AS (SELECT *, CASE WHEN held THEN 'unseen_test' WHEN k > m - round_even(m * 0.1::DOUBLE, 0) THEN 'seen_test' END AS part FROM h),
+p AS (SELECT event_id, row_number() OVER (ORDER BY {_hash_sql(42, "user_id", "timestamp", "post_id", "completion")}, user_id, timestamp, post_id, completion) AS rn, count(*) OVER () AS n FROM s WHERE part IS NULL),
+w AS (SELECT user_id, sum(4 + CASE WHEN event_id % 3 = 0 THEN 2 ELSE 0 END) FILTER (k <= 5) AS words FROM h GROUP BY user_id)
+SELECT s.event_id, coalesce(part, CASE WHEN p.rn <= round_even(p.n * 0.9::DOUBLE, 0) THEN 'train' ELSE 'val' END) AS split, coalesce(nullif(props, ''), '{{}}') AS metadata,
+  '{{"statistics":["entries: 5","words: ' || words || '"]}}' AS persona, 1::INT AS turn_id FROM s JOIN w USING (user_id) LEFT JOIN p ON p.event_id = s.event_id""")
 def processed_interactions(spark, d):
-    e = adapters.events(spark, d)
     prompt = F.array(F.struct(F.lit("post").alias("role"), F.col("post_id").alias("content"), F.lit(None).cast("string").alias("metadata")))
-    rows = e.select(prompt.alias("prompt"), F.col("event_type").alias("completion"), "post_id", "user_id", "timestamp", F.col("props").alias("metadata"), "event_id")
-    out = processor.process(rows, processor.Config(least=55, most=80, history=5))
-    named = F.when(F.col("split").isin("train", "val"), "train or val").otherwise(F.col("split"))
-    return out.select("event_id", named.alias("split"), F.substring_index("persona", ",", 1).alias("persona_start"))
+    said = F.concat("event_type", F.when(F.col("event_id") % 3 == 0, " and more").otherwise(""))
+    rows = adapters.events(spark, d).select(prompt.alias("prompt"), said.alias("completion"), "post_id", "user_id", "timestamp", F.col("props").alias("metadata"), "event_id")
+    return processor.process(rows, processor.Config(least=55, most=80, history=5)).select("event_id", "split", "metadata", "persona", "turn_id")
 
 
 # ---------------------------------------------------------------- conversations
@@ -495,7 +497,7 @@ def subject_normalize(spark, d):
     return table(spark, d, "events").select("event_id", text.normalize_subject(s).alias("subject"))
 
 
-@query("""WITH l AS (SELECT row_number() OVER () AS r, doc_id, string_split(replace(text, '```', ''), chr(10)) AS a FROM documents WHERE text NOT LIKE '%&%'),
+@query("""WITH l AS (SELECT row_number() OVER () AS r, doc_id, string_split(replace(text, '```', ''), chr(10)) AS a FROM documents WHERE text IS NOT NULL),
 e AS (SELECT r, doc_id, unnest(a) AS x, unnest(range(len(a))) AS i, len(a) AS n FROM l),
 f AS (SELECT *, i % 3 <> 2 OR x SIMILAR TO '\\s*>.*' AS q FROM e),
 g AS (SELECT *, coalesce(lag(q) OVER w, false) AS before, lead(q) OVER w AS after, CASE WHEN i % 3 <> 2 THEN '> ' || x ELSE x END AS line FROM f WINDOW w AS (PARTITION BY r ORDER BY i)),
@@ -504,7 +506,7 @@ SELECT doc_id, md5(regexp_replace(coalesce(string_agg(shown, chr(10) ORDER BY i)
 def quote_collapse(spark, d):
     """The first two of every three lines of a document quoted."""
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 != 2, F.concat(F.lit("> "), x)).otherwise(x))
-    return table(spark, d, "documents").where("text NOT LIKE '%&%'").select("doc_id", F.md5(text.clean_text(F.array_join(lines, "\n"))).alias("clean_md5"))
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.md5(text.clean_text(F.array_join(lines, "\n"))).alias("clean_md5"))
 
 
 @query("SELECT p_partkey, ltrim('r/' || p_name, 'r/') AS name FROM part")
@@ -710,4 +712,4 @@ def streaming_hours(spark, d):
     out = drain.drained(stateful.windowed_counts(_event_stream(spark, d), "ts", "1 hour", delay="10000 days"), "complete")
     return out.select(F.floor(F.unix_timestamp("start") / 3600).alias("hour"), "rows")
 
-from threadloom.plans import products  # noqa: E402, F401  its queries register themselves
+from threadloom.plans import extended, products  # noqa: E402, F401  their queries register themselves

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,33 @@ class Config:
             raise ValueError("least must exceed the history that is dropped")
 
 
+def read_config(path: str, **hooks) -> Config:
+    """A Config from a YAML or JSON file of its fields; row_filter is SQL. Functions come as `hooks`."""
+    with open(path, encoding="utf-8") as file:
+        text = file.read()
+    if path.endswith((".yaml", ".yml")):
+        try:
+            import yaml
+        except ImportError as e:
+            raise RuntimeError("a YAML config needs PyYAML; JSON needs nothing") from e
+        given = yaml.safe_load(text) or {}
+    else:
+        given = json.loads(text)
+    known = {f.name for f in fields(Config)}
+    if unknown := sorted(set(given) - known):
+        raise ValueError(f"unknown settings: {unknown}")
+    if "turns" in given:
+        given["turns"] = tuple(given["turns"])
+    if given.get("row_filter"):
+        given["row_filter"] = F.expr(given["row_filter"])
+    return Config(**given, **hooks)
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """Without the helper columns that `df` has of those named."""
+    return df.drop(*set(names) & set(df.columns))
+
+
 def prepared(df: DataFrame, config: Config) -> DataFrame:
     """Sampled, filtered and normalised interactions with their turn_id."""
     if config.fraction < 1:

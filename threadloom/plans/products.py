@@ -13,7 +13,7 @@ from threadloom.plans.catalog import query
 from threadloom.schemas import DEMOGRAPHICS, INTERACTION, PERSONA, PERSONA_LISTS, SUBMISSION
 from threadloom.sources import adapters, readers, writers
 from threadloom.sources.adapters import EVENTS_SQL, table
-from threadloom.storage import fresh_path
+from threadloom.storage import fresh_path, stored
 from threadloom.streaming import stateful
 
 def _shown():
@@ -182,6 +182,7 @@ def appended_json(spark, d):
     rows = _interactions(spark, d)
     writers.append_json(rows.drop("event_id", "split"), path)
     writers.append_json(rows.where("event_id % 2 = 0").drop("event_id", "split"), path)
+    rows.select("event_id", F.concat(F.lit('{"completion": "cut off'), "post_id").alias("value")).where("event_id % 3 = 0").drop("event_id").write.mode("append").text(path)  # lines that are no JSON
     return readers.tagged(readers.json_lines(spark, path, INTERACTION), "c", "s").select(*_back(), "__config_name__", "__split_name__")
 
 
@@ -195,11 +196,21 @@ def appended_submissions(spark, d):
     return spark.read.schema(SUBMISSION).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path).select("worker_id", "user_response")
 
 
-@query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
+@query("SELECT user_id, count(*) AS n FROM events JOIN (SELECT DISTINCT user_id AS held FROM events WHERE event_id % 3 = 0) ON user_id = held GROUP BY user_id")
 def bucketed_table(spark, d):
-    name = f"events_{fresh_path(spark, 'b').rsplit('-', 1)[1]}"
-    writers.write_table(table(spark, d, "events").select("event_id", "user_id"), name, ["user_id"], 4)
-    return spark.table(name).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    """Two tables bucketed alike meet, and are counted, without a shuffle."""
+    names = []
+    for kind, rows in (("events", table(spark, d, "events").select("event_id", "user_id")), ("held", table(spark, d, "events").where("event_id % 3 = 0").select("user_id").distinct())):
+        path = fresh_path(spark, kind)
+        names.append(f"{kind}_{path.rsplit('-', 1)[1]}")
+        writers.write_table(rows, names[-1], ["user_id"], 4, path)
+    out = spark.table(names[0]).join(spark.table(names[1]).hint("merge"), "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    if "Exchange" in out._jdf.queryExecution().sparkPlan().toString() + out._jdf.queryExecution().executedPlan().toString():
+        raise RuntimeError("bucketed tables were shuffled")
+    result = stored(out, fresh_path(spark, "counts"))
+    for name in names:
+        spark.sql(f"DROP TABLE {name}")
+    return result
 
 
 @query("SELECT event_id::VARCHAR AS file, 'line ' || event_type || chr(10) || 'and \"more\", so' AS message FROM events")
@@ -343,10 +354,13 @@ def persona_validation(spark, d):
     return table(spark, d, "events").select("event_id", jsonops.persona_is_valid(given).alias("valid"), jsonops.persona_or_default(F.when(k != 1, "p")).alias("persona"))
 
 
-@query("SELECT 'unknown' AS gender, 'unknown' AS first, count(*) AS n FROM region")
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'given' ELSE 'unknown' END AS gender, CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE 'unknown' END AS first FROM supplier""")
 def default_personas(spark, d):
-    given = F.from_json(jsonops.default_persona(), PERSONA)
-    return table(spark, d, "region").select(given.alias("p")).groupBy(F.col("p.demographics.gender").alias("gender"), F.get("p.interests", F.lit(0)).alias("first")).agg(F.count(F.lit(1)).alias("n"))
+    """Personas of a third of the suppliers; the others' are the default."""
+    lists = [F.array("s_name").alias(k) for k in PERSONA_LISTS]
+    told = F.to_json(F.struct(F.struct(*[F.lit("given").alias(k) for k in DEMOGRAPHICS]).alias("demographics"), *lists))
+    given = F.from_json(F.when(F.col("s_suppkey") % 3 == 0, told).otherwise(jsonops.default_persona()), PERSONA)
+    return table(spark, d, "supplier").select("s_suppkey", given.alias("p")).select("s_suppkey", F.col("p.demographics.gender").alias("gender"), F.get("p.interests", F.lit(0)).alias("first"))
 
 
 @query("""SELECT event_id, '{"n":' || event_id || ',"t":' || CASE event_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN '1.5' ELSE '"x"' END || ',"l":[1,"a b"]}' AS object FROM events""")

@@ -49,10 +49,10 @@ def sliced(sources: list[DataFrame], most: int, splits: int, order: list[str]) -
 
 
 def mail_csv(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
-    """Quoted CSV of (file, message) with messages over many lines."""
+    """Quoted CSV of (file, message) with messages over many lines; `most`: the first rows by file and message."""
     schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("message", T.StringType())])
     df = spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("maxCharsPerColumn", 10_000_000).csv(path)
-    return df if most is None else df.limit(most)
+    return df if most is None else df.orderBy("file", "message").limit(most)
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

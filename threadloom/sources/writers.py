@@ -22,14 +22,30 @@ def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def write_pretty(df: DataFrame, path: str, key: str, per_file: int = 1000) -> None:
+    """JSON documents of many lines, a row each, other letters than ASCII as they are; files of at most `per_file` of them."""
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"pretty": "true", "ignoreNullFields": "false"})
+    df.select(F.col(key).alias("key"), text.alias("value")).sortWithinPartitions("key").select("value").write.option("lineSep", "\n\n").option("maxRecordsPerFile", per_file).text(path)
+
+
+def write_states(df: DataFrame, path: str, key: str) -> None:
+    """One JSON file a row, in a folder named by its key: a submission's state, written anew each time it is saved.
+
+    Only the folders of the keys written are replaced."""
+    state = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    rows = df.select(F.col(key).cast("string").alias("key"), state.alias("value")).repartition("key")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key").text(path)
+
+
 def append_submission(df: DataFrame, path: str) -> None:
     """Rows as CSV in files of their own, so that writers do not meet."""
     df.write.mode("append").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
-def write_table(df: DataFrame, name: str, keys: list[str], buckets: int) -> None:
-    """A table bucketed by its join keys, so that joins on them need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+def write_table(df: DataFrame, name: str, keys: list[str], buckets: int, path: str | None = None) -> None:
+    """A table bucketed by its join keys, so that joins and counts on them need no shuffle; its files lie under `path`, else in the warehouse."""
+    writer = df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
 def fingerprint(params: dict) -> str:
