@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from threadloom.llm import language_id, license_scan, line_crf, mixing, near_pairs, packing, quality_rules, quality_sql, registry, sharding, textarrays, warc, winnowing
+from threadloom.llm import common, conversation_repair, flat_graph, language_id, license_scan, line_crf, mixing, near_pairs, near_vectors, packing, quality_rules, quality_sql, registry, sharding, source_divergence, textarrays, warc, winnowing
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -332,10 +332,24 @@ def test_mixing_matches_sql(spark):
 
 
 def test_schedule_spreads_sources(spark):
-    targets = spark.createDataFrame([("a", 4000, 6000.0), ("b", 3000, 2000.0)], "sid string, source_size long, target double")
-    order = [r.sid for r in mixing.schedule(targets, 16).orderBy("slot").collect()]
-    for n in (20, 100, 400):
-        assert abs(order[:n].count("a") / n - 0.75) < 0.06
+    shares = {"a": 0.55, "b": 0.3, "c": 0.1, "d": 0.05}
+    targets = spark.createDataFrame([(k, 40_000, 120_000 * v) for k, v in shares.items()], "sid string, source_size long, target double")
+    rows = mixing.schedule(targets, 16).orderBy("slot").collect()
+    order = [r.sid for r in rows]
+    assert collections.Counter(order) == {k: 7500 * v for k, v in shares.items()}
+    # every stretch of the mix, from its start on and in between, holds each source by its share
+    for k, share in shares.items():
+        count = np.cumsum([x == k for x in order])
+        assert np.abs(count - share * np.arange(1, len(order) + 1)).max() < 4
+    # slot t is the source whose interval of the cumulative weights holds the t-th golden-ratio point
+    weights = np.cumsum([0, *shares.values()])
+    for r in rows[:2000]:
+        at = r.slot * mixing.STEP % (1 << mixing.BITS) / (1 << mixing.BITS)
+        assert "abcd"[int(np.searchsorted(weights, at, "right")) - 1] == r.sid
+    assert abs(mixing.STEP / (1 << mixing.BITS) - (math.sqrt(5) - 1) / 2) < 1e-11 and mixing.STEP % 2
+    big = [0, 1, (1 << 39) + 12345, (1 << 40) - 1]
+    got = spark.createDataFrame([(x,) for x in big], "t long").select("t", mixing.point(F.col("t")).alias("at")).collect()
+    assert all(r["at"] == r.t * mixing.STEP % (1 << mixing.BITS) / (1 << mixing.BITS) for r in got)
 
 
 def test_small_sources_reach_their_targets(spark, frame):
@@ -348,11 +362,11 @@ def test_small_sources_reach_their_targets(spark, frame):
         slots[r.sid].append((r.rank, r.slot))
         assert 0 < r.tokens <= 4096 and r.block * 4096 + r.tokens <= sizes[r.sid]
     assert taken == {s: 2 * n if s != "g" else 52_000_000 for s, n in sizes.items()}
-    assert sorted(r.slot for r in rows) == list(range(len(rows)))
+    assert len({r.slot for r in rows}) == len(rows)
     for held in slots.values():
-        assert [rank for rank, _ in sorted(held)] == list(range(len(held)))
+        assert [rank for rank, _ in sorted(held, key=lambda x: x[1])] == list(range(len(held)))
         for rank, slot in held:
-            assert abs(rank / len(held) - slot / len(rows)) <= 1 / len(held) + len(sizes) / len(rows)
+            assert abs(rank - slot * len(held) / len(rows)) < 4
     # from documents on, with blocks far longer than the small sources
     rng = random.Random(11)
     docs = [(i, prose(n, rng), None, s) for i, (n, s) in enumerate([(60, "x"), (150, "y"), (150, "y"), (700, None), *[(2000, "z")] * 30])]
@@ -504,6 +518,30 @@ def test_near_pairs(frame, monkeypatch):
     assert near_pairs.join(frame(docs).where("doc_id < 0")).count() == 0
 
 
+def test_near_copies_need_space_by_documents(spark, frame, monkeypatch):
+    """Of a group of near copies a row a copy is stored, and its links are all counted."""
+    rng, n = random.Random(12), 1500
+    words = prose(120, rng).split()
+    docs = []
+    for i in range(n):
+        copy = list(words)
+        copy[rng.randrange(120)] = f"w{i}"
+        docs.append((i, " ".join(copy)))
+    stored = collections.Counter()
+    written = near_pairs.materialize
+
+    def counted(df, name):
+        out = written(df, name)
+        stored[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_pairs, "materialize", counted)
+    rows = near_pairs.join(frame(docs)).collect()
+    assert {(r.class_id, r.n_links) for r in rows} == {(0, n - 1)} and len(rows) == n
+    # a row a class, and what each of its blocks and buckets says of it
+    assert stored["sets"] == n and stored["links"] <= near_pairs.CELL_FEW * n and stored["candidates"] <= 4 * near_pairs.BANDS * n
+
+
 def test_near_pairs_match_sql(spark, frame, tmp_path):
     agrees_with_sql(spark, near_pairs.query, near_pairs.SQL, SF)
 
@@ -531,11 +569,20 @@ def test_each_pair_is_compared_once_and_only_survivors_are_verified():
     core = rng.integers(0, 1 << 63, 300).astype(np.uint64)
     sets = [np.unique(np.concatenate((core[: 300 - 12 * i], rng.integers(0, 1 << 63, 12 * i).astype(np.uint64)))) for i in range(12)]
     values = np.stack([near_pairs.minhash(s) for s in sets])
-    keys, need, seen = near_pairs.band_keys(values), near_pairs.least_matches(), collections.Counter()
+    keys, need = near_pairs.band_keys(values), near_pairs.least_matches()
+    seen = collections.Counter((i, int(j)) for i, later in near_pairs.asked(values, None, need) for j in later)
+    # what buckets connect is what the pairs that survive connect
+    whole, buckets = near_pairs.Forest(12), near_pairs.Forest(12)
+    for i, j in seen:
+        whole.join(i, [j])
     for band in range(near_pairs.BANDS):
         for members in {tuple(np.flatnonzero(keys[:, band] == k)) for k in keys[:, band]}:
-            for i, later in near_pairs.survivors(values[list(members)], band, None, need):
-                seen.update((members[i], members[j]) for j in later)
+            for side in (None, np.arange(len(members)) % 2, 1 - np.arange(len(members)) % 2):
+                for i, r in enumerate(near_pairs.connected(values[list(members)], band, side, need).roots()):
+                    buckets.join(int(members[i]), [members[int(r)]])
+    assert whole.roots().tolist() == buckets.roots().tolist()
+    across = collections.Counter((i, int(j)) for i, later in near_pairs.asked(values, np.arange(12) % 2, need) for j in later)
+    assert set(across) == {(i, j) for i, j in seen if (i + j) % 2}
     jaccard = {(i, j): len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) for i, j in itertools.combinations(range(12), 2)}
     assert set(seen.values()) == {1} and {p for p, x in jaccard.items() if x >= 0.8} <= set(seen)
     assert len(seen) < len(jaccard)
@@ -558,8 +605,7 @@ def winnow(t):
         h = ((h - (d[i - k] * pow(base, k - 1, prime) if i >= k else 0)) * base + x) % prime
         if i >= k - 1:
             g.append(h * pow(base, winnowing.K - k, prime) % prime)
-    packed = lambda h, i: ((h << 24) + (1 << 63)) % (1 << 64) - (1 << 63) | (winnowing.POSITIONS - i)
-    g, out = [packed(h, i) for i, h in enumerate(g)], []
+    g, out = [(h, -i) for i, h in enumerate(g)], []
     for i in range(max(1, len(g) - winnowing.WINDOW + 1)):
         x = min(g[i : i + winnowing.WINDOW])
         if x not in out:
@@ -588,16 +634,20 @@ def test_winnowing(frame, spark, tmp_path):
     text = {i: t or "" for i, t in docs}
     order = sorted(text, reverse=True)
     following = dict(zip(order, order[1:] + order[:1], strict=True))
-    shown = lambda p: " ".join(f"{x & (1 << 64) - 1:016X}" for x in p)
+    shown = lambda p: " ".join(f"{h:010X}:{-back}" for h, back in p)
     jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     assert len(rows) == len(docs)
     for i, t in text.items():
         cut, after = len(t) // 3, text[following[i]]
         edited = t[: len(t) - cut] + after[:cut]
-        own, new, other = ({x >> 24 for x in winnow(y)} for y in (t, edited, after))
+        own, new, other = ({h for h, _ in winnow(y)} for y in (t, edited, after))
         r = rows[i]
         assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), shown(winnow(t)), shown(winnow(edited)))
         assert (r.near_edited, r.near_next) == (pytest.approx(jaccard(own, new)), pytest.approx(jaccard(own, other)))
+    # positions are told as they are, however long the text
+    long = " ".join(["w"] * 30_000 + ["end"] * 3)
+    last = frame([(1, long)]).select(winnowing.positions(winnowing.fingerprint(F.col("text"))).alias("p")).first().p
+    assert last == [-back for _, back in winnow(long)] and last[-1] >= 29_990
     repeated = frame([(1, "a b"), (1, "a b"), (1, "c"), (2, "d"), (None, "e")])
     seen, _ = winnowing.with_next(repeated)
     assert sorted((str(r.doc_id), r.text, r.next_text) for r in seen.where("NOT guest").collect()) == [("1", "a b", "a b"), ("1", "a b", "c"), ("1", "c", "e"), ("2", "d", "a b"), ("None", "e", "d")]
@@ -783,6 +833,262 @@ def test_filters_hold_their_members_and_bound_false_ones():
 # ---------------------------------------------------------------- arrays and registry
 
 
+# ---------------------------------------------------------------- 11 conversation repair
+
+
+def damage(rows):
+    out = []
+    for conv, turn, role, text in rows:
+        draw = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        if draw:
+            row = (conv, turn, "user" if draw == 4 else role, "" if draw == 1 else re.sub("[.!?]", "", text) if draw == 2 else text)
+            out += [row] * (2 if draw == 3 else 1)
+    return out
+
+
+def cheapest_repair(turns):
+    """By trying everything: of all edits of (role, text, fault) that give (s?(ua)+)?, the cheapest, then the ASCII-least."""
+    legal = lambda x: re.fullmatch("s?(ua)*u?", x) is not None
+    found = []
+    todo = [(0, "", 0, "", ())]
+    while todo:
+        at, shape, cost, audit, lines = todo.pop()
+        if cost > 3 * len(turns):
+            continue
+        if at == len(turns) and re.fullmatch("(s?(ua)+)?", shape):
+            found.append((cost, audit, lines))
+        for r in ("user", "assistant"):
+            if legal(shape + r[0]):
+                todo.append((at, shape + r[0], cost + 2, audit + "I", (*lines, f"{r}:")))
+        if at < len(turns):
+            role, text, fault = turns[at]
+            todo.append((at + 1, shape, cost + 3, audit + "D", lines))
+            if fault not in ("blank", "duplicate"):
+                extra = fault == "truncated"
+                for r, c, letter in ((role, 0, "K"), ("user", 2, "R"), ("assistant", 2, "R")):
+                    if legal(shape + r[:1]) and r[:1]:
+                        todo.append((at + 1, shape + r[0], cost + c + extra, audit + letter, (*lines, f"{r}:{text}")))
+    return min(found)
+
+
+def repaired_by_hand(rows):
+    out = {}
+    kept = collections.defaultdict(list)
+    for r in damage(rows):
+        kept[r[0]].append(r)
+    for conv in {r[0] for r in rows}:
+        mine = sorted(kept[conv], key=lambda r: ((r[1] is not None, r[1] or 0), r[2], r[3]))
+        seen, turns = set(), []
+        for _, _, role, text in mine:
+            words = text.strip(" \t\n\x0b\x0c\r")
+            fault = "blank" if not words else "duplicate" if (role, text) in seen else "truncated" if words[-1] not in ".!?" else ""
+            seen.add((role, text))
+            turns.append((role, text, fault))
+        numbers = [r[1] for r in mine if r[1] is not None]
+        count = collections.Counter(t[2] for t in turns)
+        illegal = sum(a[0][:1] + b[0][:1] not in ("su", "ua", "au") for a, b in itertools.pairwise(turns))
+        cost, audit, lines = cheapest_repair(turns)
+        out[conv] = (max(numbers) - min(numbers) + 1 - len(set(numbers)) if numbers else 0, count["blank"], count["duplicate"], count["truncated"], illegal, cost, audit, list(lines))
+    return out
+
+
+def test_conversation_repair(spark):
+    rng = random.Random(21)
+    rows = []
+    for conv in range(90):
+        n = rng.randrange(1, 5)
+        for turn in sorted(rng.sample(range(9), n)):
+            role = rng.choice(["user", "assistant", "system", "user", "assistant", "tool", None])
+            rows.append((conv, turn, role, rng.choice(["yes.", "no!", "well", "", " \n", None, "why? ", "yes.", "ünd.", f"t{rng.randrange(3)}."])))
+    rows += [(500, None, "user", "a."), (500, 3, "assistant", "b."), (500, 3, "assistant", "b."), (500, 3, "user", "c"), (None, 1, "user", "x."), (None, 7, None, None), (501, None, None, None), (502, 0, "system", "s."), (502, 9, "user", "q?")]
+    rows += [(k, 0, "user", "only.") for k in range(600, 900) if zlib.crc32(f"{k}:0".encode()) % 20 == 0][:3]  # nothing is left of them
+    df = spark.createDataFrame([(*r, "more") for r in rows], "conv_id long, turn long, role string, text string, cost string").repartition(3)
+    got = {r.conv_id: (r.gaps, r.blank, r.duplicate, r.truncated, r.illegal, r.cost, r.audit, r.repaired) for r in conversation_repair.repair(conversation_repair.damaged(df)).collect()}
+    assert got == repaired_by_hand(rows)
+    assert any(x[:7] == (0, 0, 0, 0, 0, 0, "") for x in got.values())
+    assert conversation_repair.repair(conversation_repair.damaged(df.where("conv_id < 0"))).count() == 0
+
+
+def test_long_conversation(spark):
+    turns = [(1, k, ("user", "assistant")[k % 2], f"turn {k}.") for k in range(3000)]
+    row = conversation_repair.repair(conversation_repair.damaged(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).first()
+    assert re.fullmatch("(?:user|assistant):.*", row.repaired[0]) and [x[0] for x in row.repaired] == ["u", "a"] * (len(row.repaired) // 2)
+    assert len(row.audit) >= len(damage(turns)) and row.gaps == 2998 + 1 + 1 - len({t for _, t, *_ in damage(turns)}) - (2999 - max(t for _, t, *_ in damage(turns))) - min(t for _, t, *_ in damage(turns))
+
+
+def test_conversation_repair_matches_sql(spark):
+    agrees_with_sql(spark, conversation_repair.query, conversation_repair.SQL, SF)
+
+
+# ---------------------------------------------------------------- 12 source divergence
+
+
+def divergence(docs, least, top):
+    """By counting everything."""
+    term = re.compile("[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    df, n, groups = collections.Counter(), collections.Counter(), set()
+    for text, lang, source in docs:
+        lang, source, found = lang or "", source or "", [x.translate(lower) for x in term.findall(text or "")]
+        groups.add((lang, source))
+        df.update((lang, x) for x in set(found))
+        n.update((lang, source, x) for x in found)
+    rows = []
+    for lang in {g[0] for g in groups}:
+        kept = [x for (g, x), c in df.items() if g == lang and c >= least]
+        sources = [s for g, s in groups if g == lang]
+        share = lambda count, total: 1 + (1_000_000_000 * (count + 5)) // (total + 5 * len(kept))  # noqa: B023, E731
+        p = {s: {x: share(n[lang, s, x], sum(n[lang, s, y] for y in kept)) for x in kept} for s in sources}
+        whole = {x: sum(n[lang, s, x] for s in sources) for x in kept}
+        q = {x: share(whole[x], sum(whole.values())) for x in kept}
+        for s in sources:
+            pairs = sorted(((-sum(abs(p[s][x] - p[o][x]) for x in kept), o.encode()) for o in sources if o != s))
+            terms = sorted((q[x] - p[s][x], x.encode()) for x in kept if n[lang, s, x] and p[s][x] > q[x])
+            rows += [(lang, s, part, item.decode(), -value, k) for part, found in (("pair", pairs), ("term", terms[:top])) for k, (value, item) in enumerate(found, 1)]
+    return sorted(rows)
+
+
+def test_source_divergence(frame, monkeypatch):
+    rng = random.Random(22)
+    words = [f"{a}{b}" for a in ("the", "Zebra", "ärger", "ÄRGER", "x", "中文", "K") for b in "abcdefghij"] + ["same" + "long" * 9 + x for x in "abcdefgh"]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 60))) + rng.choice(["", "1x2", "_a-b", "\x7fq"]), rng.choice(["en", "de", None, "fr"]), rng.choice(["a", "b", "c", "é", None, ""])) for i in range(500)]
+    docs += [(900, None, "none", "x"), (901, "", "none", "y"), (902, "few words here", "rare", "z"), (903, "one two " * 40_000, "en", "a"), (904, "one two " * 3, None, None)]
+    docs += docs[:3]
+    # ties of many terms, cut by their bytes
+    docs += [(2000 + i, " ".join(f"tie{k:03d}" for k in range(120)), "tie", "t" if i < 20 else "u") for i in range(40)] + [(3000, "more words", "tie", "u")]
+    monkeypatch.setattr(source_divergence, "HELD", 50)
+    monkeypatch.setattr(source_divergence, "PIECE", 997)
+    for least, top in ((30, 50), (5, 7)):
+        monkeypatch.setattr(source_divergence, "LEAST", least)
+        df = frame(docs)
+        got = sorted(map(tuple, source_divergence.audit(df).select("lang", "source", "part", "item", "value", "rank").collect())) if top == 50 else None
+        want = divergence([d[1:] for d in docs], least, 50)
+        if got is not None:
+            assert got == want
+    assert source_divergence.audit(frame(docs).where("doc_id < 0")).count() == 0
+
+
+def test_radix_selection_against_sorting(spark):
+    rng = random.Random(23)
+    rows = [("l", "ties", f"{'same' * 5}{k:04d}", 7) for k in range(3000)] + [("l", "few", f"t{k}", k) for k in range(9)] + [("m", "ties", chr(200 + k % 900) * (1 + k // 900), rng.choice([5, 5, 5, (1 << 30) - 1, 1])) for k in range(1800)]
+    rows += [("l", "spread", f"w{k}", rng.randrange(1 << 30)) for k in range(3000)] + [("l", "begins", "a" * k, 3) for k in range(1, 80)]
+    df = spark.createDataFrame(rows, "lang string, source string, term string, value long").repartition(4)
+    for most in (50, 3):
+        got = collections.defaultdict(list)
+        for r in source_divergence.top_values(df, most).collect():
+            got[r.lang, r.source].append((-r.value, r.term.encode()))
+        for g in {r[:2] for r in rows}:
+            assert sorted(got[g]) == sorted((-v, t.encode()) for *x, t, v in rows if tuple(x) == g)[:most]
+
+
+def test_terms_of_pieces(monkeypatch):
+    rng = random.Random(24)
+    for _ in range(200):
+        text = "".join(rng.choice("aB é中1-\n ") for _ in range(rng.randrange(0, 60)))
+        whole = [x for part in source_divergence.terms_of(text) for x in part]
+        monkeypatch.setattr(source_divergence, "PIECE", rng.randrange(1, 9))
+        assert [x for part in source_divergence.terms_of(text) for x in part] == whole
+        monkeypatch.setattr(source_divergence, "PIECE", 1 << 22)
+
+
+def test_source_divergence_matches_sql(spark):
+    agrees_with_sql(spark, source_divergence.query, source_divergence.SQL, SF)
+
+
+# ---------------------------------------------------------------- 13 embedding near-dedup
+
+
+def linked_by_hand(rows, threshold=0.93):
+    ok = lambda v, g: g is not None and v is not None and len(v) and all(x is not None and math.isfinite(x) for x in v) and any(v)
+    vecs = [np.array(v, float) / np.abs(np.array(v, float)).max() if ok(v, g) else None for _, v, g in rows]
+    parent, links = list(range(len(rows))), [0] * len(rows)
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        a, b = vecs[i], vecs[j]
+        if a is not None and b is not None and rows[i][2] == rows[j][2] and len(a) == len(b) and a @ b / math.sqrt(a @ a) / math.sqrt(b @ b) >= threshold:
+            links[i], links[j] = links[i] + 1, links[j] + 1
+            parent[find(i)] = find(j)
+    heads = collections.defaultdict(list)
+    for i, r in enumerate(rows):
+        heads[find(i)].append(r[0])
+    least = lambda ids: min((x for x in ids if x is not None), default=None)
+    return sorted(((r[0], links[i], least(heads[find(i)]), r[0] == least(heads[find(i)])) for i, r in enumerate(rows)), key=str)
+
+
+def vectors(rng, n, dim, crowds=()):
+    found = [rng.normal(size=dim) for _ in range(n)]
+    for k in range(0, n // 4, 2):
+        found[k + 1] = found[k] + rng.normal(size=dim) * 0.3 * rng.random()
+    for size, noise in crowds:
+        centre = rng.normal(size=dim)
+        found += [centre + rng.normal(size=dim) * noise for _ in range(size)]
+    return [[float(np.float32(x)) for x in v] for v in found]
+
+
+def test_near_vectors(spark):
+    rng = np.random.default_rng(25)
+    rows = [(i, v, 1) for i, v in enumerate(vectors(rng, 120, 16, [(40, 0.1)]))]
+    odd = [None, [], [0.0] * 16, [1.0] * 15 + [None], [1.0] * 15 + [float("nan")], [1.0] * 15 + [float("inf")], [3e38] * 16, [1e-44] * 16, [2.0] * 16, [1.0] * 8]
+    rows += [(1000 + i, v, 1) for i, v in enumerate(odd)] + [(2000 + i, rows[i][1], g) for i, g in enumerate([1, 1, 2, 2, None, None])] + [(2000, rows[0][1], 1), (None, rows[3][1], 1), (None, [-1.0] * 16, 1), (3000, [-x for x in rows[5][1]], 1), (3001, [2 * x for x in rows[5][1]], 1)]
+    df = spark.createDataFrame([(*r, "more") for r in rows], "vec_id long, embedding array<float>, label int, node string").repartition(3)
+    got = sorted((tuple(r) for r in near_vectors.near(df).select("vec_id", "n_links", "component_id", "kept").collect()), key=str)
+    assert got == linked_by_hand(rows)
+    assert near_vectors.near(df.where("vec_id < 0")).count() == 0
+    assert near_vectors.near(df.where("vec_id = 1000")).first()["kept"]
+
+
+@pytest.mark.parametrize(("most", "crowds"), [(64, [(150, 0.05)]), (48, [(30, 0.2), (90, 0.16)]), (40, [(200, 0.3)])])
+def test_near_vectors_in_small_shards(spark, most, crowds):
+    """Groups far larger than a shard: tight crowds become balls, looser ones are parted or dealt into blocks."""
+    rng = np.random.default_rng(most)
+    rows = [(i, v, i % 2) for i, v in enumerate(vectors(rng, 300, 24, crowds))]
+    want = linked_by_hand(rows)
+    got = near_vectors.near(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), most=most).collect()
+    links = {r.vec_id: r.n_links for r in got}
+    assert len(got) == len(rows) and all(links[i] <= n for i, n, *_ in want)
+    assert sum(links.values()) >= 0.97 * sum(n for _, n, *_ in want)
+
+
+def test_flat_graph_recall_and_pruning():
+    rng = np.random.default_rng(26)
+    units = np.array(vectors(rng, 500, 32, [(120, 0.1)]), np.float32)
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    adjacent = flat_graph.build(units)
+    a, b = flat_graph.in_range(units, adjacent, flat_graph.medoid(units), 0.93)
+    true = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(units @ units.T >= 0.93, 1)), strict=True)}
+    found = set(zip(a.tolist(), b.tolist(), strict=True))
+    assert found <= true | {(i, j) for i, j in found if units[i] @ units[j] > 0.93 - 1e-6} and len(found & true) >= 0.99 * len(true)
+    assert all(len(set(x[x >= 0])) == (x >= 0).sum() and k not in x for k, x in enumerate(adjacent))
+    # of two candidates in one direction only the nearer is kept
+    near = np.array([[1, 0], [0.99, 0.14], [0.98, 0.2], [0, 1]], float)
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    likes = near @ near[0]
+    assert flat_graph.pruned(near, np.array([0]), np.array([[1, 2, 3]]), likes[None, 1:], 3)[0].tolist() == [1, 3, -1]
+
+
+def test_near_vectors_match_sql(spark):
+    agrees_with_sql(spark, near_vectors.query, near_vectors.SQL, SF)
+
+
+# ---------------------------------------------------------------- names that differ in case
+
+
+def test_names_that_differ_in_case(spark):
+    df = spark.createDataFrame([(i, f"word{i % 7} " * 60, "other", "en", "s") for i in range(30)], "doc_id long, text string, Text string, lang string, source string")
+    taken = mixing.repeated(df)
+    assert taken.columns == df.columns and {r[2] for r in taken.collect()} == {"other"}
+    assert near_pairs.one_of_each(df).columns == df.columns and near_pairs.join(df).count() == 30
+    assert quality_rules.keep_good(df).columns == df.columns and sharding.shard(df, [1.0] * 3).count() == 30
+    assert source_divergence.audit(df).count() > 0 and mixing.mix(df)[0].count() == 30
+    assert common.case_safe()(lambda x: x.columns)(df.select("Text", "text", "doc_id")) == ["Text (0)", "text", "doc_id"]
+
+
 def test_text_arrays():
     texts = ["a b  b\n", "", "é😀 x\x85y", "  ", "ab a", "b" * 3000]
     t = textarrays.Texts(texts)
@@ -794,7 +1100,7 @@ def test_text_arrays():
 
 
 def test_registry():
-    assert [n.split("_")[0] for n in sorted(registry.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in sorted(registry.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_pipeline(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import contextvars
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -97,6 +98,28 @@ def unboxed(df: DataFrame) -> DataFrame:
     return df.select("row.*")
 
 
+def case_safe(rows: bool = False):
+    """Let an operator take tables that hold names which differ in case only, as `text` and `Text`.
+
+    Spark takes such names for one; the operator reads the one that is written as it writes it (in lower case), and
+    the others get names of their own meanwhile. rows: it returns the table's columns, which get their names back."""
+
+    def decorate(fn):
+        @functools.wraps(fn)
+        def run(docs: DataFrame, *args, **kwargs):
+            names = docs.columns
+            lower = [c.lower() for c in names]
+            if len(set(lower)) == len(names):
+                return fn(docs, *args, **kwargs)
+            safe = [c if lower.count(low) == 1 or c == low and names.index(c) == i else f"{c} ({i})" for i, (c, low) in enumerate(zip(names, lower, strict=True))]
+            out = fn(docs.toDF(*safe), *args, **kwargs)
+            return out.toDF(*names) if rows else out
+
+        return run
+
+    return decorate
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Batches in views of at most `rows` rows: Spark bounds a batch's bytes, this bounds what becomes Python objects."""
     for b in batches:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.llm.common import table
+from threadloom.llm.common import case_safe, table
 from threadloom.llm.sharding import CRC_TABLE
 
 #: Costs of edits, and what a truncated turn adds that is not deleted.
@@ -29,6 +29,7 @@ def or_blank(x: Column) -> Column:
     return F.coalesce(x.cast("string"), F.lit(" "))
 
 
+@case_safe()
 def damaged(turns: DataFrame) -> DataFrame:
     """Rows conv_id, turn, role, text, gone after the damage that crc32(`conv_id:turn`) % 20 draws; null role and text are one blank.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import textarrays as ta
-from threadloom.llm.common import hashed_sample, materialize, sliced, small, table
+from threadloom.llm.common import case_safe, hashed_sample, materialize, sliced, small, table
 from threadloom.llm.line_crf import held_out
 
 #: Labelled documents a language that the filters are built from, at most: those with the smallest hashes of doc_id.
@@ -80,6 +80,7 @@ class Filters:
         return np.clip((hits - self.false) / np.maximum(1 - self.false, 1e-9), 0, 1), has
 
 
+@case_safe()
 def train(docs: DataFrame, sample: int = SAMPLE, share: float = SHARE) -> Filters:
     """Build filters from `docs` (doc_id, text, lang): not held out, lang known, at most `sample` documents a language.
 
@@ -113,6 +114,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, share: float = SHARE) -> Filter
     return Filters(languages := sorted(common["lang"].unique()), [common["code"][common["lang"] == x].to_numpy().astype(np.uint64) for x in languages])
 
 
+@case_safe()
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     """(doc_id, lang, share) of `docs` (doc_id, text): the language with the largest corrected share of a text's n-grams, ties by name.
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.llm import textarrays as ta
-from threadloom.llm.common import sliced, table
+from threadloom.llm.common import case_safe, sliced, table
 from threadloom.llm.license_texts import TEMPLATES
 
 #: Most words of a gram and most grams of a window; shape() has those of a template.
@@ -221,6 +221,7 @@ def scan_texts(texts: list[str], index: Index) -> Iterator[tuple]:
             yield text, index.names[template], len(place) / n, len(place), n, int(at[place[0]]) - own, last - own, spans, [index.names[x] for x in sorted(also)]
 
 
+@case_safe()
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST_COVERAGE) -> DataFrame:
     """Where `docs` (doc_id, text) hold a template by at least `least` of its words: one row a document and place.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import textarrays as ta
-from threadloom.llm.common import hashed_sample, materialize, sliced, table
+from threadloom.llm.common import case_safe, hashed_sample, materialize, sliced, table
 
 #: Labelled documents that the field is fitted on, at most: those with the smallest hashes of doc_id. Their lines are
 #: cut into chains of PART lines; of more than LINES lines in all, the chains with the smallest hashes are taken.
@@ -245,6 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int =
     return fit([(r.doc, r.y, np.frombuffer(r.sizes, np.int64), np.frombuffer(r.features, np.float16).reshape(-1, WIDTH).astype(np.float32)) for r in rows])
 
 
+@case_safe()
 def scored(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, score) of `docs` (doc_id, text); null texts are empty. The text itself does not come back from Python.
 
@@ -257,6 +258,7 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+@case_safe(rows=True)
 def keep(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
     """The rows of `docs` (text, any others) that score `least` or more, with their columns, whatever their names."""
     at = docs.columns.index("text")

@@ -6,17 +6,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.llm.common import boxed, grouped_index, materialize, n_words_of, table
+from threadloom.llm.common import boxed, case_safe, grouped_index, materialize, n_words_of, table
 
 #: Weights of the sources in code-point order, repeating; the mix takes SHARE of all sizes, a source at most MOST times its own.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Tokens of a block.
 BLOCK = 512
-#: The golden-ratio sequence in integers: t * STEP mod MODULUS is equidistributed (STEP is odd and near MODULUS / phi).
-STEP, MODULUS = 1327217885, 1 << 31
-#: Cells of the slots laid end to end (source look-up), and slots ranked in one task. A source's shuffled documents
-#: are numbered in 4096 buckets, by the first three digits of their place.
-CELLS, CHUNK = 1024, 8192
+#: The golden-ratio sequence in integers: point t is t * STEP mod 2^BITS, STEP being odd and next to 2^BITS / phi. The
+#: product is taken in two halves of STEP, so that none of them passes 2^63 for t below 2^BITS.
+BITS = 40
+STEP = 679_535_556_991
+#: Cells of the points' range (source look-up), and slots ranked in one task. A source's shuffled documents are numbered
+#: in 4096 buckets, by the first three digits of their place. Sources beyond MOST_SOURCES are refused: their weights and
+#: caps are ranked in one task.
+CELLS, CHUNK, MOST_SOURCES = 1024, 8192, 1_000_000
 
 
 def with_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -48,13 +51,23 @@ def stream_order(doc_id: Column) -> Column:
     return F.md5(F.encode(F.concat(F.lit("mix|"), F.coalesce(doc_id.cast("string"), F.lit(""))), "UTF-8"))
 
 
-def schedule(targets: DataFrame, block: int) -> DataFrame:
-    """The mix, slot by slot: (slot, sid, rank, block, tokens).
+def point(t: Column) -> Column:
+    """The t-th point of the golden-ratio sequence, from [0, 1)."""
+    half, modulus = BITS // 2, 1 << BITS
+    high = F.shiftleft(F.pmod(t * F.lit(STEP >> half).cast("long"), F.lit(1 << half).cast("long")), half)
+    low = t * F.lit(STEP & ((1 << half) - 1)).cast("long")
+    return F.pmod(high + F.pmod(low, F.lit(modulus)), F.lit(modulus)) / F.lit(float(modulus))
+
 
-    A source has as many slots as its own target takes, short blocks and small sources included; its rank-th slot takes
-    its block rank mod blocks, and its last is cut so that its tokens end at its target. A source's slots lie at equal
-    distances, from a golden-ratio point of its own on, so that every stretch of the mix holds each source by its share.
-    `targets` has sid, source_size, target."""
+def schedule(targets: DataFrame, block: int) -> DataFrame:
+    """The mix, slot by slot: (slot, sid, rank, block, tokens); slots are in order, with gaps.
+
+    A source has as many slots as its own target takes, short blocks and small sources included. Slot t belongs to the
+    source whose interval of the cumulative weights, the sources' shares of all slots, holds the t-th point of the
+    golden-ratio sequence, so every stretch of the mix holds each source by its share to within a few slots. Slots are
+    ranked within their source; the rank-th takes the source's block rank mod blocks, and the last is cut so that its
+    tokens end at the source's target. Points that fall to a source beyond its last slot are passed over, and what few
+    slots a source lacks at the end come after all others. `targets` has sid, source_size, target."""
     spark = targets.sparkSession
     size, blocks = F.col("source_size"), F.ceil(F.col("source_size") / F.lit(block))
     order = Window.orderBy("sid")
@@ -63,24 +76,33 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
         targets.withColumn("words", F.round("target").cast("long")).where((F.col("words") > 0) & (size > 0))
         .withColumn("rounds", F.floor(F.col("words") / size))
         .withColumn("n", (F.col("rounds") * blocks + F.ceil((F.col("words") - F.col("rounds") * size) / F.lit(block))).cast("long"))
-        .withColumn("phase", F.pmod(F.row_number().over(order) * F.lit(STEP).cast("long"), F.lit(MODULUS)) / F.lit(float(MODULUS)))
         .withColumn("hi", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("lo", F.col("hi") - F.col("n"))
-    )
-    parts = parts.select("sid", size, "words", "n", "phase", "lo", "hi")
-    total = parts.agg(F.max("hi")).first()[0] or 0  # one number
-    cell = lambda at: F.floor(at / F.lit(float(max(total, 1))) * CELLS)
-    spans = parts.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") - 1))))
-    numbers = spark.range(total).withColumnRenamed("id", "at").withColumn("cell", cell(F.col("at")))
-    placed = numbers.join(spans, "cell").where("at >= lo AND at < hi").withColumn("rank", F.col("at") - F.col("lo"))
-    placed = placed.withColumn("place", (F.col("rank") + F.col("phase")) / F.col("n"))
-    placed = placed.select("sid", "words", "source_size", "rank", "place", F.floor(F.col("place") * F.lit(-(-total // CHUNK))).alias("chunk"))
-    ranked = grouped_index(materialize(placed, "slots"), [], "chunk", ["place", "sid"], "slot")
-    ranked = ranked.withColumn("block", F.pmod("rank", blocks)).withColumn("blocks", blocks)
+    )
+    parts = materialize(parts.select("sid", size, "words", "n", "lo", "hi"), "parts")
+    total, few = parts.agg(F.max("hi"), F.count(F.lit(1))).first()  # two numbers
+    if few > MOST_SOURCES or (total or 0) >= 1 << BITS:
+        raise ValueError(f"at most {MOST_SOURCES} sources and 2^{BITS} slots can be scheduled")
+    total = total or 0
+    share = lambda at: at / F.lit(float(max(total, 1)))
+    cell = lambda at: F.least(F.floor(at * CELLS), F.lit(CELLS - 1))
+    spans = parts.withColumn("cell", F.explode(F.sequence(cell(share(F.col("lo"))), cell(share(F.col("hi"))))))
+    points = spark.range(total).withColumnRenamed("id", "slot").withColumn("at", point(F.col("slot"))).withColumn("cell", cell(F.col("at")))
+    held = points.join(spans, "cell").where((F.col("at") >= share(F.col("lo"))) & (F.col("at") < share(F.col("hi"))))
+    held = held.select("sid", "words", "source_size", "n", "slot", F.floor(F.col("slot") / CHUNK).alias("chunk"))
+    ranked = grouped_index(materialize(held, "slots"), ["sid"], "chunk", ["slot"], "rank").where("rank < n")
+    have = ranked.groupBy("sid").agg(F.count(F.lit(1)).alias("have"))
+    lacking = parts.join(have, "sid", "left").withColumn("have", F.coalesce("have", F.lit(0))).where("have < n")
+    # the sequence's discrepancy bounds these: some slots a source, however many there are in all
+    lacking = lacking.select("sid", "words", "source_size", F.explode(F.sequence(F.col("have"), F.col("n") - 1)).alias("rank"))
+    lacking = lacking.withColumn("slot", F.lit(total) + F.row_number().over(Window.orderBy("rank", "sid")) - 1)
+    columns = ["slot", "sid", "rank", "words", "source_size"]
+    whole = ranked.select(*columns).unionByName(lacking.select(*columns)).withColumn("block", F.pmod("rank", blocks)).withColumn("blocks", blocks)
     start = F.floor(F.col("rank") / F.col("blocks")) * size + F.col("block") * block
-    whole = F.least(F.lit(block), size - F.col("block") * block)
-    return ranked.select("slot", "sid", "rank", "block", F.least(whole, F.col("words") - start).cast("long").alias("tokens"))
+    tokens = F.least(F.lit(block), size - F.col("block") * block)
+    return whole.select("slot", "sid", "rank", "block", F.least(tokens, F.col("words") - start).cast("long").alias("tokens"))
 
 
+@case_safe()
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Mix `docs` (doc_id, text, source) to target weights: (documents, schedule, sources).
 
@@ -122,6 +144,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     return mixed, slots, sources
 
 
+@case_safe(rows=True)
 def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """The rows of `docs` (doc_id, text, source, any others) as the mix takes them, with their columns, whatever their names.
 
@@ -129,11 +152,11 @@ def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     the one at each stream's end, which is rounded. A row taken twice comes twice; one not taken is left out."""
     rows = mix(docs, weights, share, most)[0]
     key = ["id", "sid", "crc", "k"]
-    nth = F.row_number().over(Window.partitionBy("id", "sid", "crc").orderBy("crc"))  # equal rows are told apart by number
+    nth = lambda order: F.row_number().over(Window.partitionBy("id", "sid", "crc").orderBy(order))  # noqa: E731  rows that share these are told apart by all their columns
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    rows = rows.select(text(F.col("doc_id")).alias("id"), "sid", "crc", F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int").alias("times")).withColumn("k", nth)
+    rows = rows.select(text(F.col("doc_id")).alias("id"), "sid", "crc", F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int").alias("times")).withColumn("k", nth(F.col("times").desc()))
     source = F.when(F.col("row.source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("row.source")))
-    keyed = boxed(docs).select("row", text(F.col("row.doc_id")).alias("id"), source.alias("sid"), F.crc32(F.encode(text(F.col("row.text")), "UTF-8")).alias("crc")).withColumn("k", nth)
+    keyed = boxed(docs).select("row", text(F.col("row.doc_id")).alias("id"), source.alias("sid"), F.crc32(F.encode(text(F.col("row.text")), "UTF-8")).alias("crc")).withColumn("k", nth(F.xxhash64("row")))
     taken = keyed.join(rows.where("times > 0"), key).select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time"))
     return taken.select("row.*")
 

@@ -1,12 +1,14 @@
 """N-gram Jaccard join: MinHash bands find candidates, Bayesian pruning drops them, exact set comparison decides.
 
 1. Each text becomes its set of word shingles; equal sets are one class (copies are never expanded into pairs).
-2. Classes that agree in a band of MinHash values meet in a bucket. A pair is compared in the first band that it shares,
-   so once, a few values at a time; it is dropped once the posterior probability of reaching the threshold falls below
-   the tolerance. The pairs that survive are written as one row a class, with its partners.
-3. Survivors that are connected form a cell, whose sets are fetched once. Exactly the surviving pairs are compared.
+2. Classes that agree in a band of MinHash values meet in a bucket, where pairs are compared a few values at a time and
+   dropped once the posterior probability of reaching the threshold falls below the tolerance. A bucket tells only what
+   is connected by pairs that survive, a row a class: whoever is connected already is not compared again.
+3. What is connected forms a cell. Only there are sets fetched, once; the pairs of a cell that share a band and survive
+   are compared exactly, and counted as they are found. No pair is ever stored: links need space by classes alone.
 
-Buckets and cells of any size are dealt out as pairs of blocks, so no task holds a whole group."""
+Buckets and cells of any size are dealt out as pairs of blocks, so no task holds a whole group. In a cell of more than
+one block a set travels as what it differs by from its cell's first, which for near copies is little."""
 
 from __future__ import annotations
 
@@ -19,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from threadloom.llm import textarrays as ta
-from threadloom.llm.common import boxed, materialize, remove, scratch, sliced, table, temporary, write_table
+from threadloom.llm.common import boxed, case_safe, materialize, remove, scratch, sliced, table, temporary, write_table
 
 K, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares no band with probability (1 - 0.8^4)^32 = 5e-8.
@@ -32,7 +35,7 @@ STEP, TOLERANCE = 16, 3e-8
 #: Classes of a block, and blocks of a group before they grow to MOST classes, in buckets (where a class is in many) and
 #: in cells (where it is in one): tasks stay even while groups are small, and a row of a group of n is copied FEW
 #: (CELL_FEW) or n / MOST times at most. Shingles of a cell's block.
-BLOCK, FEW, CELL_BLOCK, CELL_FEW, MOST, BLOCK_SHINGLES = 512, 16, 64, 32, 4096, 400_000
+BLOCK, FEW, CELL_BLOCK, CELL_FEW, MOST, BLOCK_SHINGLES = 512, 16, 64, 32, 1024, 400_000
 #: Bits of a MinHash value that are kept and compared.
 VALUE = np.uint16
 
@@ -134,23 +137,55 @@ class Forest:
                 self.parent[s] = r
 
 
-def survivors(values: np.ndarray, band: int, side: np.ndarray | None, need: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, later rows whose pair with i survives) of the rows of a bucket of `band`.
+def surviving(values: np.ndarray, i: int, alive: np.ndarray, need: list[int]) -> np.ndarray:
+    """Those of the rows `alive` whose pair with row i survives every look."""
+    matches = np.zeros(len(alive), np.int64)
+    for k in range(0, HASHES, STEP):
+        if not len(alive):
+            break
+        matches += (values[alive, k : k + STEP] == values[i, k : k + STEP]).sum(1)
+        going = matches >= need[k + STEP]
+        alive, matches = alive[going], matches[going]
+    return alive
 
-    A pair that shares an earlier band has met there and is passed over. side: block of each row where two blocks
-    meet, so that only pairs across are compared."""
+
+def connected(values: np.ndarray, band: int, side: np.ndarray | None, need: list[int]) -> Forest:
+    """The rows of a bucket of `band` that are connected by pairs that survive.
+
+    Each row meets one row of each component first, then only rows of components that it is not in: in a bucket of near
+    copies about one comparison a row. A pair that shares an earlier band has met there and is passed over. side: block
+    of each row where two blocks meet, so that only pairs across are compared."""
+    keys, n = band_keys(values), len(values)
+    forest, roots = Forest(n), np.arange(n)  # roots: of components so far, kept up as they grow
+
+    def met(i: int, others: np.ndarray) -> None:
+        alive = surviving(values, i, others, need)
+        if band and len(alive):
+            alive = alive[~(keys[alive, :band] == keys[i, :band]).any(1)]
+        if len(alive):
+            forest.join(i, alive)
+            united = np.unique(np.append(roots[alive], roots[i]))
+            roots[np.isin(roots, united)] = united[0]
+
+    for i in range(n - 1):
+        others = np.arange(i + 1, n)
+        others = others[roots[others] != roots[i]] if side is None else others[(roots[others] != roots[i]) & (side[others] != side[i])]
+        if len(others):
+            _, first = np.unique(roots[others], return_index=True)
+            if len(first) < len(others):
+                met(i, others[first])
+                others = others[roots[others] != roots[i]]
+            met(i, others)
+    return forest
+
+
+def asked(values: np.ndarray, side: np.ndarray | None, need: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, later rows whose pair with i shares a band and survives) of the rows of a cell's pair of blocks."""
     keys = band_keys(values)
     for i in range(len(values) - 1):
         alive = np.arange(i + 1, len(values)) if side is None else np.flatnonzero(side[i + 1 :] != side[i]) + i + 1
-        matches = np.zeros(len(alive), np.int64)
-        for k in range(0, HASHES, STEP):
-            if not len(alive):
-                break
-            matches += (values[alive, k : k + STEP] == values[i, k : k + STEP]).sum(1)
-            going = matches >= need[k + STEP]
-            alive, matches = alive[going], matches[going]
-        if band and len(alive):
-            alive = alive[~(keys[alive, :band] == keys[i, :band]).any(1)]
+        alive = alive[(keys[alive] == keys[i]).any(1)]
+        alive = surviving(values, i, alive, need)
         if len(alive):
             yield i, alive
 
@@ -279,7 +314,7 @@ def in_blocks(df: DataFrame, key: str) -> DataFrame:
 
 
 def candidates(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, root, partners): a class, the least connected with it in its pair of blocks, and the classes whose pairs with it survive.
+    """(a, b): a class and the least that it is connected with in its bucket's pair of blocks, by pairs that survive.
 
     `sets`: cid, n, values. A bucket is a band and its bits; of buckets with the same members the one of the least band
     is enough, since a pair's first band cannot be later than it."""
@@ -290,39 +325,34 @@ def candidates(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     met = dealt.join(buckets, "key").join(sets.select("cid", "values"), "cid")
     met = in_blocks(met.withColumn("blocks", n_blocks(F.col("size"), BLOCK, FEW)), "cid").select("key.band", "key.bits", "i", "j", "block", "cid", "values")
     need = least_matches(threshold)
-    schema = pa.schema([("a", pa.int64()), ("root", pa.int64()), ("partners", pa.list_(pa.int64()))])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, held = [], 0
+        a, b = [], []
         for (band, _, i, j), group in streamed(batches, 4):
             values = np.frombuffer(b"".join(r[6] for r in group), VALUE).reshape(len(group), HASHES)
-            ids, forest, found = np.array([r[5] for r in group]), Forest(len(group)), []
-            for at, later in survivors(values, band, None if i == j else np.array([r[4] for r in group]), need):
-                forest.join(at, later)
-                found.append((at, later))
-            roots, partners = forest.roots(), {at: ids[later] for at, later in found}
-            for at in np.flatnonzero(roots != np.arange(len(ids))).tolist() if found else ():
-                out.append({"a": ids[at], "root": ids[roots[at]], "partners": partners.pop(at, [])})
-                held += 1 + len(out[-1]["partners"])
-            for at, later in partners.items():
-                out.append({"a": ids[at], "root": ids[at], "partners": later})
-                held += len(later)
-            if held >= 1 << 17:
-                yield pa.RecordBatch.from_pylist(out, schema)
-                out, held = [], 0
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema)
+            ids = np.array([r[5] for r in group])
+            roots = connected(values, band, None if i == j else np.array([r[4] for r in group]), need).roots()
+            linked = np.flatnonzero(roots != np.arange(len(ids)))
+            a += ids[linked].tolist()
+            b += ids[roots[linked]].tolist()
+            if len(a) >= 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+                a, b = [], []
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
     order = ["band", "bits", "i", "j", "block", "cid"]
-    return met.repartition("band", "bits", "i", "j").sortWithinPartitions(*order).mapInArrow(connect, "a long, root long, partners array<long>")
+    return met.repartition("band", "bits", "i", "j").sortWithinPartitions(*order).mapInArrow(connect, "a long, b long")
 
 
 def verified(docs: DataFrame, sets: DataFrame, found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, links, linked_sets) of the surviving pairs `found` (candidates) that reach the threshold: a class b, one
-    connected with it, and the documents and classes of its links, in parts to be summed."""
-    cells = components(found.select("a", F.col("root").alias("b")))
+    """(a, b, links, linked_sets) of the pairs in the cells that `found` (candidates) connects which reach the threshold:
+    a class b, one connected with it, and the documents and classes of its links, in parts to be summed."""
+    cells = components(found)
     # fetch the sets of cells' members once, by a document that has them
-    sized = cells.join(sets.select(F.col("cid").alias("v"), "copies", "n", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key")), "v")
+    about = sets.select(F.col("cid").alias("v"), "copies", "n", "values", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"))
+    sized = cells.join(about, "v")
     total = sized.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
     blocks = F.greatest(n_blocks(F.col("members"), CELL_BLOCK, CELL_FEW), F.ceil(F.col("shingles") / F.lit(BLOCK_SHINGLES)).cast("int"))
     sized = materialize(sized.join(total.select("root", blocks.alias("blocks")), "root"), "cells")
@@ -330,35 +360,45 @@ def verified(docs: DataFrame, sets: DataFrame, found: DataFrame, threshold: floa
     source = docs.select(F.col("doc_id").alias("rep_id"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("rep_key"), text.alias("text"))
     # members grow with the corpus: one plan for every size, not a broadcast while they are few
     fetched = source.join(sized.hint("merge"), source["rep_id"].eqNullSafe(sized["rep_id"]) & (source["rep_key"] == sized["rep_key"]))
-    fetched = fetched.select("root", "v", "copies", "blocks", "text")
+    fetched = fetched.select("root", "v", "copies", "blocks", "text", "values")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             sets_ = [s.tobytes() for s in shingle_sets(b.column(4).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sets_, pa.binary())], names=[*b.schema.names[:4], "set"])
-
-    held = fetched.mapInArrow(to_sets, "root long, v long, copies long, blocks int, set binary")
-    none = F.array().cast("array<bigint>")
-    held = in_blocks(held, "v").select("root", "i", "j", F.lit(0).alias("kind"), "v", "copies", "set", none.alias("partners"))
-    # a class's partners, from all its buckets, go where its block meets theirs: one row a class and block of partners
-    asked = found.where(F.size("partners") > 0).groupBy("a").agg(F.flatten(F.collect_list("partners")).alias("partners"))
-    asked = asked.join(sized.select(F.col("v").alias("a"), F.col("root").alias("cell"), "blocks"), "a").withColumn("mine", block_of(F.col("a"), F.col("blocks")))
-    asked = asked.withColumn("their", F.explode(F.array_distinct(F.transform("partners", lambda x: block_of(x, F.col("blocks"))))))
-    theirs = F.when(F.col("blocks") == 1, F.col("partners")).otherwise(F.filter("partners", lambda x: block_of(x, F.col("blocks")) == F.col("their")))
-    asked = asked.select(F.col("cell").alias("root"), F.least("mine", "their").alias("i"), F.greatest("mine", "their").alias("j"), F.col("a").alias("v"), theirs.alias("partners"))
-    together = held.unionByName(asked.select("root", "i", "j", F.lit(1).alias("kind"), "v", F.lit(0).cast("long").alias("copies"), F.lit(None).cast("binary").alias("set"), "partners"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64()), ("linked_sets", pa.int64())])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], b.column(5), pa.array(sets_, pa.binary())], names=[*b.schema.names[:4], "values", "set"])
+
+    columns = "root long, v long, copies long, blocks int, values binary, set binary"
+    held = materialize(fetched.mapInArrow(to_sets, columns), "sets")
+    large = held.where("blocks > 1")
+    cores = large.where("v = root").dropDuplicates(["root"]).select("root", F.col("set").alias("core"))
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            pairs = zip(b.column(5).to_pylist(), b.column(6).to_pylist(), strict=True)
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array([np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(c, np.uint64), assume_unique=True).tobytes() for x, c in pairs], pa.binary())], names=b.schema.names[:6])
+
+    apart = in_blocks(large.join(cores, "root").mapInArrow(differences, columns), "v").select("root", "i", "j", "block", "v", "copies", "values", "set")
+    # a cell's core goes, as a row before the others, to each pair of its blocks once
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    core = large.where("v = root").dropDuplicates(["root"]).select("root", F.explode(every).alias("i"), "blocks", "set").select("root", "i", F.explode(F.filter(every, lambda j: j >= F.col("i"))).alias("j"), "set")
+    core = core.select("root", "i", "j", F.lit(-1).alias("block"), F.lit(-1).cast("long").alias("v"), F.lit(0).cast("long").alias("copies"), F.lit(b"").alias("values"), "set")
+    whole = held.where("blocks = 1").select("root", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), "v", "copies", "values", "set")
+    together = whole.unionByName(apart).unionByName(core)
+    schema, need = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64()), ("linked_sets", pa.int64())]), least_matches(threshold)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[dict] = []
-        for _, group in streamed(batches, 3):
+        for (_, i, j), group in streamed(batches, 3):
+            base = [np.frombuffer(r[7], np.uint64) for r in group if r[3] < 0]
             # repeated rows of one document bring its set again
-            members = list({r[4]: r for r in group if r[3] == 0}.values())
-            at = {r[4]: k for k, r in enumerate(members)}
-            pairs = [(at[r[4]], np.array([at[x] for x in r[7]])) for r in group if r[3] == 1]
+            members = list({r[4]: r for r in group if r[3] >= 0}.values())
+            values = np.frombuffer(b"".join(r[6] for r in members), VALUE).reshape(len(members), HASHES)
+            pairs = list(asked(values, None if i == j else np.array([r[3] for r in members]), need))
             if not pairs:
                 continue
-            documents, linked, forest = links([np.frombuffer(r[6], np.uint64) for r in members], np.array([r[5] for r in members]), pairs, threshold)
+            own = [np.frombuffer(r[7], np.uint64) for r in members]
+            own = [np.setxor1d(x, base[0], assume_unique=True) for x in own] if base else own
+            documents, linked, forest = links(own, np.array([r[5] for r in members]), pairs, threshold)
             roots = forest.roots()
             out += [{"a": members[int(roots[k])][4], "b": r[4], "links": int(documents[k]), "linked_sets": int(linked[k])} for k, r in enumerate(members) if linked[k]]
             if len(out) >= 4096:
@@ -367,7 +407,7 @@ def verified(docs: DataFrame, sets: DataFrame, found: DataFrame, threshold: floa
         if out:
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    placed = together.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "kind", "v")
+    placed = together.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "block", "v")
     return placed.mapInArrow(verify, "a long, b long, links long, linked_sets long")
 
 
@@ -397,6 +437,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
         return documents, write_table(out, result)
 
 
+@case_safe()
 def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Similar documents of `docs` (doc_id, text): one row a row, with class_id, n_links, copy_id, n_copies.
 
@@ -411,6 +452,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
 
 
+@case_safe(rows=True)
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` (doc_id, text, any others) that are the least document of their class, with their columns.
 
@@ -419,7 +461,9 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     heads = found.select(F.col("class_id").alias("id"), F.col("class_key").alias("key")).distinct()
     keyed = boxed(docs).select("row", F.col("row.doc_id").alias("doc"), F.unhex(F.md5(F.encode(F.coalesce(F.col("row.text"), F.lit("")), "UTF-8"))).alias("text_key"))
     kept = keyed.join(heads, keyed["doc"].eqNullSafe(heads["id"]) & (keyed["text_key"] == heads["key"]), "left_semi")
-    return kept.dropDuplicates(["doc", "text_key"]).select("row.*")
+    # rows that share both but differ elsewhere: the least hash of the whole row, so that reruns agree
+    first = F.row_number().over(Window.partitionBy("doc", "text_key").orderBy(F.xxhash64("row")))
+    return kept.withColumn("nth", first).where("nth = 1").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

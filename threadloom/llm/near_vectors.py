@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import flat_graph
-from threadloom.llm.common import hash_order, hashed_sample, materialize, scratch, small, table, temporary, write_table
+from threadloom.llm.common import case_safe, hash_order, hashed_sample, materialize, scratch, small, table, temporary, write_table
 from threadloom.llm.near_pairs import components
 
 THRESHOLD = 0.93
@@ -307,6 +307,7 @@ def recall(nodes: DataFrame, counts: DataFrame, threshold: float) -> tuple[float
     return (met or 0) / max(1, total or 0) if total else 1.0, total or 0
 
 
+@case_safe()
 def near(vectors: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP, most: int = MOST_NODES, tries: int = 3) -> DataFrame:
     """Vectors of `vectors` (vec_id, embedding, label) with their links to others of the same label: vec_id, n_links, component_id, kept.
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tokenizers import Tokenizer
 
-from threadloom.llm.common import grouped_index, materialize, sliced, table
+from threadloom.llm.common import case_safe, grouped_index, materialize, sliced, table
 
 #: Tokens a sequence holds, and the id that ends each document.
 CAPACITY, END = 4096, 1
@@ -216,6 +216,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
+@case_safe()
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """Pack `docs` (doc_id, text) into sequences of at most `capacity` tokens: one row a piece.
 

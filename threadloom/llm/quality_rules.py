@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.llm.common import SPACE_CLASS, boxed, materialize, table
+from threadloom.llm.common import SPACE_CLASS, boxed, case_safe, materialize, table
 
 #: Most frequent words of a language that make up its histogram.
 WORDS = 25
@@ -199,6 +199,7 @@ def judged(counts: DataFrame, refs: dict[str, dict]) -> DataFrame:
     return df.withColumn("kept", ~F.col("base_failed") & ~far)
 
 
+@case_safe()
 def rated(docs: DataFrame) -> DataFrame:
     """judged() over `docs` (text, lang, any others), which are read twice: for the languages' words, and for all counts."""
     words = frequent_words(docs)
@@ -206,6 +207,7 @@ def rated(docs: DataFrame) -> DataFrame:
     return judged(counts, references(counts, words))
 
 
+@case_safe(rows=True)
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of `docs` (text, lang, any others) that the rules keep, with their columns, whatever their names.
 

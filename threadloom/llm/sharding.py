@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import grouped_index, materialize, table
+from threadloom.llm.common import case_safe, grouped_index, materialize, table
 
 N_SHARDS = 40
 #: Draws are numbers below a prime; a shard's own constants come from these multipliers.
@@ -39,6 +39,7 @@ def rendezvous(digest: Column, weights: list[float]) -> Column:
     return F.element_at(F.transform(F.array(number), placed), 1)
 
 
+@case_safe()
 def shard(docs: DataFrame, weights: list[float], grown: list[float] | None = None, key: str = "doc_id") -> DataFrame:
     """Place every row of `docs` (doc_id, text) in a shard of `weights`; `grown`: also its shard under other weights.
 

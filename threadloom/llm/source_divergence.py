@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.llm.common import materialize, sliced, small, table
+from threadloom.llm.common import case_safe, materialize, sliced, small, table
 
 #: Documents of a language that must hold a term, what is added to each count, the scale of shares, and ranks of terms reported.
 LEAST, ADDED, SCALE, TOP = 30, 5, 1_000_000_000, 50
@@ -187,6 +187,7 @@ def top_values(rows: DataFrame, most: int = TOP) -> DataFrame:
     return chosen.where((F.col("value") > F.col("bar")) | ((F.col("value") == F.col("bar")) & (first <= F.col("prefix")))).select(*rows.columns)
 
 
+@case_safe()
 def audit(docs: DataFrame) -> DataFrame:
     """Audit the sources of `docs` (text, lang, source): lang, source, part, item, value, rank.
 

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import hashed_sample, materialize, scratch, sliced, table
+from threadloom.llm.common import case_safe, hashed_sample, materialize, scratch, sliced, table
 
 #: Magic number of the skippable frame that carries a dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -51,11 +51,17 @@ def planned(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     smallest page_id of a group are all responses, as is a null page_id where the group has no other."""
     html = F.coalesce(F.col("html"), F.lit(""))
     df = pages.select("page_id", "url", html.alias("html"), base32_sha1(html).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_bytes"))
-    first = df.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"))  # combined before the shuffle
-    revisit = (F.col("payload_bytes") >= least_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return df.join(first, "payload_digest", "left").select(
+    # digests that several pages share are found, and their pages told apart, in slim rows; pages meet what was decided by
+    # their own ids, so that no digest, however common, gathers pages
+    slim = df.select("page_id", "payload_digest", "payload_bytes")
+    shared = slim.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first_id IS NOT NULL")
+    shared = materialize(shared.drop("n"), "digests")
+    revisit = (F.col("payload_bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    revisits = slim.join(shared, "payload_digest").where(revisit).select(F.col("page_id").alias("its_id"), F.col("payload_digest").alias("its_digest"), "first_id").distinct()
+    met = df.join(revisits.hint("merge"), F.col("page_id").eqNullSafe(F.col("its_id")) & (F.col("payload_digest") == F.col("its_digest")), "left")
+    return met.select(
         "page_id", "url", "html", "payload_digest", "payload_bytes",
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"),
+        F.when(F.col("first_id").isNotNull(), "revisit").otherwise("response").alias("record_type"), F.col("first_id").alias("refers_to"),
     )
 
 
@@ -204,10 +210,12 @@ def read(archives: DataFrame) -> DataFrame:
     return archives.mapInArrow(rows, RECORDS)
 
 
+@case_safe()
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write `pages` (page_id, url, html) to archives and read them back: one row a page, with its payload.
 
-    Null html is an empty payload, null urls have no target header, repeated rows are archived each; an empty table
+    Null html is an empty payload, null urls have no target header and line breaks in others are blanks there, as a
+    header is one line; repeated rows are archived each; an empty table
     gives no archive and no rows; other columns are ignored."""
     spark = pages.sparkSession
     archives = materialize(write(planned(pages), folder or scratch(spark, "warc"), sampled_dictionary(pages)), "archives")

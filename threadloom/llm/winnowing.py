@@ -11,17 +11,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from threadloom.llm.common import table, words_of
+from threadloom.llm.common import case_safe, table, words_of
 
 #: Units in a k-gram, and k-grams in a window: any run of K + WINDOW - 1 units that two texts share is found in both.
 K, WINDOW = 5, 4
 #: Longest run without blanks that is one unit.
 LONGEST = 32
 #: The rolling (Rabin-Karp) hash: a gram is the number in base BASE whose digits are its units' hashes, modulo the
-#: greatest prime below 2^40. Products stay below 2^63.
+#: greatest prime below 2^40. Products of a hash and BASE stay below 2^63, and so do those in halves of DROP, the weight
+#: of the digit that leaves a gram.
 PRIME, BASE = (1 << 40) - 87, 2654435
-#: A fingerprint packs 40 bits of hash above 24 bits of falling position, so the least of a window is its rightmost.
-POSITIONS = (1 << 24) - 1
+DROP = pow(BASE, K, PRIME)
+#: Units that are folded at a time.
+STRETCH = 64
 
 
 def units(text: Column) -> Column:
@@ -31,47 +33,68 @@ def units(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")).rlike(f"[^\\x20\\x09-\\x0D]{{{LONGEST + 1}}}"), split).otherwise(words)
 
 
-def fingerprint(text: Column) -> Column:
-    """Selected (hash, position) pairs of a text, packed as bigints, in order of position.
+def _rolled(digits: Column) -> Column:
+    """The hash of a text's first 0, 1, 2 .. units, rolled on from unit to unit.
+
+    Stretches are folded one after the other, each from where the last ended, so that what a fold appends to is short."""
+    zero = F.lit(0).cast("long")
+    starts = F.sequence(F.lit(0), F.greatest(F.size(digits) - 1, F.lit(0)), F.lit(STRETCH))
+
+    def on(done: Column, start: Column) -> Column:
+        step = lambda run, d: F.array_append(run, (F.element_at(run, -1) * F.lit(BASE).cast("long") + d) % F.lit(PRIME))
+        run = F.aggregate(F.slice(digits, start + 1, F.lit(STRETCH)), F.array(done["last"]), step)
+        # a run begins with the last hash before it, which the run before has told
+        told = F.element_at(F.transform(F.array(run), lambda r: F.struct(F.element_at(r, -1).alias("last"), F.array_append(done["runs"], F.slice(r, F.lit(2), F.lit(STRETCH))).alias("runs"))), 1)
+        return told
+
+    begin = F.struct(zero.alias("last"), F.array(F.array(zero)).alias("runs"))
+    return F.aggregate(starts, begin, on, lambda done: F.flatten(done["runs"]))
 
-    Each unit is hashed once, and the grams of K units get their rolling hash from these (by Horner's rule, since an
-    array has no running fold); each window of WINDOW grams selects its least hash, the rightmost if several tie. A
-    text of fewer than K units is one gram, one of fewer grams than a window is one window; a null text is empty and
-    has no pairs. Positions count modulo 2^24."""
 
-    def grams(u: Column) -> Column:
-        at = F.sequence(F.lit(0), F.greatest(F.size(u) - K, F.lit(0)))
+def _dropped(h: Column) -> Column:
+    """h * DROP modulo PRIME, in two halves of DROP."""
+    half = 20
+    high = (h * F.lit(DROP >> half).cast("long")) % F.lit(PRIME)
+    return (F.shiftleft(high, half) % F.lit(PRIME) + (h * F.lit(DROP & ((1 << half) - 1)).cast("long")) % F.lit(PRIME)) % F.lit(PRIME)
+
+
+def fingerprint(text: Column) -> Column:
+    """Selected (h, back) structs of a text, hash and minus the position of a gram's first unit, in order of position.
 
-        def rolled(i: Column) -> Column:
-            h = F.get(u, i)
-            for j in range(1, K):
-                h = (h * F.lit(BASE).cast("long") + F.coalesce(F.get(u, i + j), F.lit(0).cast("long"))) % F.lit(PRIME)
-            return h
+    Each unit is hashed once, and the hashes of the text's beginnings are rolled on from unit to unit; a gram's is the
+    difference of two, the earlier one moved up by K digits. Each window of WINDOW grams selects its least hash, the
+    rightmost if several tie. A text of fewer than K units is one gram, one of fewer grams than a window is one window;
+    a null text is empty and has no pairs. Positions have no bound."""
 
-        return F.transform(at, lambda i: F.shiftleft(rolled(i), 24).bitwiseOR(F.lit(POSITIONS) - F.pmod(i, F.lit(POSITIONS + 1))))
+    def grams(p: Column) -> Column:
+        n = F.size(p) - 1 - K
+        return F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(F.pmod(F.get(p, i + K) - _dropped(F.get(p, i)), F.lit(PRIME)).alias("h"), (-i).cast("long").alias("back")))
 
     def least(g: Column) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.size(g) - WINDOW, F.lit(0)))
         return F.array_distinct(F.transform(starts, lambda i: F.least(*[F.get(g, i + j) for j in range(WINDOW)])))
 
-    none = F.array().cast("array<bigint>")
+    none = F.array().cast("array<struct<h:bigint,back:bigint>>")
     hashed = F.transform(units(text), lambda x: F.pmod(F.xxhash64(x), F.lit(PRIME)))
-    return F.element_at(F.transform(F.array(hashed), lambda u: F.when(F.size(u) == 0, none).otherwise(F.element_at(F.transform(F.array(grams(u)), least), 1))), 1)
+    zeros = F.array(*[F.lit(0).cast("long")] * (K - 1))  # a short text's missing digits
+    bound = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+    padded = lambda u: F.when(F.size(u) >= K, u).otherwise(F.slice(F.concat(u, zeros), F.lit(1), F.lit(K)))
+    return bound(hashed, lambda u: F.when(F.size(u) == 0, none).otherwise(bound(_rolled(padded(u)), lambda p: bound(grams(p), least))))
 
 
 def hashes(pairs: Column) -> Column:
     """The distinct hashes of a fingerprint, without positions."""
-    return F.array_distinct(F.transform(pairs, lambda x: F.shiftright(x, 24)))
+    return F.array_distinct(F.transform(pairs, lambda x: x["h"]))
 
 
 def positions(pairs: Column) -> Column:
     """The k-gram positions (first unit, from 0) of a fingerprint's pairs."""
-    return F.transform(pairs, lambda x: F.lit(POSITIONS) - x.bitwiseAND(F.lit(POSITIONS)))
+    return F.transform(pairs, lambda x: -x["back"])
 
 
 def printed(pairs: Column) -> Column:
-    """A fingerprint as text: 16 hexadecimal digits a pair."""
-    return F.array_join(F.transform(pairs, lambda x: F.lpad(F.hex(x), 16, "0")), " ")
+    """A fingerprint as text: 10 hexadecimal digits of hash, a colon and the position, pair by pair."""
+    return F.array_join(F.transform(pairs, lambda x: F.concat(F.lpad(F.hex(x["h"]), 10, "0"), F.lit(":"), (-x["back"]).cast("string"))), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
