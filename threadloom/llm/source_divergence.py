@@ -168,7 +168,8 @@ def top_values(rows: DataFrame, most: int = TOP) -> DataFrame:
         counts = mine.groupBy(*keys, F.shiftright("value", shift).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
         found = materialize(_crossed(counts, F.col("digit").desc(), found.select(*keys, "need"), F.col("digit")), "radix")
     bars = materialize(found.select(*keys, F.col("prefix").alias("bar"), "need", "there", F.lit("").alias("prefix")), "bars")
-    spelt = F.hex(F.encode("term", "UTF-8"))
+    # an end mark below all digits: no term's spelling begins another's, and order is still that of bytes
+    spelt = F.concat(F.hex(F.encode("term", "UTF-8")), F.lit("!"))
     ties = rows.join(small(bars.where("there > need").select(*keys, "bar")), keys).where("value = bar").select(*keys, spelt.alias("spelt"))
     done, at = bars.where("there <= need").select(*keys, "bar", "prefix"), 0
     open_ = bars.where("there > need")
