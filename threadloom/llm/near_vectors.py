@@ -31,6 +31,8 @@ from threadloom.llm.near_pairs import components
 THRESHOLD = 0.93
 #: Nodes of a shard, shards that a node goes to, shards that one is split into at most, and vectors that a split is fitted on.
 MOST_NODES, OVERLAP, MOST_PARTS, SAMPLE = 1024, 2, 64, 1024
+#: Splits one after the other; each takes a shard apart into MOST_PARTS, so this is room for 64^8 shards.
+DEEPEST = 8
 #: Vectors of a sample, by share, that make a ball, and balls of a shard.
 CROWD, MOST_BALLS = 1 / 32, 16
 #: Vectors of the audit, at most so many numbers in them, and the share of their links that the graph must find.
@@ -108,8 +110,9 @@ def split(nodes: DataFrame, name: str, overlap: int, most: int, threshold: float
     """(leaves, crowds) of `nodes` (node, copies, vec, shard), both written: shards of at most `most` nodes, and balls.
 
     leaves: node, copies, vec, shard. crowds: ball, node, copies, vec, inside (or in the fringe). A shard that centroids
-    cannot part is dealt into blocks, and every two of its blocks are a shard, so that none of its pairs is lost."""
-    state = nodes
+    cannot part into halves, or that is still too large after DEEPEST splits, is dealt into blocks, and every two of its
+    blocks are a shard, so that none of its pairs is lost."""
+    state, depth = nodes, 0
     leaves, crowds = [], []
     inner, outer = ball_cosine(threshold), fringe_cosine(threshold)
     while True:
@@ -124,8 +127,12 @@ def split(nodes: DataFrame, name: str, overlap: int, most: int, threshold: float
 
         def fit(pdf: pd.DataFrame) -> pd.DataFrame:
             size = int(pdf["size"].iloc[0])
-            balls, centroids = fitted(units_of(pdf.sort_values("node")["vec"]), min(MOST_PARTS, -(-2 * overlap * size // most)), threshold)
-            blocks = 0 if len(centroids) > overlap else -(-2 * size // most)
+            units = units_of(pdf.sort_values("node")["vec"])
+            balls, centroids = fitted(units, min(MOST_PARTS, -(-2 * overlap * size // most)), threshold)
+            # a split must at least halve its shards, or rows would multiply level by level
+            free = units[(units @ balls.T).max(axis=1) < inner] if len(balls) else units
+            parted = len(centroids) > overlap and len(free) and np.bincount(np.argsort(-(free @ centroids.T), axis=1, kind="stable")[:, :overlap].ravel()).max() <= len(free) / 2
+            blocks = 0 if parted and depth < DEEPEST else -(-2 * size // most)
             return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "balls": [[x.tolist() for x in balls]], "centroids": [[x.tolist() for x in centroids]], "blocks": [blocks]})
 
         plans = materialize(few.groupBy("shard").applyInPandas(fit, "shard string, balls array<array<double>>, centroids array<array<double>>, blocks int"), f"{name}-plans")
@@ -158,6 +165,7 @@ def split(nodes: DataFrame, name: str, overlap: int, most: int, threshold: float
         placed = materialize(state.drop("size").join(small(plans), "shard").mapInPandas(assign, f"kind string, place string, {_NODE}"), f"{name}-placed")
         crowds.append(placed.where("kind IN ('inside', 'fringe')").select(F.col("place").alias("ball"), "node", "copies", "vec", (F.col("kind") == "inside").alias("inside")))
         leaves.append(placed.where("kind = 'final'").select("node", "copies", "vec", F.col("place").alias("shard")))
+        depth += 1
         state = placed.where("kind = 'shard'").select("node", "copies", "vec", F.col("place").alias("shard"))
     union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
     columns = ["node", "copies", "vec", "shard"]
