@@ -62,11 +62,11 @@ def listed_sources(spark, d):
 
 @query("SELECT event_id::VARCHAR AS item, 1 AS times FROM events")
 def paged_items(spark, d):
-    """Events as pages; the stream is stopped after its first batch and goes on from its checkpoint: no page comes twice."""
+    """Events as pages; the stream reads those that are there, ends, and goes on from its checkpoint when the others have come: no page comes twice."""
     path, out, state = fresh_path(spark, "pages"), fresh_path(spark, "items"), fresh_path(spark, "state")
-    paged.write_pages(table(spark, d, "events").select("event_id"), path, "event_id", ["event_id"], 250)
-    for _ in range(2):
-        stream = paged.pages(spark, path, per_batch=2)
+    for numbers in (range(3), range(3, 1 << 40)):
+        paged.write_pages(table(spark, d, "events").select("event_id"), path, "event_id", ["event_id"], 250, numbers)
+        stream = paged.pages(spark, path, per_batch=1000)
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("cursor string, place int, item string").parquet(out).groupBy("item").agg(F.count(F.lit(1)).cast("int").alias("times"))
 

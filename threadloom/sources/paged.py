@@ -19,12 +19,14 @@ from threadloom.operators.ranking import global_index
 FIRST, END = "first", ""
 
 
-def read_page(root: str, cursor: str) -> dict:
-    """A page from any file system that pyarrow knows by the root's scheme."""
+def read_page(root: str, cursor: str) -> dict | None:
+    """A page from any file system that pyarrow knows by the root's scheme; null while it is not there."""
     from pyarrow import fs
 
     system, path = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
-    found = sorted(x.path for x in system.get_file_info(fs.FileSelector(f"{path}/cursor={cursor}")) if x.is_file and x.base_name[0] not in "._")
+    found = sorted(x.path for x in system.get_file_info(fs.FileSelector(f"{path}/cursor={cursor}", allow_not_found=True)) if x.is_file and x.base_name[0] not in "._")
+    if not found:
+        return None
     with system.open_input_stream(found[0]) as page:
         return json.loads(page.read())
 
@@ -35,10 +37,10 @@ class Page(InputPartition):
 
 
 class PagedReader(DataSourceStreamReader):
-    """Offsets are {"next": cursor}, with END behind the last page.
+    """Offsets are {"next": cursor}, with END behind the last page; a page that is named but not there yet is waited for.
 
-    A batch holds at most `pagesPerBatch` pages; after a restart the first one goes to the end of what is there, since
-    Spark does not say where the last ended before it asks how far there is to go."""
+    A batch holds at most `pagesPerBatch` pages, but the first of all goes to the end of what is there, since Spark
+    does not name a start before it asks how far there is to go."""
 
     def __init__(self, options: dict):
         self.root, self.first, self.most = options["path"], options.get("first", FIRST), int(options.get("pagesPerBatch", "8"))
@@ -49,10 +51,10 @@ class PagedReader(DataSourceStreamReader):
         return {"next": self.first}
 
     def _walk(self, cursor: str, stop: str | None, most: int | None) -> list[str]:
-        """Cursors from `cursor` on, up to `stop` or so many, and the one behind them."""
+        """Cursors from `cursor` on, up to `stop`, so many or what is there, and the one behind them."""
         seen = [cursor]
-        while seen[-1] not in (END, stop) and (most is None or len(seen) <= most):
-            seen.append(read_page(self.root, seen[-1]).get("next") or END)
+        while seen[-1] not in (END, stop) and (most is None or len(seen) <= most) and (page := read_page(self.root, seen[-1])):
+            seen.append(page.get("next") or END)
         return seen
 
     def latestOffset(self) -> dict:
@@ -89,8 +91,10 @@ def pages(spark: SparkSession, path: str, first: str = FIRST, per_batch: int = 8
     return spark.readStream.format("pages").option("path", path).option("first", first).option("pagesPerBatch", str(per_batch)).load()
 
 
-def write_pages(rows: DataFrame, path: str, item: str, order: list[str], size: int) -> None:
-    """Store `rows` as pages of `size` items in order; a page's cursor is the md5 of its number, the first one's is FIRST."""
+def write_pages(rows: DataFrame, path: str, item: str, order: list[str], size: int, numbers: range | None = None) -> None:
+    """Store `rows` as pages of `size` items in order; a page's cursor is the md5 of its number, the first one's is FIRST.
+
+    numbers: store only pages of these numbers, so that others can follow later."""
     bucket = F.floor(F.col(order[0]) / (64 * size)) if dict(rows.dtypes)[order[0]] in ("int", "bigint") else F.substring(F.col(order[0]).cast("string"), 1, 2)
     ranked = global_index(rows, bucket, [F.col(c) for c in order], "rank", total="total")
     page = F.floor((F.col("rank") - 1) / size)
@@ -99,4 +103,6 @@ def write_pages(rows: DataFrame, path: str, item: str, order: list[str], size: i
     listed = ranked.select(page.alias("page"), last.alias("last"), "rank", F.col(item).cast("string").alias("item")).groupBy("page", "last").agg(F.array_sort(F.collect_list(F.struct("rank", "item"))).alias("held"))
     after = F.when(F.col("page") < F.col("last"), cursor(F.col("page") + 1))
     text = F.to_json(F.struct(F.transform("held", lambda x: x["item"]).alias("items"), after.alias("next")), {"ignoreNullFields": "false"})
-    listed.select(text.alias("value"), cursor(F.col("page")).alias("cursor")).repartition("cursor").write.partitionBy("cursor").text(path)
+    if numbers is not None:
+        listed = listed.where(F.col("page").between(numbers.start, numbers.stop - 1))
+    listed.select(text.alias("value"), cursor(F.col("page")).alias("cursor")).repartition("cursor").write.mode("append").partitionBy("cursor").text(path)
