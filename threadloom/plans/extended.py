@@ -188,7 +188,7 @@ def chat_prompts(spark, d):
 
 
 @query(f"""WITH {EVENTS_SQL}, v AS (SELECT s_suppkey AS video, CASE WHEN s_suppkey % 2 = 0 THEN 'words of ' || s_name ELSE 'Not available.' END AS transcript FROM supplier)
-SELECT event_id, transcript FROM e JOIN v ON video = event_id % 10 + 1 WHERE user_id IN (SELECT user_id FROM e GROUP BY user_id HAVING count(*) >= 20)""")
+SELECT event_id, coalesce(transcript, 'Not available.') AS transcript FROM e LEFT JOIN v ON video = event_id % 10 + 1 WHERE user_id IN (SELECT user_id FROM e GROUP BY user_id HAVING count(*) >= 20)""")
 def completed_rows(spark, d):
     """The processor's hook of a dataset: transcripts joined to rows by their post."""
     have = table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(_id("v", "s_suppkey").alias("post_id"), F.concat(F.lit("words of "), "s_name").alias("transcript"))
