@@ -8,13 +8,23 @@ from threadloom.operators import history
 from threadloom.plans import catalog
 
 
+PLANS = {}
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def plan_of(name, spark):
+    """A query's plan; queries that write on the way run once for all tests."""
+    if name not in PLANS:
+        PLANS[name] = plan(catalog.QUERIES[name](spark, SF))
+    return PLANS[name]
+
+
 @pytest.mark.parametrize("name", sorted(n for n in catalog.QUERIES if n != "source_regex_select"))
 def test_no_cross_joins(name, spark):
-    text = plan(catalog.QUERIES[name](spark, SF))
+    text = plan_of(name, spark)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
@@ -37,7 +47,7 @@ def test_python_only_where_it_must_be(spark):
     python = {"tolerant_json", "nearly_json", "cleaned_objects", "email_rows", "flat_mails", "nested_mails", "quoted_mails", "reply_chains", "mail_parse_stats", "persona_modes"}
     for name in catalog.QUERIES:
         if name not in python:
-            assert "Python" not in plan(catalog.QUERIES[name](spark, SF)), name
+            assert "Python" not in plan_of(name, spark), name
 
 
 def test_hot_users_are_ranked_in_parts(spark):
