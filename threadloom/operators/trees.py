@@ -64,9 +64,10 @@ def with_ancestors(nodes: DataFrame, keep: Column | None = None) -> DataFrame:
 
     `nodes` also has a column item of any type; a root's `above` is empty. Paths are of ids; items are joined to them at
     the end, once."""
-    flat = stored(flatten(nodes, keep), fresh_path(nodes.sparkSession, "paths"))
-    steps = flat.select("node_id", F.posexplode(F.slice("path", F.lit(1), F.col("depth"))).alias("at", "id"))
-    items = nodes.select(F.col("node_id").cast("string").alias("id"), "item")
-    listed = steps.join(items, "id").groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]).alias("above"))
+    flat = stored(flatten(nodes, keep).distinct(), fresh_path(nodes.sparkSession, "paths"))
+    # a node with several parents has several paths, and comes several times among the nodes
+    steps = flat.select("path", F.posexplode(F.slice("path", F.lit(1), F.col("depth"))).alias("at", "id"))
+    items = nodes.select(F.col("node_id").cast("string").alias("id"), "item").dropDuplicates(["id"])
+    listed = steps.join(items, "id").groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]).alias("above"))
     kind = f"array<{nodes.schema['item'].dataType.simpleString()}>"
-    return flat.join(listed, "node_id", "left").withColumn("above", F.coalesce("above", F.array().cast(kind)))
+    return flat.join(listed, "path", "left").select("node_id", "depth", "path", "above").withColumn("above", F.coalesce("above", F.array().cast(kind)))
