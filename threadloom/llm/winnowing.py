@@ -72,7 +72,9 @@ def fingerprint(text: Column) -> Column:
 
     def least(g: Column) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.size(g) - WINDOW, F.lit(0)))
-        return F.array_distinct(F.transform(starts, lambda i: F.least(*[F.get(g, i + j) for j in range(WINDOW)])))
+        chosen = F.transform(starts, lambda i: F.least(*[F.get(g, i + j) for j in range(WINDOW)]))
+        # windows that choose one gram follow each other, so each is compared with the one before alone
+        return bound(chosen, lambda c: F.filter(c, lambda x, i: (i == 0) | (x["back"] != F.get(c, i - 1)["back"])))
 
     none = F.array().cast("array<struct<h:bigint,back:bigint>>")
     hashed = F.transform(units(text), lambda x: F.pmod(F.xxhash64(x), F.lit(PRIME)))
