@@ -121,6 +121,14 @@ def test_colliding_thread_ids_are_hashed_again(spark):
     assert plain == {r.k: r.thread_id for r in threads.thread_ids(df, ["k"], "t", ["t"], ["t"]).collect()}
 
 
+def test_more_threads_than_ids_of_so_many_digits(spark):
+    df = spark.range(900).select((F.col("id") % 300).alias("k"), F.lit(1).alias("thread_no"), F.col("id").alias("t"))
+    ids = {r.k: r.thread_id for r in threads.unique_thread_ids(df, ["k"], "t", ["t"], ["t"], digits=1).collect()}
+    assert len(set(ids.values())) == 300 == len(ids)
+    # of those that share a digit the least head keeps it, the others' ids are longer
+    assert sorted(len(x) for x in ids.values())[:17] == [len("thread_") + 1] * 16 + [len("thread_") + 2]
+
+
 def test_labels_by_rank_equal_labels_by_sorting(spark):
     df = spark.range(1000).select(F.col("id"), F.when(F.col("id") % 11 != 0, F.floor(F.col("id") % 50 / 7)).alias("day"), F.lit("mine").alias("held"))
     cut = lambda rank, n: F.floor((rank - 1) * 7 / n)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.functions.text import strip
+from threadloom.operators.dedupe import union_all
 from threadloom.operators.ranking import free_names, joined
-from threadloom.storage import fresh_path, remove, stored
+from threadloom.storage import fresh_path, stored
 
 WEEK = 7 * 86400
 
@@ -48,29 +49,28 @@ def _head(keys: list[str], parts: list[str], own) -> Column:
 
 
 def unique_thread_ids(df: DataFrame, keys: list[str], time: str, order: list[str], parts: list[str], prefix: str = "thread_", digits: int = 16) -> DataFrame:
-    """thread_ids with one id a thread: where two heads have one md5, all but the first are hashed again with `|alt` behind them.
+    """thread_ids with one id a thread: where heads have one id, all but the least are hashed again with `|alt` behind them, to an id one digit longer.
 
-    Rounds go on until no id has two heads: of an id's heads the least hashed, then the least, keeps it. Only heads are
-    compared, one row a thread. A thread whose rows differ in nothing of its key and first row has the id of its equal."""
+    Ids of another length never meet, so a round compares only the heads that the one before left over, and more threads
+    than `digits` can tell apart find room after a few rounds. Only heads are compared, one row a thread. A thread whose
+    rows differ in nothing of its key and first row has the id of its equal."""
     own = Window.partitionBy(*keys, "thread_no").orderBy(time, *order)
-    head, rounds, seed, rank = free_names(df, "head", "rounds", "seed", "rank")
+    head, seed, rank = free_names(df, "head", "seed", "rank")
     rows = df.withColumn(head, _head(keys, parts, own))
     spark = df.sparkSession
-    hashed = F.substring(F.md5(F.col(seed)), 1, digits)
-    path = fresh_path(spark, "heads")
-    heads = stored(rows.select(head).distinct().select(head, F.col(head).alias(seed), F.lit(0).alias(rounds), F.substring(F.md5(head), 1, digits).alias("thread_id")), path)
+    place = F.row_number().over(Window.partitionBy("thread_id").orderBy(head))
+    left, named = rows.select(head).distinct().withColumn(seed, F.col(head)), []
     while True:
-        twice = heads.groupBy("thread_id").agg(F.count(F.lit(1)).alias(rank)).where(F.col(rank) > 1).select("thread_id")
-        if twice.isEmpty():
+        # behind md5's 32 digits come those of another hash
+        hashed = F.md5(seed) if digits <= 32 else F.concat(F.md5(seed), F.sha2(seed, 256))
+        met = left.withColumn("thread_id", F.substring(hashed, 1, digits)).withColumn(rank, place)
+        met = stored(met, fresh_path(spark, "heads"))
+        named.append(met.where(F.col(rank) == 1).select(head, F.concat(F.lit(prefix), "thread_id").alias("thread_id")))
+        left = met.where(F.col(rank) > 1).select(head, F.concat(seed, F.lit("|alt")).alias(seed))
+        if left.isEmpty():
             break
-        place = F.row_number().over(Window.partitionBy("thread_id").orderBy(rounds, head))
-        met = heads.join(twice, "thread_id", "left_semi").withColumn(rank, place)
-        again = met.where(F.col(rank) > 1).select(head, F.concat(F.col(seed), F.lit("|alt")).alias(seed), (F.col(rounds) + 1).alias(rounds)).withColumn("thread_id", hashed)
-        kept = heads.join(twice, "thread_id", "left_anti").unionByName(met.where(F.col(rank) == 1).drop(rank))
-        last, path = path, fresh_path(spark, "heads")
-        heads = stored(kept.unionByName(again), path)
-        remove(spark, last)
-    return rows.join(heads.select(head, F.concat(F.lit(prefix), "thread_id").alias("thread_id")), head).drop(head)
+        digits += 1
+    return rows.join(union_all(*named), head).drop(head)
 
 
 def reply_examples(df: DataFrame, order: list[str], least: int = 2, shortest: int = 10, thread: str = "thread_id") -> DataFrame:

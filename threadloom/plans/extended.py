@@ -157,7 +157,7 @@ def bucketed_prefixes(spark, d):
 t AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY timestamp, event_id ROWS UNBOUNDED PRECEDING)::BIGINT + 1 AS thread_no FROM g)
 SELECT user_id, thread_no, count(*) AS rows FROM t GROUP BY user_id, thread_no""")
 def unique_thread_ids(spark, d):
-    """Threads counted by their ids, of five digits: those that collide are hashed again."""
+    """Threads counted by their ids, of five digits: those that collide are hashed again, a digit longer."""
     rows = threads.gap_sessions(adapters.events(spark, d), 86400, ["user_id"], "timestamp", ["event_id"])
     named = threads.unique_thread_ids(rows, ["user_id"], "timestamp", ["event_id"], ["event_id", "timestamp"], digits=5)
     return named.groupBy("thread_id").agg(F.min("user_id").alias("user_id"), F.min("thread_no").alias("thread_no"), F.count(F.lit(1)).alias("rows")).drop("thread_id")
