@@ -40,6 +40,17 @@ def test_pages_are_read_once_over_restarts(spark, tmp_path):
     assert run(range(10, 10)) == 0
 
 
+def test_a_run_reads_all_pages_that_are_there(spark, tmp_path):
+    """More pages than a batch, whether a run is the first or goes on from a checkpoint."""
+    rows = spark.range(120).select(F.col("id"))
+    for numbers, want in ((range(5), 50), (range(5, 12), 120)):
+        paged.write_pages(rows, str(tmp_path / "pages"), "id", ["id"], 10, numbers)
+        stream = paged.pages(spark, str(tmp_path / "pages"), per_batch=2)
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        got = spark.read.schema("cursor string, place int, item string").parquet(str(tmp_path / "out"))
+        assert sorted(int(r.item) for r in got.collect()) == list(range(want))
+
+
 def test_personas_resume_after_a_failed_batch(spark, tmp_path):
     told = spark.range(50).select(F.col("id").cast("string").alias("user_id"), F.lit(1).alias("entries"))
     made = []

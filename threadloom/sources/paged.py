@@ -1,7 +1,7 @@
 """A source of pages that name their successor, as a stream whose offset is the cursor.
 
 A page is one JSON document {"items": [..], "next": cursor or null}, stored in a folder `cursor=<cursor>`; the first
-page's cursor is an option. Pages are read by tasks, one each; the driver follows cursors only. What a query's
+page's cursor is an option. Pages are read by tasks, some each; the driver follows cursors only. What a query's
 checkpoint holds is the cursor of the next page, so that a restart goes on there and reads no page twice."""
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql.types import StructType
 from threadloom.operators.ranking import global_index
 
 FIRST, END = "first", ""
+#: Tasks that a batch is dealt to while each has at most MOST pages; of more pages, more tasks.
+TASKS, MOST = 16, 64
 
 
 def read_page(root: str, cursor: str) -> dict | None:
@@ -31,46 +33,55 @@ def read_page(root: str, cursor: str) -> dict | None:
         return json.loads(page.read())
 
 
-class Page(InputPartition):
-    def __init__(self, cursor: str):
-        self.cursor = cursor
+class Pages(InputPartition):
+    def __init__(self, cursors: list[str]):
+        self.cursors = cursors
 
 
 class PagedReader(DataSourceStreamReader):
     """Offsets are {"next": cursor}, with END behind the last page; a page that is named but not there yet is waited for.
 
-    A batch holds at most `pagesPerBatch` pages, but the first of all goes to the end of what is there, since Spark
-    does not name a start before it asks how far there is to go."""
+    A batch holds at most `pagesPerBatch` pages, but the first of each run goes to the end of what is there: a run that
+    takes what is available asks only once how far there is to go, and would leave out whatever lies behind."""
 
     def __init__(self, options: dict):
         self.root, self.first, self.most = options["path"], options.get("first", FIRST), int(options.get("pagesPerBatch", "8"))
-        self.at: str | None = None
+        self.at, self.asked = self.first, False
+        self.after: dict[str, str] = {}  # of the pages ahead that have been looked at
 
     def initialOffset(self) -> dict:
-        self.at = self.first
         return {"next": self.first}
 
     def _walk(self, cursor: str, stop: str | None, most: int | None) -> list[str]:
         """Cursors from `cursor` on, up to `stop`, so many or what is there, and the one behind them."""
         seen = [cursor]
-        while seen[-1] not in (END, stop) and (most is None or len(seen) <= most) and (page := read_page(self.root, seen[-1])):
-            seen.append(page.get("next") or END)
+        while seen[-1] not in (END, stop) and (most is None or len(seen) <= most):
+            if seen[-1] not in self.after:
+                if (page := read_page(self.root, seen[-1])) is None:
+                    break
+                self.after[seen[-1]] = page.get("next") or END
+            seen.append(self.after[seen[-1]])
         return seen
 
     def latestOffset(self) -> dict:
-        return {"next": self._walk(self.at or self.first, None, None if self.at is None else self.most)[-1]}
+        most, self.asked = self.most if self.asked else None, True
+        return {"next": self._walk(self.at, None, most)[-1]}
 
-    def partitions(self, start: dict, end: dict) -> list[Page]:
+    def partitions(self, start: dict, end: dict) -> list[Pages]:
         self.at = end["next"]
-        return [Page(x) for x in self._walk(start["next"], end["next"], None)[:-1]]
+        cursors = self._walk(start["next"], end["next"], None)[:-1]
+        size = min(MOST, -(-len(cursors) // TASKS)) or 1
+        return [Pages(cursors[at : at + size]) for at in range(0, len(cursors), size)]
 
-    def read(self, partition: Page) -> Iterator[tuple]:
-        for place, item in enumerate(read_page(self.root, partition.cursor)["items"]):
-            if item:
-                yield (partition.cursor, place, str(item))
+    def read(self, partition: Pages) -> Iterator[tuple]:
+        for cursor in partition.cursors:
+            for place, item in enumerate(read_page(self.root, cursor)["items"]):
+                if item:
+                    yield (cursor, place, str(item))
 
     def commit(self, end: dict) -> None:
         """Nothing is held for pages that are behind."""
+        self.after.clear()
 
 
 class Paged(DataSource):
