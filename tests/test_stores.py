@@ -74,6 +74,25 @@ def test_personas_resume_after_a_failed_batch(spark, tmp_path):
     assert again["99"] == "p99"
 
 
+def test_many_persona_batches_take_few_calls(spark, tmp_path):
+    told = spark.range(400).select(F.col("id").cast("string").alias("user_id"), F.lit(1).alias("entries"))
+    made = []
+
+    def provider(rows):
+        made.append(1)
+        return rows.select("user_id", F.concat(F.lit("p"), "user_id").alias("persona"))
+
+    store = stores.PersonaStore(str(tmp_path / "p"))
+    assert store.run(told, provider, batch=4, most=3).count() == 12 == store.done(spark).count() and len(made) == 3
+    assert values(store.run(told, provider, batch=4), "user_id", "persona") == sorted((str(i), f"p{i}") for i in range(400)) and len(made) <= 3 + 32
+    # each batch is published by itself, with the ids of its users
+    for kind in ("personas", "ids"):
+        held = spark.read.parquet(str(tmp_path / "p" / kind)).groupBy("batch").count().collect()
+        assert sorted(r.batch for r in held) == list(range(100)) and {r["count"] for r in held} == {4}
+    listed = spark.read.parquet(str(tmp_path / "p/ids")).select("user_id", "batch")
+    assert listed.join(spark.read.parquet(str(tmp_path / "p/personas")), ["user_id", "batch"]).count() == 400
+
+
 def test_upsert_rewrites_only_what_it_touches(spark, tmp_path):
     store = stores.KeyStore(str(tmp_path / "s"), ["k"], 8)
     rows = spark.range(200).select(F.col("id").alias("k"), F.lit("old").alias("v"))

@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 
 from threadloom.operators.dedupe import first_per_key, upsert_last
 from threadloom.operators.personas import Provider
+from threadloom.operators.ranking import free_names, hash_index, joined
 from threadloom.sources.writers import cache_name, fingerprint
 from threadloom.storage import exists, fresh_path, names_in, publish, remove, stored
 
+#: Jobs that a run of a persona store makes its batches in, at most; of fewer batches each has its own.
+WAVES = 32
+
 
 @dataclass
 class KeyStore:
@@ -132,26 +136,37 @@ class PersonaStore:
     def run(self, histories: DataFrame, provider: Provider, batch: int = 1000, most: int | None = None) -> DataFrame:
         """Make the personas that are missing from `histories` (user_id, ..), `batch` users at a time; at most `most` batches.
 
-        The users to do are written as files of a batch each, and a stream takes one file a micro-batch. A run that
-        ends in mid-batch leaves that batch out; the next run begins with what the list of ids lacks."""
+        Of up to WAVES batches each is made by itself, of more some are made together, so that the number of jobs is
+        bounded; each is still published alone. A run that ends leaves out the batches that it was making, one or a
+        share of 1 / WAVES; the next run begins with what the list of ids lacks."""
         spark = histories.sparkSession
         folder = fresh_path(spark, "todo")
         rows = histories.withColumn("user_id", F.col("user_id").cast("string")).join(self.done(spark), "user_id", "left_anti")
-        rows.write.option("maxRecordsPerFile", batch).parquet(f"{folder}/rows")
         first = 1 + max((int(x.partition("=")[2]) for kind in ("personas", "ids") for x in names_in(spark, f"{self.path}/{kind}") if x.startswith("batch=")), default=-1)
+        k, rank, total = free_names(rows, "batch", "rank", "total")
+
+        def make(numbers: range) -> None:
+            todo = dealt.where(F.col(k).between(numbers.start, numbers.stop - 1))
+            made = provider(todo.drop(k)).select("user_id", "persona")
+            users = todo.select("user_id", F.col(k).alias("batch"))
+            made = made.withColumn("batch", F.lit(numbers.start)) if len(numbers) == 1 else joined(made, users, ["user_id"])
+            aside = f"{self.path}/_aside/{numbers.start}-{folder.rpartition('-')[2]}"
+            for kind, df in (("personas", made), ("ids", users)):
+                df.repartition("batch").write.mode("overwrite").partitionBy("batch").parquet(f"{aside}/{kind}")
+            for b in numbers:
+                for kind in ("personas", "ids"):
+                    if exists(spark, f"{aside}/{kind}/batch={b}"):  # a provider may tell nothing of a batch
+                        publish(spark, f"{aside}/{kind}/batch={b}", f"{self.path}/{kind}/batch={first + b}")
+            remove(spark, aside)
 
-        def make(todo: DataFrame, k: int) -> None:
-            if most is not None and k >= most:
-                return
-            aside = f"{self.path}/_aside/{k}-{folder.rpartition('-')[2]}"
-            provider(todo).select("user_id", "persona").write.mode("overwrite").parquet(f"{aside}/personas")
-            todo.select("user_id").write.mode("overwrite").parquet(f"{aside}/ids")
-            for kind in ("personas", "ids"):
-                publish(spark, f"{aside}/{kind}", f"{self.path}/{kind}/batch={first + k}")
-
-        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/rows")
         try:
-            stream.writeStream.foreachBatch(make).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+            ranked = hash_index(stored(rows, f"{folder}/rows"), 0, ["user_id"], rank, total).withColumn(k, F.floor((F.col(rank) - 1) / batch))
+            ranked = ranked if most is None else ranked.where(F.col(k) < most)
+            dealt = stored(ranked.drop(rank, total).repartition(k).sortWithinPartitions(k), f"{folder}/dealt")
+            n = 1 + (dealt.agg(F.max(k)).first()[0] if not dealt.isEmpty() else -1)
+            size = -(-n // WAVES) or 1
+            for at in range(0, n, size):
+                make(range(at, min(n, at + size)))
         finally:
             remove(spark, folder)
         return self.personas(spark)
