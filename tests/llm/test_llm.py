@@ -12,6 +12,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -1089,6 +1090,16 @@ def test_names_that_differ_in_case(spark):
     assert common.case_safe()(lambda x: x.columns)(df.select("Text", "text", "doc_id")) == ["Text (0)", "text", "doc_id"]
 
 
+def test_scratch_tables_have_small_row_groups(spark, tmp_path):
+    """What a writing task holds in its heap does not grow with what it writes."""
+    text = F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(299)), lambda i: F.sha2(F.concat_ws(" ", "id", i), 256)))
+    assert common.write_table(spark.range(0, 4000, 1, 1).select("id", text.alias("text")), str(tmp_path / "texts")).count() == 4000
+    (path,) = (tmp_path / "texts").glob("*.parquet")
+    groups = [pq.read_metadata(path).row_group(i) for i in range(pq.read_metadata(path).num_row_groups)]
+    sizes = [sum(g.column(i).total_compressed_size for i in range(g.num_columns)) for g in groups]
+    assert len(sizes) > 1 and max(sizes) < 20 << 20
+
+
 def test_text_arrays():
     texts = ["a b  b\n", "", "é😀 x\x85y", "  ", "ab a", "b" * 3000]
     t = textarrays.Texts(texts)

@@ -21,6 +21,9 @@ WORD_CLASS = "[^\\x20\\x09-\\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 #: A broadcast side has at most this many rows by count, or the join shuffles.
 BROADCAST_ROWS = 20_000
+#: Bytes of a row group. A task holds one in its heap while it writes, and Parquet's own 128 MB times the tasks of an
+#: executor can be more than there is.
+ROW_GROUP = 16 << 20
 
 _TEMPORARY: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("temporary", default=None)
 
@@ -75,7 +78,7 @@ def temporary(spark: SparkSession) -> Iterator[None]:
 
 def write_table(df: DataFrame, path: str) -> DataFrame:
     """Cut lineage: write to a path of the shared folder and read back, so a lost executor costs nothing upstream."""
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
